@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinmark.llm import packing, piecebpe, tokenbin
+from twinmark.llm import packing, piecebpe, quality, tokenbin
 
 TOKENIZERS = os.environ.get("TWINMARK_TOKENIZERS", "/opt/tokenizers")
 """Folder of the public tokenizer files; must be there on every executor."""
@@ -26,11 +26,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_back(spark, at)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.fit(docs))
+
+
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.encode(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_token_files, op10_piece_encoding)
+    f.__name__: f for f in (op1_best_fit_packing, op4_token_files, op5_quality_rules, op10_piece_encoding)
 }
 ORACLE_SQL: dict[str, str] = {}

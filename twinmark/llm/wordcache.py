@@ -16,17 +16,35 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import regex
 
 U4 = np.dtype("<u4")
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level BPE writes each byte: printable Latin-1 as itself, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(0x100) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+SPLIT = {
+    # The splitting patterns of the two tokenizers, as their files state them.
+    True: r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    False: r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+}
+
+
 class ChunkEncoder:
     """ids(text) -> bytes of little-endian unsigned 32-bit ids, as the library gives for the whole text.
 
     drops_space: the tokenizer removes white space and lowercases (else it is byte-level and keeps it).
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 300_000):
+    def __init__(self, path: str, drops_space: bool, limit: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,10 +52,35 @@ class ChunkEncoder:
         self.tok.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
         self.drops_space, self.limit = drops_space, limit
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.model = self.tok.model
+        self.split = regex.compile(SPLIT[drops_space])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, U4).tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """ids of one piece of the splitting pattern, from the library's BPE model."""
+        if (got := self.pieces.get(piece)) is None:
+            letters = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+            got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+            if len(piece) < 4 and len(self.pieces) < 100_000:
+                self.pieces[piece] = got
+        return got
+
+    def learn(self, chunks: list[str]) -> None:
+        """Printable Latin-1 is split here, where all Unicode versions agree; the rest by the library."""
+        lead, mixed, known, find, piece = "" if self.drops_space else " ", [], self.known, self.split.findall, self.piece
+        for c in chunks:
+            if c.isalpha() and c.isascii() and (lead or c.islower()):
+                known[c] = piece(lead + c)
+            elif c and max(c) < "\u0100" and c.replace("\n", "").isprintable() and (lead or c == c.lower()):
+                known[c] = b"".join([known[w] if (w := p.removeprefix(lead)) in known and p.startswith(lead) else piece(p) for p in find(lead + c)])
+            else:
+                mixed.append(c)
+        for c, e in zip(mixed, self.tok.encode_batch_fast([f"{lead}{c}" for c in mixed], add_special_tokens=False), strict=True):
+            known[c] = np.array(e.ids, U4).tobytes()
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
@@ -65,9 +108,7 @@ class ChunkEncoder:
             if len(known) + len(new) > self.limit:
                 known.clear()
                 new = list(set(chunks))
-            given = new if self.drops_space else [f" {c}" for c in new]
-            for c, e in zip(new, self.tok.encode_batch_fast(given, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, U4).tobytes()
+            self.learn(new)
             return head + b"".join([known[c] for c in chunks])
 
 
