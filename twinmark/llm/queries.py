@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinmark.llm import packing, piecebpe, quality, tokenbin
+from twinmark.llm import packing, piecebpe, quality, tokenbin, topk
 
 TOKENIZERS = os.environ.get("TWINMARK_TOKENIZERS", "/opt/tokenizers")
 """Folder of the public tokenizer files; must be there on every executor."""
@@ -31,11 +32,28 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.fit(docs))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.encode(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_token_files, op5_quality_rules, op10_piece_encoding)
+    f.__name__: f for f in (op1_best_fit_packing, op4_token_files, op5_quality_rules, op8_exact_top_k, op10_piece_encoding)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+            from embeddings where embedding is not null
+        ), s as (
+            select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score
+            from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+        ), r as (
+            select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+        )
+        select query_id, rank, vec_id, score from r where rank <= 5
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
