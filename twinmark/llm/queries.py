@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinmark.llm import packing, piecebpe, quality, secrets, tokenbin, topk
+from twinmark.llm import linededup, packing, piecebpe, quality, secrets, tokenbin, topk
 
 TOKENIZERS = os.environ.get("TWINMARK_TOKENIZERS", "/opt/tokenizers")
 """Folder of the public tokenizer files; must be there on every executor."""
@@ -26,6 +26,11 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup(docs, with_counts=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = tokenbin.write(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
     return tokenbin.read_back(spark, at)
@@ -45,9 +50,10 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op4_token_files, op5_quality_rules, op8_exact_top_k, op10_piece_encoding)
+    f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op3_line_dedup, op4_token_files, op5_quality_rules, op8_exact_top_k, op10_piece_encoding)
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": linededup.SQL,
     "op8_exact_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q
