@@ -38,7 +38,7 @@ NONE = np.iinfo(np.int64).max
 class PieceModel:
     """Pieces, merge ranks and a bounded table of words already encoded."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -54,7 +54,13 @@ class PieceModel:
         self.rank = np.full(n + 1, NONE)
         for i in plain:
             self.rank[i] = rank_of_score[sp.get_score(i)]
-        # every split of a piece into two pieces, as sorted keys for binary search
+        self.char = -1 - np.arange(0x110000)  # id of each character, or -1 - its code point
+        for p, i in self.id_of.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        self.shown = [str(i) for i in range(n)]
+        self.raw = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        # every split of a piece into two pieces
         keys, made = [], []
         for i in plain:
             p = self.pieces[i]
@@ -62,17 +68,34 @@ class PieceModel:
                 if (a := self.id_of.get(p[:k])) is not None and (b := self.id_of.get(p[k:])) is not None:
                     keys.append(a << 32 | b)
                     made.append(i)
-        order = np.argsort(keys)
-        self.keys, self.made = np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
-        self.pair = dict(zip(self.keys.tolist(), self.made.tolist(), strict=True))
+        self.pair = dict(zip(keys, made, strict=True))
+        self.slots = max(1 << 12, 4 << len(keys).bit_length())
+        self.table_key, self.table_made = np.full(self.slots, -1), np.full(self.slots, -1)
+        for k, m in self.pair.items():
+            at = int(self._slot(np.array([k]))[0])
+            while self.table_key[at] >= 0:
+                at = (at + 1) % self.slots
+            self.table_key[at], self.table_made[at] = k, m
         self.limit = limit
         self.known: dict[str, tuple[int, str, bytes]] = {}
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        h = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
+
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The piece that each pair makes, or -1. Negative symbols make none."""
-        key = np.where((a >= 0) & (b >= 0), a << 32 | b, -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], -1)
+        """The piece that each pair makes, or -1, from an open-addressed table. Negative symbols make none."""
+        key = np.where((a >= 0) & (b >= 0), a << 32 | b, -2)
+        at = self._slot(key)
+        found = self.table_key[at]
+        out = np.where(found == key, self.table_made[at], -1)
+        left = np.flatnonzero((found >= 0) & (found != key))
+        while len(left):  # next slot, for those that met another key
+            at[left] = (at[left] + 1) % self.slots
+            found = self.table_key[at[left]]
+            out[left] = np.where(found == key[left], self.table_made[at[left]], -1)
+            left = left[(found >= 0) & (found != key[left])]
+        return out
 
     def long_word(self, sym: list[int]) -> list[int]:
         """The same merges in the same order, by a heap: for one word of any length."""
@@ -99,65 +122,71 @@ class PieceModel:
 
     def words(self, words: list[str]) -> list[list[int]]:
         """Final symbols of each word: ids, or -1 - code point of a character without a piece."""
-        out: list[list[int] | None] = [None] * len(words)
-        get, sym, word = self.id_of.get, [], []
-        for k, w in enumerate(words):
-            s = [get(c, -1 - ord(c)) for c in w]
-            if len(s) > LONG:
-                out[k] = self.long_word(s)
-            else:
-                sym += s
-                word += [k] * len(s)
-        sym, word = np.array(sym, np.int64), np.array(word, np.int64)
+        n = np.array([len(w) for w in words], np.int64)
+        sym = self.char[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+        word = np.repeat(np.arange(len(words)), n)
+        out: dict[int, list[int]] = {}
+        if n.max(initial=0) > LONG:
+            start = np.cumsum(n) - n
+            for k in np.flatnonzero(n > LONG).tolist():
+                out[k] = self.long_word(sym[start[k] : start[k] + n[k]].tolist())
+            fits = (n <= LONG)[word]
+            sym, word = sym[fits], word[fits]
+        made = np.full(len(sym), -1)
+        if len(sym):
+            made[:-1] = np.where(word[:-1] == word[1:], self.merged(sym[:-1], sym[1:]), -1)
+        rank = self.rank[made]  # of the pair that starts here; -1 finds the last entry, NONE
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
-            same = word[:-1] == word[1:]
-            made = np.where(same, self.merged(sym[:-1], sym[1:]), -1) if len(sym) > 1 else np.empty(0, np.int64)
-            rank = self.rank[made]  # made is -1 for no pair: the last entry, NONE
-            first = np.flatnonzero(np.concatenate([[True], ~same]))
-            low = np.minimum.reduceat(np.concatenate([rank, [NONE]]), first) if len(rank) else np.array([NONE])
-            # the last pair before a word's end belongs to no word: its rank is NONE already
-            size = np.diff(np.append(first, len(sym)))
-            per = np.repeat(low, size)
+            first = np.flatnonzero(np.concatenate([[True], word[:-1] != word[1:]]))
+            low = np.minimum.reduceat(rank, first)
+            per = np.repeat(low, np.diff(np.append(first, len(sym))))
             still = per != NONE
             if not still.all():
                 done.append((word[~still], sym[~still]))
-                if not still.any():
+                sym, word, made, rank, per = (x[still] for x in (sym, word, made, rank, per))
+                if not len(sym):
                     break
-                keep = still
-                sym, word, per = sym[keep], word[keep], per[keep]
-                made, rank = np.append(made, -1)[keep][:-1], np.append(rank, NONE)[keep][:-1]
-            hit = rank == per[:-1]
             # leftmost, not overlapping: of each run of neighbouring hits every second one, from its start
-            at = np.flatnonzero(hit)
-            start = np.concatenate([[True], np.diff(at) > 1]) if len(at) else np.empty(0, bool)
+            at = np.flatnonzero(rank == per)
+            start = np.concatenate([[True], np.diff(at) > 1])
             run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
             at = at[(np.arange(len(at)) - run) % 2 == 0]
             at = self._safe(sym, word, made, rank, at)
             sym[at] = made[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            sym, word = sym[keep], word[keep]
-        if done:
-            w, s = np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
-            order = np.argsort(w, kind="stable")
-            w, s = w[order], s[order]
-            cuts = np.flatnonzero(np.diff(w)) + 1
-            for k, part in zip(w[np.concatenate([[0], cuts])].tolist(), np.split(s, cuts), strict=True):
-                out[k] = part.tolist()
-        return [x or [] for x in out]
+            sym, word, made, rank = (x[keep] for x in (sym, word, made, rank))
+            at = at - np.arange(len(at))
+            # only pairs that hold a new symbol change
+            changed = np.zeros(len(sym), bool)
+            changed[at] = True
+            changed[at[at > 0] - 1] = True
+            left = np.flatnonzero(changed)
+            right = np.minimum(left + 1, len(sym) - 1)
+            one = (right > left) & (word[left] == word[right])
+            made[left] = np.where(one, self.merged(sym[left], sym[right]), -1)
+            rank[left] = self.rank[made[left]]
+        w, s = (np.concatenate([x[i] for x in done] or [np.empty(0, np.int64)]) for i in (0, 1))
+        order = np.argsort(w, kind="stable")
+        ends = np.searchsorted(w[order], np.arange(len(words) + 1)).tolist()
+        flat = s[order].tolist()
+        return [out[k] if k in out else flat[i:j] for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
 
     def _safe(self, sym, word, made, rank, at):
         """Of the merges at `at` (ascending), those up to each word's first that makes an earlier pair."""
         w = word[at]
-        several = np.concatenate([w[1:] == w[:-1], [False]])  # another merge of this word follows
-        if not several.any():
+        more = w[1:] == w[:-1]
+        if not more.any():
             return at
-        new, n = made[at], len(sym)
-        before = np.where((at > 0) & (word[np.maximum(at - 1, 0)] == w), sym[np.maximum(at - 1, 0)], -1)
+        group = np.concatenate([more, [False]]) | np.concatenate([[False], more])  # several merges in one word
+        kept, at = at[~group], at[group]
+        w, new, n = word[at], made[at], len(sym)
+        back = np.maximum(at - 1, 0)
+        before = np.where((at > 0) & (word[back] == w), sym[back], -1)
         # the left neighbour may itself have just been merged
-        prev = np.concatenate([[False], (at[1:] - at[:-1] == 2) & (w[1:] == w[:-1])])
-        before = np.where(prev, np.concatenate([[0], new[:-1]]), before)
+        joined = np.concatenate([[False], (at[1:] - at[:-1] == 2) & (w[1:] == w[:-1])])
+        before = np.where(joined, np.concatenate([[0], new[:-1]]), before)
         nxt = np.minimum(at + 2, n - 1)
         after = np.where((at + 2 < n) & (word[nxt] == w), sym[nxt], -1)
         early = np.minimum(self.rank[self.merged(before, new)], self.rank[self.merged(new, after)]) <= rank[at]
@@ -165,7 +194,7 @@ class PieceModel:
         total = np.cumsum(early) - early
         first = np.concatenate([[True], w[1:] != w[:-1]])
         base = np.maximum.accumulate(np.where(first, total, 0))
-        return at[total == base]
+        return np.sort(np.concatenate([kept, at[total == base]]))
 
     def decode_raw(self, ids: list[int]) -> bytes:
         """UTF-8 of the pieces, escaped spaces as spaces; broken byte sequences as the library shows them."""
@@ -177,7 +206,7 @@ class PieceModel:
             if held:
                 out.append(bytes(held).decode("utf-8", "replace").encode())
                 held.clear()
-            out.append(self.pieces[i].replace(SPACE, " ").encode())
+            out.append(self.raw[i])
         if held:
             out.append(bytes(held).decode("utf-8", "replace").encode())
         return b"".join(out)
@@ -227,13 +256,12 @@ class PieceModel:
         return sum(n), ",".join(ids), b"".join(raw)[1:]
 
     def _entry(self, syms: list[int]) -> tuple[int, str, bytes]:
+        if not syms or min(syms) >= 0:
+            return len(syms), ",".join([self.shown[i] for i in syms]), b"".join([self.raw[i] for i in syms])
         ids: list[int] = []
         for s in syms:
-            if s >= 0:
-                ids.append(s)
-            else:
-                ids += [self.bytes_at[b] for b in chr(-1 - s).encode()]
-        return len(ids), ",".join(map(str, ids)), self.decode_raw(ids)
+            ids += [s] if s >= 0 else [self.bytes_at[b] for b in chr(-1 - s).encode()]
+        return len(ids), ",".join([self.shown[i] for i in ids]), self.decode_raw(ids)
 
 
 _models: dict[str, PieceModel] = {}
