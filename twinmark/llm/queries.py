@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinmark.llm import linededup, packing, piecebpe, pii, quality, secrets, tokenbin, topk
+from twinmark.llm import jaccard, linededup, packing, piecebpe, pii, quality, secrets, tokenbin, topk
 
 TOKENIZERS = os.environ.get("TWINMARK_TOKENIZERS", "/opt/tokenizers")
 """Folder of the public tokenizer files; must be there on every executor."""
@@ -49,12 +49,16 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"))
+
+
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.encode(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op3_line_dedup, op4_token_files, op5_quality_rules, op7_personal_data, op8_exact_top_k, op10_piece_encoding)
+    f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op3_line_dedup, op4_token_files, op5_quality_rules, op7_personal_data, op8_exact_top_k, op9_ngram_jaccard_join, op10_piece_encoding)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": linededup.SQL,
