@@ -53,18 +53,19 @@ def later_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 def dedup(docs: DataFrame, span: int = SPAN, with_counts: bool = False) -> DataFrame:
     """The documents without the lines of later occurrences; with_counts adds n_lines and n_removed."""
-    found = later_windows(docs, span)
-    row, taken = free_name(docs, "whole_row"), list(docs.columns)
-    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), *_keys(docs)).join(found, ["k_id", "k_text"], "left")
-    text = F.col(f"{row}.text")
-    lines = F.when(text.isNotNull(), _lines(text)).otherwise(F.array().cast("array<string>"))
-    df = df.select(row, "found", lines.alias("lines"))
-    df = df.select(row, "lines", F.when(F.col("found").isNotNull(), F.array_distinct(F.flatten(F.transform("found", lambda j: F.sequence(j, j + (span - 1)))))).alias("covered"), F.when(F.col("found").isNotNull(), _told(F.col("lines"))).alias("told"))
-    gone = F.transform("covered", lambda j: F.element_at("told", (j + 1).cast("int")))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
-    cleaned = F.when(F.col("covered").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("lines", (i + 1).cast("int"))), "\n"))
-    more = [F.when(text.isNull(), 0).otherwise(F.size("lines")).cast("long").alias(free_name(taken, "n_lines")), F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias(free_name(taken, "n_removed"))] if with_counts else []
-    return df.select(*(cleaned.alias("text") if c == "text" else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns), *more)
+    names = list(docs.columns)
+    a, b, found, lines, covered, told = (free_name(names, x) for x in ("k_id", "k_text", "found", "lines", "covered", "told"))
+    gone = later_windows(docs, span).select(F.col("k_id").alias(a), F.col("k_text").alias(b), F.col("found").alias(found))
+    df = docs.select("*", *(c.alias(n) for c, n in zip(_keys(docs), (a, b), strict=True))).join(gone, [a, b], "left").drop(a, b)
+    hit, text = F.col(found).isNotNull(), F.col("text")
+    df = df.select("*", F.when(hit, _lines(text)).alias(lines))
+    df = df.select("*", F.when(hit, F.array_distinct(F.flatten(F.transform(found, lambda j: F.sequence(j, j + (span - 1)))))).alias(covered), F.when(hit, _told(F.col(lines))).alias(told))
+    out = F.transform(covered, lambda j: F.element_at(told, (j + 1).cast("int")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
+    cleaned = F.when(hit, F.array_join(F.transform(stay, lambda i: F.element_at(lines, (i + 1).cast("int"))), "\n")).otherwise(text)
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    more = [n_lines.cast("long").alias(free_name(names, "n_lines")), F.when(hit, F.size(covered)).otherwise(0).cast("long").alias(free_name(names, "n_removed"))] if with_counts else []
+    return df.select(*(cleaned.alias("text") if c == "text" else F.col(f"`{c}`") for c in names), *more)
 
 
 def filter(docs: DataFrame, span: int = SPAN) -> DataFrame:  # noqa: A001
