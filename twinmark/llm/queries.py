@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinmark.llm import jaccard, linededup, packing, piecebpe, pii, quality, secrets, tokenbin, topk
+import corpus_pipeline
+from twinmark.llm import jaccard, langid, linededup, packing, piecebpe, pii, quality, secrets, tokenbin, topk
 
 TOKENIZERS = os.environ.get("TWINMARK_TOKENIZERS", "/opt/tokenizers")
 """Folder of the public tokenizer files; must be there on every executor."""
@@ -41,6 +42,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.fit(docs))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "pages"), langid.train(_read(spark, sf_dir, "documents")))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_read(spark, sf_dir, "documents"))
 
@@ -58,7 +63,8 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op3_line_dedup, op4_token_files, op5_quality_rules, op7_personal_data, op8_exact_top_k, op9_ngram_jaccard_join, op10_piece_encoding)
+    "pipeline": corpus_pipeline.run,
+    **{f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op3_line_dedup, op4_token_files, op5_quality_rules, op6_language_id, op7_personal_data, op8_exact_top_k, op9_ngram_jaccard_join, op10_piece_encoding)},
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": linededup.SQL,
