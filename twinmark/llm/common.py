@@ -65,7 +65,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `most` bytes of the given column, one row at least, so that a
     batch of very long texts doesn't multiply in memory."""
     col = batch.column(column)
@@ -80,6 +80,17 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterato
         yield batch.slice(at)
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What a Python worker keeps from task to task for an operator, such as models and tables of words.
+    Workers are used again by other operators, so only the last one's is kept."""
+    for other in [k for k in _kept if k != operator]:
+        del _kept[other]
+    return _kept.setdefault(operator, {})
+
+
 def free_name(df_or_names, want: str) -> str:
     """A column name that doesn't clash with those there."""
     names = {x.lower() for x in (df_or_names if isinstance(df_or_names, (list, set)) else df_or_names.columns)}

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinmark.llm.common import cut, free_name, ship, slices
+from twinmark.llm.common import cut, free_name, kept, ship, slices
 from twinmark.llm.components import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -123,8 +123,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("jaccard")
         for whole in batches:
-            for b in slices(whole, "text", 3_000_000):
+            for b in slices(whole, "text"):
                 h, n = shingle_sets([t or "" for t in b.column("text").to_pylist()])
                 end = np.cumsum(n)
                 keys = [hashlib.blake2b(h[e - c : e].tobytes(), digest_size=16).digest() if c else None for e, c in zip(end.tolist(), n.tolist(), strict=True)]
@@ -349,7 +350,7 @@ def intersections(sets: list[np.ndarray], cells: int = 16_000_000) -> np.ndarray
 def _shingles_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text", 3_000_000):
+            for b in slices(whole, "text"):
                 h, n = shingle_sets([t or "" for t in b.column("text").to_pylist()])
                 end = np.cumsum(n)
                 sets = [h[e - c : e].tobytes() for e, c in zip(end.tolist(), n.tolist(), strict=True)]
@@ -405,5 +406,5 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     drop = out.select("k_id", "k_text").distinct()
     a, b = free_name(docs, "k_id"), free_name(docs, "k_text")
     keyed = docs.select("*", *(c.alias(n) for c, n in zip(_text_keys(), (a, b), strict=True)))
-    kept = keyed.join(drop.select(F.col("k_id").alias(a), F.col("k_text").alias(b)), [a, b], "left_anti")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    left = keyed.join(drop.select(F.col("k_id").alias(a), F.col("k_text").alias(b)), [a, b], "left_anti")
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinmark.llm import quality
-from twinmark.llm.common import cut, ship, slices
+from twinmark.llm.common import cut, kept, ship, slices
 
 TRAIN_ROWS, TEMPER, STRENGTH = 20_000, 0.1, 4.0
 _HIDDEN = re.compile(r"(?is)<(script|style|nav|template|noscript)\b.*?</\1\s*>|<!--.*?-->")
@@ -76,8 +76,9 @@ def evidence(pages: DataFrame, model: quality.KneserNey, languages: tuple[str, .
     held = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("langid")
         for whole in batches:
-            for b in slices(whole, "html", 4_000_000):
+            for b in slices(whole, "html"):
                 raw = [h or "" for h in b.column("html").to_pylist()]
                 g, n = quality.grams([visible(h) for h in raw])
                 end = np.cumsum(n)

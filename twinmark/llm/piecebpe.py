@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinmark.llm.common import ship, slices
+from twinmark.llm.common import kept, ship, slices
 
 SPACE = "▁"
 LONG = 2048
@@ -264,13 +264,11 @@ class PieceModel:
         return len(ids), ",".join([self.shown[i] for i in ids]), self.decode_raw(ids)
 
 
-_models: dict[str, PieceModel] = {}
-
-
 def model(path: str) -> PieceModel:
-    if path not in _models:
-        _models[path] = PieceModel(path)
-    return _models[path]
+    mine = kept("pieces")
+    if path not in mine:
+        mine[path] = PieceModel(path)
+    return mine[path]
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -282,7 +280,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for whole in batches:
-            for b in slices(whole, "text", 2_000_000):
+            for b in slices(whole, "text"):
                 n, ids, raw, full = [], [], [], []
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 m.learn([t for t in texts if t])

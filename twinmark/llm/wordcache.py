@@ -18,6 +18,8 @@ import os
 import numpy as np
 import regex
 
+from twinmark.llm.common import kept
+
 U4 = np.dtype("<u4")
 
 
@@ -44,7 +46,7 @@ class ChunkEncoder:
     drops_space: the tokenizer removes white space and lowercases (else it is byte-level and keeps it).
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 900_000):
+    def __init__(self, path: str, drops_space: bool, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -112,12 +114,10 @@ class ChunkEncoder:
             return head + b"".join([known[c] for c in chunks])
 
 
-_encoders: dict[tuple, ChunkEncoder] = {}
-
-
 def encoder(path: str, drops_space: bool) -> ChunkEncoder:
     """One encoder per file and Python worker."""
-    key = (path, drops_space)
-    if key not in _encoders:
-        _encoders[key] = ChunkEncoder(path, drops_space)
-    return _encoders[key]
+    mine = kept("encoder")
+    if (path, drops_space) not in mine:
+        mine.clear()
+        mine[path, drops_space] = ChunkEncoder(path, drops_space)
+    return mine[path, drops_space]
