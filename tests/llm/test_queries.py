@@ -1,0 +1,72 @@
+"""The registered queries and the pipeline over the smallest tables, whole."""
+
+import brute
+import duckdb
+import pytest
+
+import corpus_pipeline
+from twinmark.llm import packing, quality
+from twinmark.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def canon(rows, columns):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    df = QUERIES[name](spark, SF)
+    rows = [tuple(r) for r in df.collect()]
+    assert rows
+    if name in ORACLE_SQL:
+        con = duckdb.connect()
+        for t in ("documents", "embeddings"):
+            con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+        q = con.execute(ORACLE_SQL[name])
+        columns = [x[0] for x in q.description]
+        assert canon(rows, df.columns) == canon(q.fetchall(), columns)
+
+
+def test_stages_against_plain_versions(spark, docs, tmp_path):
+    stage = dict(corpus_pipeline.STAGES)
+    table = {"docs": docs}
+
+    def run(name, given):
+        at = str(tmp_path / name)
+        stage[name](spark, given, SF).write.parquet(at)
+        table[name] = spark.read.parquet(at)
+        return {r.doc_id: r for r in table[name].collect()}
+
+    before = {r.doc_id: r for r in docs.collect()}
+    m = quality.fit(docs)
+    verdict = {r.doc_id: r for r in quality.assess(docs, m).collect()}
+    a = run("quality", docs)
+    assert set(a) == {i for i, r in verdict.items() if r.kept and not brute.rules(before[i].text)[0] < 10}
+    assert all(a[i] == before[i] for i in a) and table["quality"].columns == docs.columns
+    b = run("line_dedup", table["quality"])
+    want = {i: (t, n) for i, t, n in brute.line_dedup([(i, r.text) for i, r in a.items()])}
+    assert {i: r.text for i, r in b.items()} == {i: t for i, (t, n) in want.items() if not n or t.strip()}
+    c = run("near_duplicates", table["line_dedup"])
+    rows = [(i, r.text) for i, r in b.items()]
+    groups = {g for g, _ in brute.jaccard(rows).values()}
+    assert set(c) == {min(rows[j][0] for j in g) for g in groups}
+    d = run("secrets", table["near_duplicates"])
+    assert set(d) == set(c) and all(brute.secrets(r.text)[0] == [0, 0, 0] for r in d.values())
+    assert all(d[i].text == c[i].text for i in d if brute.secrets(c[i].text)[0] == [0, 0, 0])
+    e = stage["packing"](spark, table["secrets"], SF).collect()
+    assert {r.doc_id for r in e} == set(d) and all(r.offset + r.length <= packing.SEQUENCE for r in e)
+
+
+def test_empty_corpus(spark, docs):
+    df = docs.where("false")
+    for _, f in corpus_pipeline.STAGES:
+        df = f(spark, df, SF)
+    assert df.count() == 0

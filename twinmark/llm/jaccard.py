@@ -397,7 +397,7 @@ def join(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns; documents
-    without words stay."""
+    without words stay. Rows that repeat id and text are one document."""
     rows, sets = groups(docs, similar)
     sets = cut(sets)
     heads = cut(sets.groupBy("label").agg(F.min("first").alias("head")))
@@ -406,5 +406,10 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     drop = out.select("k_id", "k_text").distinct()
     a, b = free_name(docs, "k_id"), free_name(docs, "k_text")
     keyed = docs.select("*", *(c.alias(n) for c, n in zip(_text_keys(), (a, b), strict=True)))
-    left = keyed.join(drop.select(F.col("k_id").alias(a), F.col("k_text").alias(b)), [a, b], "left_anti")
+    named = lambda df: df.select(F.col("k_id").alias(a), F.col("k_text").alias(b))
+    left = keyed.join(named(drop), [a, b], "left_anti")
+    twice = cut(named(rows.groupBy("k_id", "k_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")))
+    if twice.take(1):  # the same id and text again: no other row needs to be looked at
+        again = left.join(twice, [a, b], "left_semi").dropDuplicates([a, b])
+        left = left.join(twice, [a, b], "left_anti").unionByName(again)
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -39,7 +39,7 @@ BASE = [
     Kind("hex", HEX),
 ]
 TRAIN_ROWS, DRAWN = 20_000, 2_000
-THRESHOLD, DISTINCT = 20.0, 10
+THRESHOLD, DISTINCT, SMOOTH = 20.0, 10, 8.0
 MASK = "[SECRET]"
 
 
@@ -64,11 +64,15 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, drawn: int = DRAWN) ->
     plain = _bigrams(sample.select(F.explode(F.regexp_extract_all(cleared, F.lit(WORD), F.lit(0))).alias("t")).where(~F.col("t").rlike("^AKIA|[0-9].*[A-Za-z].*[0-9]")))
 
     def logs(counts: dict[str, int]) -> dict[str, float]:
-        sums: dict[str, int] = {}
+        """Log P(b | a), smoothed by how often b stands anywhere: a context never seen tells that much."""
+        after: dict[str, int] = {}
+        any_: dict[str, int] = {}
         for p, n in counts.items():
-            sums[p[0]] = sums.get(p[0], 0) + n
-        k = len(ALPHABET)
-        return {a + b: math.log((counts.get(a + b, 0) + 0.5) / (sums.get(a, 0) + 0.5 * k)) for a in ALPHABET for b in ALPHABET}
+            after[p[0]] = after.get(p[0], 0) + n
+            any_[p[1]] = any_.get(p[1], 0) + n
+        total, k = sum(any_.values()), len(ALPHABET)
+        p1 = {b: (any_.get(b, 0) + 0.5) / (total + 0.5 * k) for b in ALPHABET}
+        return {a + b: math.log((counts.get(a + b, 0) + SMOOTH * p1[b]) / (after.get(a, 0) + SMOOTH)) for a in ALPHABET for b in ALPHABET}
 
     r, q = logs(random), logs(plain)
     symbols = [None, *ALPHABET]
