@@ -120,9 +120,10 @@ def _pack_rest(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = -1 - (TaskContext.get().partitionId() << 33)
-        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if rows is None or not rows.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         length = rows.column("length").to_numpy()
         bins, seq, offset = OpenBins(size, rows.num_rows), np.empty(len(length), "i8"), np.empty(len(length), "i8")
         for i in np.argsort(-length, kind="stable"):

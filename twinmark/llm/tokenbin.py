@@ -46,8 +46,7 @@ def _put(fs: pafs.FileSystem, at: str, chunks: list[bytes]) -> None:
 def _writer(uri: str, tokenizer: str, end_id: int, dtype: str, drops_space: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        enc, fs_at = encoder(tokenizer, drops_space), _fs(uri)
-        fs, top = fs_at
+        enc, (fs, top) = encoder(tokenizer, drops_space), _fs(uri)
         name, end = f"part-{part:05d}", np.array([end_id], dtype).tobytes()
         temp = f"{top}/{name}.bin.{TaskContext.get().taskAttemptId()}.tmp"
         lengths, docs, nulls, out = [], [], [], None
