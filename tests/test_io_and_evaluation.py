@@ -112,3 +112,37 @@ def test_pairs_on_a_stream(spark, tmp_path):
     q = pair_stream(stream).writeStream.format("memory").queryName("paired").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.pair_id, r.source_correct, r.target_correct) for r in spark.table("paired").collect()] == [("p", 1, 0)]
+
+
+def test_experiment(spark, tmp_path):
+    from twinmark.plans import experiment
+    from twinmark.sources.readers import config
+
+    bench = tmp_path / "bench.jsonl"
+    bench.write_text("\n".join(json.dumps({k: v for k, v in r.items() if k != "prediction"}) for r in ROWS))
+    conf = {
+        "experiment": {"name": "x", "seed": 17},
+        "languages": {"source": "en", "target": "az"},
+        "model": {"config_path": "m.yaml"},
+        "benchmark": {"input_path": str(bench)},
+        "inference": {"output_path": str(tmp_path / "pred")},
+        "evaluation": {"output_dir": str(tmp_path / "eval")},
+        "artifacts": {"save_config_snapshot": True, "save_run_metadata": True},
+    }
+    assert experiment.faults({}) and experiment.faults({**conf, "languages": {"source": "en", "target": "en"}})
+    done = experiment.run(spark, conf, lambda: lambda questions: ["42" for _ in questions])
+    assert done.summaries["capability_summary"].where("dimension = 'overall'").first().accuracy == 1.0
+    assert config(str(tmp_path / "eval_run" / "experiment_config.yaml")) == conf
+    with pytest.raises(FileExistsError):
+        experiment.preflight(spark, conf)
+    part = {**conf, "inference": {"output_path": str(tmp_path / "pred2")}}
+    part["evaluation"] = {"output_dir": str(tmp_path / "eval2")}
+    assert experiment.run(spark, part, lambda: lambda questions: questions, 1, 2, skip_evaluation=True) is None
+    assert spark.read.parquet(str(tmp_path / "pred2")).count() == 2
+
+
+def test_summaries_of_many_runs(spark, tmp_path):
+    for name, rate in (("a", 0.5), ("b", 0.25)):
+        sinks.document({"overall": {"rate": rate}}, str(tmp_path / name / "s.json"))
+    got = readers.summaries(spark, str(tmp_path / "*" / "s.json"), {"rate": "$.overall.rate"}).collect()
+    assert sorted((r.run, float(r.rate)) for r in got) == [("a", 0.5), ("b", 0.25)]

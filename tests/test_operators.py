@@ -172,3 +172,23 @@ def test_cascade_and_bounds(spark):
     assert [r.label for r in df.collect()] == ["yes", "no", "yes", None]
     got = ad.bounds(df, []).first()
     assert (got.lower_rate, got.upper_rate) == (0.5, 0.75)
+
+
+def test_adaptation_rules(spark):
+    good = ("a", "az", "c", "Do it", "Done", "bank", "s", "generated", "pending")
+    schema = "item_id string, language string, category string, instruction string, response string, source string, subcategory string, generation_status string, review_status string"
+    assert va.adaptation(spark.createDataFrame([good], schema), "az", {"c": ["s"]}, 5, 5).count() == 0
+    bad = [good, ("b", "en", "d", "do IT!", "", "bank", "t", "raw", "approved")]
+    found = {r.rule for r in va.adaptation(spark.createDataFrame(bad, schema), "az", {"c": ["s"]}, 1, 5).collect()}
+    assert found == {"not_blank", "allowed_language", "allowed_category", "allowed_generation_status", "allowed_review_status", "subcategory", "unique_instruction_text", "words_instruction"}
+
+
+def test_top_k_in_blocks_is_the_same(spark):
+    import random
+
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)], "id int, vector array<double>")
+    q = df.where("id % 10 = 0")
+    whole = overlap.embedding_top_k(q, df, 3, others=True).orderBy("query_id", "rank").collect()
+    parts = overlap.embedding_top_k(q, df, 3, most_queries=2, others=True).orderBy("query_id", "rank").collect()
+    assert whole == parts and len(whole) == 18

@@ -32,6 +32,21 @@ def merge_content(plan_rows: DataFrame, content: DataFrame) -> DataFrame:
     return plan_rows.join(content, "pair_id").orderBy("ord")
 
 
+def in_request_order(requests: DataFrame, content: DataFrame) -> DataFrame:
+    """Generated content by pair, numbered and sorted as it was asked for."""
+    return requests.select("pair_id", "ord").join(content, "pair_id").orderBy("ord")
+
+
+def coverage(requests: DataFrame, content: DataFrame, dimensions: list[str]) -> DataFrame:
+    """dimension, key, requested, generated and coverage: how much of what was asked for came back."""
+    from twinmark.operators.summaries import by_dimensions
+
+    there = content.select("pair_id").distinct().withColumn("_there", F.lit(1))
+    both = requests.join(there, "pair_id", "left")
+    n, got = F.count(F.lit(1)), F.count("_there")
+    return by_dimensions(both, {"overall": [], **{d: [d] for d in dimensions}}, [n.alias("requested"), got.alias("generated"), F.try_divide(got, n).alias("coverage")])
+
+
 def prompts(requests: DataFrame, guidance: dict[str, dict[str, str]], template: str = "{task} {category} {difficulty}") -> DataFrame:
     """requests with instruction: the guidance of its task, category and difficulty put into a template."""
     def of(kind: str) -> Column:

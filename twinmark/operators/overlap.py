@@ -46,6 +46,17 @@ def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     return both.select("left_id", "right_id", score.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def report(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """One row: records on both sides, exact pairs and similar pairs at the threshold."""
+    parts = [("left_records", left), ("right_records", right), ("exact_overlaps", exact(left, right)), ("similar_overlaps", similar(left, right, threshold))]
+    counts = None
+    for name, df in parts:
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("n"))).alias(name)
+    return counts.agg(*(pick(name) for name, _ in parts), F.lit(threshold).alias("threshold"))
+
+
 def sequence_ratio(left: Column, right: Column) -> Column:
     """Similarity of two texts as character sequences (matching blocks); in Arrow batches, for few pairs."""
 
@@ -72,10 +83,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-def embedding_top_k(queries: DataFrame, rows: DataFrame, k: int, threshold: float | None = None, most_queries: int = 20_000) -> DataFrame:
+def embedding_top_k(queries: DataFrame, rows: DataFrame, k: int, threshold: float | None = None, most_queries: int = 20_000, others: bool = False) -> DataFrame:
     """For each query its k nearest rows by cosine (ties to smaller ids), then those at the threshold.
     Both: id, vector. The queries are a stated set: they are sent to all executors, after a check of
-    their number; more are taken in blocks, each against all rows."""
+    their number; more are taken in blocks, each against all rows. others: a query's own id is no answer."""
     n = queries.count()
     blocks = max(1, math.ceil(n / most_queries))
     out = None
@@ -83,6 +94,7 @@ def embedding_top_k(queries: DataFrame, rows: DataFrame, k: int, threshold: floa
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         q = part.select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
         both = rows.crossJoin(F.broadcast(q)).select("query_id", "id", cosine(F.col("q"), F.col("vector")).alias("similarity"))
+        both = both.where("id <> query_id") if others else both
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
         best = both.withColumn("rank", rank).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)

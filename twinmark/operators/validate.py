@@ -66,7 +66,7 @@ def known(df: DataFrame, key: str, column: str, values: DataFrame) -> DataFrame:
 
 def metadata_rules(df: DataFrame, rules: DataFrame, key: str = "item_id") -> DataFrame:
     """Rows that break their task's rules (task, required, categories, difficulties: arrays, null: free)."""
-    both = df.join(F.broadcast(rules), "task", "left")  # one row a task
+    both = df.join(rules, "task", "left")
     blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
     breaks = F.array_compact(
         F.array(
@@ -108,6 +108,37 @@ def word_limits(df: DataFrame, key: str, column: str, low: int, high: int) -> Da
     return where(df, f"words_{column}", ~n.between(low, high), key, n)
 
 
+def exact_counts(df: DataFrame, column: str, wanted: dict[str, int]) -> DataFrame:
+    """Values that don't occur as often as wanted, those not wanted at all included."""
+    want = df.sparkSession.createDataFrame(list(wanted.items()), "_value string, _wanted long")
+    have = df.groupBy(F.col(column).cast("string").alias("_value")).agg(F.count(F.lit(1)).alias("_have"))
+    both = have.join(want, "_value", "full").where("coalesce(_have, 0) <> coalesce(_wanted, 0)")
+    return _out(both, f"exact_counts_{column}", F.col("_value"), F.concat_ws(" of ", F.coalesce("_have", F.lit(0)), F.coalesce("_wanted", F.lit(0))))
+
+
+def adaptation(df: DataFrame, language: str, categories: dict[str, list[str]], most_instruction: int | None = None, most_response: int | None = None) -> DataFrame:
+    """All rules of an adaptation table (item_id, language, category, instruction, response, source, and the
+    metadata columns subcategory, generation_status, review_status): fields, category and subcategory,
+    word limits, fresh statuses; ids, instructions and instruction-response pairs are unique once
+    normalised. categories: subcategories by category."""
+    from twinmark.functions.text import normalize_answer
+
+    subs = [x for c, s in categories.items() for x in (F.lit(c), F.array(*map(F.lit, s)))]
+    found = [
+        not_blank(df, "item_id", "item_id", "language", "category", "instruction", "response", "source"),
+        allowed(df, "item_id", "language", [language]),
+        allowed(df, "item_id", "category", list(categories)),
+        allowed(df, "item_id", "generation_status", ["generated"]),
+        allowed(df, "item_id", "review_status", ["pending"]),
+        where(df, "subcategory", ~F.array_contains(F.create_map(*subs)[F.col("category")], F.col("subcategory")), "item_id", F.coalesce("subcategory", F.lit("null"))),
+        unique(df, "item_id"),
+    ]
+    norm = df.select("item_id", normalize_answer(F.col("instruction")).alias("instruction_text"), normalize_answer(F.col("response")).alias("response_text"))
+    found += [unique(norm, "instruction_text"), unique(norm, "instruction_text", "response_text")]
+    found += [word_limits(df, "item_id", c, 0, n) for c, n in (("instruction", most_instruction), ("response", most_response)) if n is not None]
+    return every(*found)
+
+
 def design(config: dict) -> list[str]:
     """What is wrong with a benchmark design: totals of tasks, categories, difficulties and splits, and
     whether tasks say if they are answerable. Driver-side: a design is a small document."""

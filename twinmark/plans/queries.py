@@ -84,7 +84,7 @@ _TOKENS = "regexp_extract_all({}, '[0-9]+(?:/[0-9]+)?|[a-zəğıöüşç]+')"
 
 
 @query(
-    f"""with {PRED}, n as (select item_id, {norm_sql('prediction')} as p, {norm_sql('reference_answer')} as r from pred where text_lang = 'en'),
+    f"""with {PRED}, n as (select item_id, {norm_sql('prediction')} as p, {norm_sql('reference_answer')} as r from pred),
     t as (select *, {_TOKENS.format('p')} as pt, {_TOKENS.format('r')} as rt from n),
     s as (select item_id, case when p = r then 1 when r = '' then 0
         when regexp_matches(p, '\\b' || regexp_escape(r) || '\\b.*\\b(but|however|actually)\\b', 's') then 0
@@ -94,7 +94,7 @@ _TOKENS = "regexp_extract_all({}, '[0-9]+(?:/[0-9]+)?|[a-zəğıöüşç]+')"
     select item_id, score from s union all select id, score from {_values([(a, d) for a, _, _, d in SHORT])} as v(id, score)"""
 )
 def short_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predictions(spark, sf_dir).where("text_lang = 'en'").select("item_id", "prediction", "reference_answer")
+    rows = predictions(spark, sf_dir).select("item_id", "prediction", "reference_answer")
     own = _literal(spark, [r[:3] for r in SHORT], "item_id string, prediction string, reference_answer string")
     return rows.unionByName(own).select("item_id", sc.short_answer(F.col("prediction"), F.col("reference_answer")).alias("score"))
 
@@ -357,13 +357,13 @@ def jaccard_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with q as (select vec_id, cast(embedding as double[]) as v from embeddings), s as (
         select a.vec_id as query_id, b.vec_id as id, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) as similarity
-        from q a, q b where a.vec_id < 50 and b.vec_id >= 50),
+        from q a, q b where a.vec_id % 100 = 0 and b.vec_id <> a.vec_id),
     r as (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from s)
     select query_id, id, round(similarity, 6) as similarity, cast(rank as integer) as rank from r where rank <= 3 and similarity >= 0.2"""
 )
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    best = overlap.embedding_top_k(e.where("id < 50"), e.where("id >= 50"), 3, 0.2)
+    best = overlap.embedding_top_k(e.where("id % 100 = 0"), e, 3, 0.2, others=True)
     return best.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -654,3 +654,103 @@ def nfc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inference_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     return infer(rows, lambda: lambda questions: [f"A: {q}" for q in questions])
+
+
+# -- further joins, reports and generation ---------------------------------------------------------------
+
+
+def _two_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = predictions(spark, sf_dir)
+    row = lambda model, c: df.select("item_id", F.lit(model).alias("model"), "prediction", c.alias("correct"))
+    return row("base", F.col("correct")).unionByName(row("adapted", 1 - F.col("toxic")))
+
+
+@query(f"with {PRED} select item_id, question, reference_answer, 1 - toxic as adapted, correct as base, cast(2 as integer) as models from pred")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of several models folded into one row an item."""
+    folded = ad.fold_models(_two_results(spark, sf_dir), predictions(spark, sf_dir))
+    score = lambda m: F.col("answers")[m]["correct"].alias(m)
+    return folded.select("item_id", "question", "reference_answer", score("adapted"), score("base"), F.size("answers").alias("models"))
+
+
+@query(f"""with {PRED}, d as (select doc_id, quality from labels where toxic = 0)
+    select p.item_id, d.quality as decision, p.task = 'linguistic_understanding' and d.quality is null as missing from pred p left join d on p.ord = d.doc_id""")
+def decision_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Human decisions looked up where there are any; missing where one is needed and there is none."""
+    decisions = table(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").cast("string").alias("item_id"), F.col("quality").alias("decision"))
+    both = predictions(spark, sf_dir).join(decisions, "item_id", "left")
+    return both.select("item_id", "decision", ((F.col("task") == "linguistic_understanding") & F.col("decision").isNull()).alias("missing"))
+
+
+@query(f"with {_RATERS} select field, count(*) filter (where a <> '' and b <> '') as complete, count(*) filter (where a = '' or b = '') as missing, count(*) filter (where a = b) as agreements, count(*) filter (where a = b) / count(*) as raw_agreement from (select case when field = 0 then 'x' when field = 1 then 'y' else 'z' end as field, a, b from raters) group by field")
+def agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _raters(spark, sf_dir).withColumn("field", F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit("z")), (F.col("field") + 1).cast("int")))
+    return ad.agreement(df).drop("kappa")
+
+
+@query(f"""with {_RATERS}, l as (select field, 'first' as reviewer, a as label from raters union all select field, 'second', b from raters) select field, reviewer, label, count(*) as n from l group by all""")
+def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ad.distribution(_raters(spark, sf_dir))
+
+
+@query(f"""with {PRED} select language, count(*) as total, count(*) filter (where correct = 1) / count(*) as human_rate, count(*) filter (where status = 'abstained') / count(*) as rule_rate,
+    count(*) filter (where (correct = 1) <> (status = 'abstained')) as mismatches from pred group by language""")
+def human_against_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = predictions(spark, sf_dir).select("language", F.when(F.col("correct") == 1, "yes").otherwise("no").alias("human"), F.col("status").alias("rule_status"))
+    return ad.against_rules(df, ["language"])
+
+
+@query(f"""with {PRED} select (select count(*) from documents) as left_records, (select count(*) from benchmark) as right_records,
+    (select count(*) from documents d join benchmark b on array_to_string(regexp_extract_all(lower(d.text), '[0-9]+|[a-zəğıöüşç]+'), ' ') = array_to_string(regexp_extract_all(lower(b.text), '[0-9]+|[a-zəğıöüşç]+'), ' ')) as exact_overlaps,
+    (select count(*) from (select list_distinct({_OV}) as s, array_to_string({_OV}, ' ') as k from documents) a, (select list_distinct({_OV}) as s, array_to_string({_OV}, ' ') as k from benchmark) b
+        where a.k <> b.k and len(list_intersect(a.s, b.s)) / nullif(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)), 0) >= 0.25) as similar_overlaps, cast(0.25 as double) as threshold""")
+def overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(*_texts(spark, sf_dir), 0.25)
+
+
+@query(f"with {PRED}, c as (select *, status = 'answered' as there from pred) " + " union all ".join(f"select '{d}' as dimension, {k} as key, count(*) as requested, count(*) filter (where there) as generated, count(*) filter (where there) / count(*) as coverage from c" + (f" group by {k}" if d != "overall" else "") for d, k in (("overall", "'all'"), ("task", "task"), ("difficulty", "difficulty"))))
+def content_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = predictions(spark, sf_dir).withColumn("pair_id", F.col("item_id"))
+    return build.coverage(df, df.where("status = 'answered'"), ["task", "difficulty"])
+
+
+GUIDE = {"task": {"reasoning": "Think. ", "factual_knowledge": "Recall. "}, "difficulty": {"easy": "Simply.", "hard": "In depth."}}
+
+
+@query(f"""with {PRED} select item_id, 'Write: ' || case task when 'reasoning' then 'Think. ' when 'factual_knowledge' then 'Recall. ' else '' end
+    || case difficulty when 'easy' then 'Simply.' when 'hard' then 'In depth.' else '' end as instruction from pred""")
+def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.prompts(predictions(spark, sf_dir), GUIDE, "Write: {task}{difficulty}").select("item_id", "instruction")
+
+
+@query("""with b as (select item_id, row_number() over (order by item_id) - 1 as slot, text from benchmark), n as (select count(*) as slots from b), r as (select unnest(range(0, 100)) as index)
+    select cast(r.index as integer) as index, b.text from r, n join b on true where b.slot = r.index % n.slots""")
+def template_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank = split.numbered(table(spark, sf_dir, "benchmark"), ["item_id"], "slot", start=0).select(F.lit("c").alias("category"), F.col("slot").cast("int").alias("slot"), "text")
+    return build.templates(_literal(spark, [("c", 100)], "category string, count int"), bank).select("index", "text")
+
+
+@query("""with b as (select row_number() over (order by item_id) as index, item_id from benchmark), r as (select unnest(range(1, 51)) as index)
+    select cast(r.index as integer) as index, b.item_id, b.item_id is null as missing from r left join b on r.index = b.index""")
+def bank_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank = split.numbered(table(spark, sf_dir, "benchmark"), ["item_id"], "index").select(F.lit("t").alias("task"), F.col("index").cast("int").alias("index"), "item_id")
+    asked = split.expand(_literal(spark, [("t", 50)], "task string, count int"))
+    return build.from_bank(asked, bank).select("index", "item_id", "missing")
+
+
+@query(f"with {PRED} select item_id, ord from pred order by ord limit 20 offset 10")
+def resumed_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 10 to 29 in order: the limit is what a resumed run asks for."""
+    return split.piece(predictions(spark, sf_dir), ["ord"], 10, 20).select("item_id", "ord")
+
+
+@query(f"with {PRED} select 'exact_counts_task' as rule, task as key, count(*) || ' of 7' as detail from pred where task = 'reasoning' group by task having count(*) <> 7 union all select 'exact_counts_task', task, count(*) || ' of 0' from pred where task <> 'reasoning' group by task")
+def exact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va.exact_counts(predictions(spark, sf_dir), "task", {"reasoning": 7})
+
+
+@query(f"""with {PRED}, {_MODELS} select count(*) as n, round(avg(base_en), 9) as en_accuracy, round(avg(base_az), 9) as az_accuracy, round(avg(base_en) - avg(base_az), 9) as en_az_gap from models""")
+def single_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _two_models(spark, sf_dir)
+    r = lambda c: F.round(c, 9)
+    return df.agg(F.count(F.lit(1)).alias("n"), r(F.avg("base_en")).alias("en_accuracy"), r(F.avg("base_az")).alias("az_accuracy"), r(F.avg("base_en") - F.avg("base_az")).alias("en_az_gap"))
