@@ -93,3 +93,14 @@ def templates(counts: DataFrame, bank: DataFrame, most: int = 100_000) -> DataFr
 def from_bank(requests: DataFrame, bank: DataFrame) -> DataFrame:
     """Requests (task, index from 1) with the bank's entry (task, index, ...); missing is true past its end."""
     return requests.join(bank.withColumn("_there", F.lit(True)), ["task", "index"], "left").withColumn("missing", F.col("_there").isNull()).drop("_there")
+
+
+def by_language(df: DataFrame, fields: dict[str, dict[str, str]], language: str = "language") -> DataFrame:
+    """df with columns taken from the one that a row's language has for them: {"question": {"en": "question_en", ...}}."""
+    def pick(own: dict[str, str]) -> Column:
+        out = F.lit(None).cast("string")
+        for lang, column in own.items():
+            out = F.when(F.col(language) == lang, F.col(column)).otherwise(out)
+        return out
+
+    return df.withColumns({name: pick(own) for name, own in fields.items()})

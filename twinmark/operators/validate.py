@@ -97,6 +97,13 @@ def benchmark(df: DataFrame, languages: list[str], tasks: list[str], texts: bool
     return every(not_blank(df, "item_id", *columns), allowed(df, "item_id", "language", languages), allowed(df, "item_id", "task", tasks), unique(df, "item_id"), unique(df, "pair_id", "language"), complete_pairs(df, languages), one_per_pair(df, "task"))
 
 
+def by_file(df: DataFrame, languages: list[str], tasks: list[str], file: str = "file") -> DataFrame:
+    """The benchmark rules within each candidate file, keys prefixed by it: pairs and ids are a file's own."""
+    own = df.withColumns({"item_id": F.concat_ws(":", file, "item_id"), "pair_id": F.concat_ws(":", file, "pair_id")})
+    blank = not_blank(df, "item_id", "item_id", "pair_id")
+    return every(blank, *(f for f in (allowed(own, "item_id", "language", languages), allowed(own, "item_id", "task", tasks), unique(own, "item_id"), unique(own, "pair_id", "language"), complete_pairs(own, languages), one_per_pair(own, "task"))))
+
+
 def different(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return where(df, f"{a}_differs_from_{b}", F.col(a) == F.col(b), key)
 

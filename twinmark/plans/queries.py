@@ -754,3 +754,26 @@ def single_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _two_models(spark, sf_dir)
     r = lambda c: F.round(c, 9)
     return df.agg(F.count(F.lit(1)).alias("n"), r(F.avg("base_en")).alias("en_accuracy"), r(F.avg("base_az")).alias("az_accuracy"), r(F.avg("base_en") - F.avg("base_az")).alias("en_az_gap"))
+
+
+@query("""with a as (select doc_id, case when quality = 1 then 'yes' else 'no' end as ok, case when toxic = 0 then 'yes' else '' end as fine from labels),
+    b as (select doc_id, case when n_chars > 1000 then 'yes' else 'no' end as ok, case when lang = 'en' then 'yes' else 'no' end as fine from documents),
+    j as (select * from a join b using (doc_id)), l as (select doc_id, 'ok' as field, a.ok as a, b.ok as b from a join b using (doc_id) union all select doc_id, 'fine', a.fine, b.fine from a join b using (doc_id))
+    select doc_id, field, a, b from l where a <> b and a <> '' and b <> ''""")
+def reviewer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reviewers' tables aligned by key, their label fields made long, and where they differ."""
+    first = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, " Yes").otherwise("no").alias("ok"), F.when(F.col("toxic") == 0, "YES ").alias("fine"))
+    second = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 1000, "yes").otherwise("No").alias("ok"), F.when(F.col("lang") == "en", "yes").otherwise("no").alias("fine"))
+    return ad.disagreements(ad.long_labels(ad.align(first, second, "doc_id"), "doc_id", ["ok", "fine"]))
+
+
+@query(f"""with {PRED}, p as (select substr(sha256('salt|m|' || item_id), 1, 16) as audit_id, item_id from pred)
+    select audit_id, item_id, row_number() over (order by md5('29|' || audit_id), audit_id) as place from p""")
+def blind_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packet = ad.blind_packet(predictions(spark, sf_dir).withColumn("model", F.lit("m")), "salt", 29)
+    return split.numbered(packet, ["shuffle_key", "audit_id"], "place").select("audit_id", "item_id", "place")
+
+
+@query(f"""with {PRED} select item_id, case language when 'en' then question when 'az' then reference_answer end as shown from pred""")
+def language_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.by_language(predictions(spark, sf_dir), {"shown": {"en": "question", "az": "reference_answer"}}).select("item_id", "shown")
