@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -49,6 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Give back what earlier rounds of an iteration left: Spark removes checkpoints, broadcasts and
+    shuffle files of tables that nobody holds only when the driver's garbage is collected, and many
+    small rounds fill disk and driver long before that happens by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinmark.llm.common import cut
+from twinmark.llm.common import cut, sweep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,4 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
             if not step.where("moved").take(1):
                 break
         labels = cut(labels.join(hooks.withColumnRenamed("root", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        sweep(edges.sparkSession)
         edges = live  # between former roots, which are nodes too: each round works on less

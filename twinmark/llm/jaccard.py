@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinmark.llm.common import cut, free_name, kept, ship, slices
+from twinmark.llm.common import cut, free_name, kept, ship, slices, sweep
 from twinmark.llm.components import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -367,6 +367,7 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFr
     found = rows.where("key is not null")
     sets = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k_id", "k_text")).alias("first"), F.min("hashes").alias("hashes")))
     loose = components(coarse_edges(sets)).where(F.length("node") == 16)
+    sweep(docs.sparkSession)
     sizes = cut(loose.groupBy("label").agg(F.count(F.lit(1)).alias("m")))
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     members = loose.join(sizes, "label").where("m > 1").select(F.col("label").alias("group"), parts.alias("parts"), F.col("node").alias("key"))
@@ -375,6 +376,7 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFr
     wanted = cut(members.select("group", "parts", "part", "key", "copies", "first.*"))
     read = texts.select(*_text_keys(), "text").join(wanted, ["k_id", "k_text"]).drop("k_id", "k_text")
     links = cut(exact_links(_shingles_of(read), similar=similar))
+    sweep(docs.sparkSession)
     degree = cut(links.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("links")))
     label = components(links.where("b is not null").select("a", "b")).select(F.col("node").alias("key"), "label")
     sets = sets.drop("hashes").join(degree, "key", "left").join(label, "key", "left")
