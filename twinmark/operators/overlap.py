@@ -24,19 +24,21 @@ def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
 
     Prefix filter: tokens are ordered from rare to common, and two sets that similar share a token in
     the first n - ceil(threshold * n) + 1 of each. So only rare tokens meet in the join, never a common
-    word's full lists; the pairs found are then compared exactly.
+    word's full lists; the pairs found are then compared exactly. Tokens that one side lacks come first
+    of all and are only counted.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.array_distinct(overlap_tokens(F.col("text"))).alias(f"{n}_set"), overlap_key(F.col("text")).alias(f"{n}_key"))
     a, b = side(left, "left"), side(right, "right")
-    tokens = a.select(F.explode("left_set").alias("t")).unionAll(b.select(F.explode("right_set").alias("t")))
-    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    count = lambda df, n: df.select(F.explode(f"{n}_set").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias(f"n_{n}"))
+    often = count(a, "left").join(count(b, "right"), "t").select("t", (F.col("n_left") + F.col("n_right")).alias("n"))
 
     def prefix(df: DataFrame, n: str) -> DataFrame:
         rows = df.select(f"{n}_id", F.size(f"{n}_set").alias("size"), F.explode(f"{n}_set").alias("t")).join(often, "t")
         first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
-        rank = F.row_number().over(Window.partitionBy(f"{n}_id").orderBy("n", "t"))
+        w = Window.partitionBy(f"{n}_id")
+        rank = F.row_number().over(w.orderBy("n", "t")) + F.col("size") - F.count(F.lit(1)).over(w)
         return rows.withColumn("rank", rank).where(F.col("rank") <= first).select(f"{n}_id", "t")
 
     met = prefix(a, "left").join(prefix(b, "right"), "t").select("left_id", "right_id").distinct()
