@@ -149,3 +149,13 @@ def test_markup():
     assert langid.declared('<meta http-equiv="Content-Language" content="xx">', ("de",)) == "other"
     assert langid.declared("<p>", ("de",)) is None
     assert langid.visible("<style>x</style><p>a&amp;b<!-- c --></p>").split() == ["a&b"]
+
+
+def test_bitmaps_mark_the_large_buckets(spark):
+    hashes = np.random.default_rng(1).integers(0, 2**32, (40, jaccard.COORDINATES), dtype=np.uint32)
+    hashes[:20] = hashes[0]
+    df = spark.createDataFrame([(bytes([i]), hashes[i].tobytes()) for i in range(40)], "key binary, hashes binary")
+    maps = jaccard.large_buckets(df, runs=5, depth=2, limit=8)
+    assert len(maps) == 2
+    for _, level, path in jaccard._paths(hashes, 5, 2):
+        assert jaccard._has(maps[level], path).tolist() == [True] * 20 + [False] * 20

@@ -11,8 +11,8 @@ all its words; a text without words (or null) has none and is linked to nothing.
    level, 3e-5 at four. Buckets are brute-forced: pairs of sketches are compared, in vectors, and what
    looks like 0.5 or more is joined, by a spanning forest rather than by all pairs. Buckets that are
    still large at the last level hold sets that agree in DEPTH tokens; all their members hang on one
-   node of the graph. Which buckets are large is counted by Spark and travels as a bitmap of fixed
-   size; a bit shared by chance only sends a bucket one level deeper, all of it alike.
+   node of the graph. Which buckets are large is counted by Spark and travels as a bitmap of
+   bounded size; a bit shared by chance only sends a bucket one level deeper, all of it alike.
 3. The graph's components contain all true groups, loosely. Within each component the sets themselves
    are compared, block against block: exact numbers of links, and again a spanning forest. So links
    that no run found are counted as well, as long as their component hangs together.
@@ -42,8 +42,8 @@ from twinmark.llm.components import components
 WORDS, SIMILAR = 5, 0.8
 COORDINATES, RUNS, DEPTH, LIMIT, BLOCK = 64, 16, 6, 256, 256
 LOOSE = 0.5
-BITS = 1 << 24
-"""Bits of the bitmap of large buckets: 2 MB."""
+BITS = (24, 27)
+"""Powers of two: bits of a bitmap of large buckets, 32 for each of them within these, so 2 to 16 MB."""
 
 U8 = np.uint64
 
@@ -155,8 +155,8 @@ def _paths(hashes: np.ndarray, runs: int, depth: int) -> Iterator[tuple[int, int
             yield r, d, path
 
 
-def _bit(path: np.ndarray) -> np.ndarray:
-    return (path >> U8(40)).astype(np.int64)
+def _power(bitmap: np.ndarray) -> int:
+    return len(bitmap).bit_length() + 2
 
 
 def large_buckets(sets: DataFrame, runs: int = RUNS, depth: int = DEPTH, limit: int = LIMIT) -> list[np.ndarray]:
@@ -180,19 +180,22 @@ def large_buckets(sets: DataFrame, runs: int = RUNS, depth: int = DEPTH, limit:
                 yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["path"])
 
         words = sets.select("hashes").mapInArrow(run, "path long").groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-        bit = F.shiftrightunsigned("path", 40)
-        rows = words.select(F.floor(bit / 32).cast("int").alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(path, 40) % 32 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()  # at most BITS / 32
+        words = cut(words)
         held.unpersist()
-        if not rows:
+        if not (n := words.count()):
             break
-        m = np.zeros(BITS // 32, "<u4")
-        m[[r.word for r in rows]] = [r.bits for r in rows]
+        power = min(max((32 * n).bit_length(), BITS[0]), BITS[1])
+        word = F.shiftrightunsigned("path", 64 - power + 5).cast("int").alias("word")
+        bits = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(path, {64 - power}) % 32 as int))").alias("bits")
+        rows = words.select(word, bits).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # a bitmap's words
+        m = np.zeros((1 << power) // 32, "<u4")
+        m[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
         maps.append(m.view(np.uint8))
     return maps
 
 
 def _has(bitmap: np.ndarray, path: np.ndarray) -> np.ndarray:
-    bit = _bit(path)
+    bit = (path >> U8(64 - _power(bitmap))).astype(np.int64)
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 

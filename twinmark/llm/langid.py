@@ -47,7 +47,7 @@ def visible(html: str) -> str:
 
 def declared(html: str, languages: tuple[str, ...]) -> str | None:
     """The language that the markup declares, "other" if it isn't listed, None if it declares none."""
-    m = _DECLARED.search(html, 0, 20_000) or _META.search(html, 0, 20_000)
+    m = _DECLARED.search(html) or _META.search(html)
     return None if m is None else m[1].lower() if m[1].lower() in languages else "other"
 
 
