@@ -418,3 +418,23 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         again = left.join(twice, [a, b], "left_semi").dropDuplicates([a, b])
         left = left.join(twice, [a, b], "left_anti").unionByName(again)
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+SQL = r"""
+    with recursive w as (
+        select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
+    ), s as (
+        select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                          when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w
+    ), x as (
+        select doc_id, len(s) as n, unnest(s) as t from s
+    ), links as materialized (
+        select a.doc_id as a, b.doc_id as b from x a join x b on a.t = b.t and a.doc_id <> b.doc_id
+        group by a.doc_id, b.doc_id, a.n, b.n having 10 * count(*) >= 8 * (a.n + b.n - count(*))
+    ), r(doc_id, seen) as (
+        select doc_id, doc_id from documents union select r.doc_id, links.b from r join links on r.seen = links.a
+    ), c as (
+        select doc_id, min(seen) as class_id, count(*) as class_size from r group by doc_id
+    )
+    select c.*, (select count(*) from links where links.a = c.doc_id) as n_links from c
+"""

@@ -68,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": linededup.SQL,
+    "op9_ngram_jaccard_join": jaccard.SQL,
     "op8_exact_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q
