@@ -46,7 +46,7 @@ class ChunkEncoder:
     drops_space: the tokenizer removes white space and lowercases (else it is byte-level and keeps it).
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 600_000):
+    def __init__(self, path: str, drops_space: bool, limit: int = 850_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
