@@ -48,11 +48,12 @@ def kappa(df: DataFrame, a: str, b: str, by: list[str], chance_one: float | None
     shown, by = list(by), list(by) or ["_all"]
     df = df if shown else df.withColumn("_all", F.lit(0))
     cells = df.groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    each = F.explode(F.array(F.struct(F.col("_a").alias("label"), F.col("_n").alias("na"), F.lit(0).cast("long").alias("nb")), F.struct(F.col("_b").alias("label"), F.lit(0).cast("long").alias("na"), F.col("_n").alias("nb"))))
-    margin = cells.select(*by, each.alias("m")).groupBy(*by, "m.label").agg(F.sum("m.na").alias("na"), F.sum("m.nb").alias("nb"))
-    chance = margin.groupBy(*by).agg(F.sum("na").alias("n"), F.sum(F.col("na") * F.col("nb")).alias("same"))
-    agree = cells.groupBy(*by).agg(F.sum(F.when(F.col("_a") == F.col("_b"), F.col("_n")).otherwise(0)).alias("agreements"))
-    both = chance.join(agree, by)
+    none = F.lit(0).cast("long")
+    hit = F.when(F.col("_a") == F.col("_b"), F.col("_n")).otherwise(none)
+    side = lambda label, na, nb, agree: F.struct(label.alias("label"), na.alias("na"), nb.alias("nb"), agree.alias("agree"))
+    each = F.explode(F.array(side(F.col("_a"), F.col("_n"), none, hit), side(F.col("_b"), none, F.col("_n"), none)))
+    margin = cells.select(*by, each.alias("m")).groupBy(*by, "m.label").agg(*(F.sum(f"m.{c}").alias(c) for c in ("na", "nb", "agree")))
+    both = margin.groupBy(*by).agg(F.sum("na").alias("n"), F.sum(F.col("na") * F.col("nb")).alias("same"), F.sum("agree").alias("agreements"))
     po, pe = F.col("agreements") / F.col("n"), F.col("same") / (F.col("n") * F.col("n"))
     k = F.when(F.abs(1 - pe) < 1e-12, F.lit(chance_one).cast("double")).otherwise(F.try_divide(po - pe, 1 - pe))
     return both.select(*shown, "n", "agreements", po.alias("raw_agreement"), k.alias("kappa"))
