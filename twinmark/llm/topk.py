@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinmark.llm.common import ship
+from twinmark.llm.common import cut, ship
 
 K, SCALE, BLOCK, ROWS = 5, 256.0, 8192, 4096
 
@@ -179,15 +179,16 @@ def search(rows: DataFrame, is_query, vector: str = "embedding", k: int = K, sca
         sent.append(spark.sparkContext.broadcast((queries, within)))
         need = {q: k - above for q, (_, above) in coarse.items()}
         fine = _kth_bins(table.mapInArrow(_histogram(sent[1], k, scale, 1), "query_id long, bin long, n long"), need)
-        last = spark.sparkContext.broadcast((queries, {q: float(s) for q, (s, _) in fine.items()}))
-        own = table.mapInArrow(_select(last, k, scale), "query_id long, vec_id long, score long")
-        parts = own if parts is None else parts.unionByName(own)
+        sent.append(spark.sparkContext.broadcast((queries, {q: float(s) for q, (s, _) in fine.items()})))
+        own = table.mapInArrow(_select(sent[2], k, scale), "query_id long, vec_id long, score long")
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = cut(own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+        parts = best if parts is None else parts.unionByName(best)  # k rows a query, so many blocks stay light
         for b in sent:
             b.unpersist()
     if parts is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return parts
 
 
 def _ids(queries: Queries) -> list[int]:
