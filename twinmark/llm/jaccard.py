@@ -40,7 +40,7 @@ from twinmark.llm.common import cut, free_name, kept, ship, slices, sweep
 from twinmark.llm.components import components
 
 WORDS, SIMILAR = 5, 0.8
-COORDINATES, RUNS, DEPTH, LIMIT, BLOCK = 64, 16, 6, 256, 256
+COORDINATES, RUNS, DEPTH, LIMIT, BLOCK = 64, 16, 6, 256, 128
 LOOSE = 0.5
 BITS = (24, 27)
 """Powers of two: bits of a bitmap of large buckets, 32 for each of them within these, so 2 to 16 MB."""
