@@ -257,3 +257,12 @@ def test_line_dedup(docs, empty, spark):
     assert linededup.dedup(empty).count() == 0
     kept = {r.doc_id: r for r in linededup.filter(df.withColumn("n_chars", F.length("text"))).collect()}
     assert 4 not in kept and kept[2].text == "fourth line" and kept[9].n_chars == len(kept[9].text) and None in kept
+
+
+def test_many_secrets_in_one_text(spark):
+    lines = [f"{hashlib.sha256(str(i).encode()).hexdigest()}  file-{i}.bin" for i in range(1500)]
+    text = "é\n" + "\n".join(lines) + "\ntoken = 'abcdef'"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secrets.scan(df).first()
+    assert ([got.n_assign, got.n_access, got.n_hex], got.base_sha256) == brute.secrets(text)
+    assert got.n_markov == 0

@@ -43,6 +43,9 @@ KINDS = [
 ]
 WORD = r"\p{L}[\p{L}\p{N}'’-]{2,}"
 REACH, SUPPORT, DISCLOSURE = 40, 3, 0.9
+NEIGHBOURS = 20
+"""Entities on either side that may start within reach: e-mail addresses have 5 characters at least,
+internet addresses 7, phone numbers 11, card numbers 14."""
 
 
 def _digits(c: Column) -> Column:
@@ -96,9 +99,11 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def _terms_beside(base: DataFrame) -> DataFrame:
     """One row for each word beside an entity: key, h, entity, term (hash), start, end."""
     every = F.concat(*(F.transform(f"s_{k.name}", _with_context(k.name)) for k in KINDS))
-    df = base.withColumn("every", every).where(F.size("every") > 0)
-    taken = F.transform("every", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end")))
-    df = df.select("doc_id", "h", taken.alias("taken"), F.explode("every").alias("e"))
+    df = base.select("doc_id", "h", F.array_sort(every).alias("every")).where(F.size("every") > 0)
+    df = df.select("doc_id", "h", "every", F.transform("every", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))).alias("at"))
+    # an entity takes along its neighbours only: a text may hold very many
+    near = F.transform("every", lambda e, i: F.struct(e.alias("e"), F.slice("at", F.greatest(i + 1 - NEIGHBOURS, F.lit(1)), F.lit(2 * NEIGHBOURS + 1)).alias("taken")))
+    df = df.select("doc_id", "h", F.explode(near).alias("n")).select("doc_id", "h", "n.taken", "n.e")
     # a word that the edge of the context cuts is no word
     before = F.when(F.length("e.before") == REACH, F.regexp_replace("e.before", r"^[\p{L}\p{N}'’-]+", "")).otherwise(F.col("e.before"))
     after = F.when(F.length("e.after") == REACH, F.regexp_replace("e.after", r"[\p{L}\p{N}'’-]+$", "")).otherwise(F.col("e.after"))

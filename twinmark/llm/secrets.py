@@ -3,7 +3,7 @@
 Base kinds are fixed patterns: assignments to telling names, access keys, long hexadecimal runs.
 The method adds `markov` spans: two first-order character models, one of random strings and one of
 ordinary identifiers, give each long token a log-likelihood ratio; tokens above a threshold that
-aren't inside a base span are secrets too. The models are bigram counts over an alphabet of 66
+aren't in a base span are secrets too. The models are bigram counts over an alphabet of 66
 symbols, so they are bounded at any size and travel as a constant.
 
 Training samples carry labels: random are what the base patterns catch in the sampled documents and
@@ -92,16 +92,29 @@ def is_random(token: Column, table: str, threshold: float) -> Column:
     return (F.size(F.array_distinct(F.split(token, ""))) >= DISTINCT) & (ratio(token, table) >= threshold)
 
 
+def masking(assigned, whole) -> list:
+    """Functions of a text that put assigned(match) and whole(match) in the place of its base matches."""
+    fits = lambda m: F.length(F.regexp_extract(m, VALUE, 1)) >= 6
+    return [
+        lambda t: replaced(t, ASSIGN, lambda m: F.when(fits(m), assigned(m)).otherwise(m), (F.instr(t, "=") > 0) | (F.instr(t, ":") > 0)),
+        lambda t: replaced(t, ACCESS, whole, F.instr(t, "AKIA") > 0),
+        lambda t: replaced(t, HEX, whole),
+    ]
+
+
 def scan(docs: DataFrame, table: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans; reads doc_id and text only."""
     table = table or train(docs)
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    df = locate(df, "text", [*BASE, Kind("token", TOKEN)]).drop("text")
+    df = locate(df, "text", BASE)
     value = lambda s: F.regexp_extract(s["value"], VALUE, 1)
     df = df.withColumn("s_assign", F.filter("s_assign", lambda s: F.length(value(s)) >= 6))
     df = df.select("*", F.array_sort(F.concat(*(tagged(f"s_{k.name}", i, k.name) for i, k in enumerate(BASE)))).alias("base"))
-    free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    df = df.withColumn("s_token", F.filter("s_token", lambda t: free(t) & is_random(t["value"], table, threshold)))
+    # tokens are looked for where no base span is: those are blanked, places stay
+    for step in masking(lambda m: F.repeat(F.lit(" "), F.length(m)), lambda m: F.repeat(F.lit(" "), F.length(m))):
+        df = df.withColumn("text", step(F.col("text")))
+    df = locate(df, "text", [Kind("token", TOKEN)]).drop("text")
+    df = df.withColumn("s_token", F.filter("s_token", lambda t: is_random(t["value"], table, threshold)))
     everything = F.array_sort(F.concat("base", tagged("s_token", len(BASE), "markov")))
     n = lambda k: F.size(f"s_{k}").cast("long")
     return df.select("doc_id", *(n(k.name).alias(f"n_{k.name}") for k in BASE), n("token").alias("n_markov"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(everything).alias("spans"))
@@ -114,12 +127,8 @@ def redact(docs: DataFrame, table: str | None = None, threshold: float = THRESHO
     new = free_name(docs, "masked")
     t = F.col("text")
     name = lambda m: F.regexp_extract(m, VALUE, 1)
-    steps = [
-        lambda t: replaced(t, ASSIGN, lambda m: F.when(F.length(name(m)) >= 6, F.concat(F.left(m, F.length(m) - F.length(name(m))), F.lit(mask))).otherwise(m), (F.instr(t, "=") > 0) | (F.instr(t, ":") > 0)),
-        lambda t: F.when(F.instr(t, "AKIA") > 0, F.regexp_replace(t, ACCESS, mask)).otherwise(t),
-        lambda t: F.regexp_replace(t, HEX, mask),
-        lambda t: replaced(t, TOKEN, lambda m: F.when(is_random(m, table, threshold), F.lit(mask)).otherwise(m)),
-    ]
+    steps = masking(lambda m: F.concat(F.left(m, F.length(m) - F.length(name(m))), F.lit(mask)), lambda m: F.lit(mask))
+    steps.append(lambda t: replaced(t, TOKEN, lambda m: F.when(is_random(m, table, threshold), F.lit(mask)).otherwise(m)))
     df = docs.withColumn(new, t)
     for f in steps:
         df = df.withColumn(new, f(F.col(new)))
