@@ -119,5 +119,5 @@ def encoder(path: str, drops_space: bool) -> ChunkEncoder:
     mine = kept("encoder")
     if (path, drops_space) not in mine:
         mine.clear()
-        mine[path, drops_space] = ChunkEncoder(path, drops_space)
+        mine[path, drops_space] = ChunkEncoder(path, drops_space, 400_000 if drops_space else 850_000)  # lower case repeats more
     return mine[path, drops_space]
