@@ -1,7 +1,9 @@
 """Operators on single documents, with every odd kind of row, against plain versions."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import brute
@@ -171,6 +173,35 @@ def test_disclosing_terms(spark):
     assert clean[200] == "Copied: Fizzwick is [EMAIL]."  # copies of one text prove nothing
 
 
+def test_terms_are_judged_over_whole_documents(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice(["ba", "do", "ki", "mu", "re"]) for _ in range(3)) for _ in range(60)]
+    people = [f"p{i}@x{i}.org" for i in range(12)]
+    texts = [" ".join(rng.choices(words, k=40) + rng.sample(people, rng.choice([0, 0, 1, 3])) + rng.choices(words, k=40)) for _ in range(60)]
+    texts = texts + texts[:7] + [None, "Orlanda " + "filler " * 60 + "one@once.org", "\n".join(f"Name{i}x n{i}@list.org" for i in range(90))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: {s for s in r.spans.split(",") if s.startswith("term")} for r in pii.scan(df).collect()}
+
+    def split(t):
+        mails = {m.lower() for m in re.findall(r"\S+@\S+", t)}
+        found = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_][\w'’-]{2,}", re.sub(r"\S+@\S+", lambda m: " " * len(m.group()), t))]
+        return mails, found
+
+    each = [split(t) for t in {t or "" for t in texts}]
+    n = len(each)
+
+    def discloses(c, w):
+        n_c, n_t = sum(c in m for m, _ in each), sum(any(x[0] == w for x in f) for _, f in each)
+        n_ct = sum(c in m and any(x[0] == w for x in f) for m, f in each)
+        ic = math.log(n / n_c)
+        return ic > 0 and math.log(n_ct * n / (n_c * n_t)) >= 0.9 * ic - 1e-12
+
+    for i, t in enumerate(texts):
+        mails, found = split(t or "")
+        assert got[i] == {f"term:{a}:{b}" for w, a, b in found if any(discloses(c, w) for c in mails)}
+    assert "term:0:7" in got[68] and len(got[69]) == 90
+
+
 def test_many_matches_in_one_text(spark):
     text = "é a.b@c.d " * 3000
     got = pii.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

@@ -1,23 +1,24 @@
 """Personal data, with built-in functions only: fixed patterns, and terms that give entities away.
 
 Base kinds are e-mail and internet addresses, card and phone numbers. The method then measures, over
-the whole corpus, how strongly the words beside an entity reveal it. With n(c), n(t) and n(c, t) the
-documents that hold the entity, the term, and the term beside the entity, and N all documents,
+the whole corpus, how strongly a word reveals an entity that stands in the same document. With n(c),
+n(t) and n(c, t) the distinct texts that hold the entity, the term, and both, and N all distinct texts,
 
     information of the entity     IC(c)     = ln(N / n(c))
     what the term tells about it  PMI(c, t) = ln(n(c, t) * N / (n(c) * n(t)))
 
-a term discloses the entity if PMI >= disclosure * IC and at least `support` different texts have the
-two side by side (copies of one text prove nothing). Such occurrences become spans of kind `term`;
-sanitise() generalises them (names and numbers to their sort) or removes other words, and masks the
-base kinds.
-
-Terms are words of three letters or more within `reach` characters of an entity on either side. All
-words of all documents are counted (by 64-bit hash, summed on the map side); pairs are only formed
-between an entity and the words beside it, never between the members of a group. The join that
-brings disclosing pairs back to their places is one that Spark can split where one entity fills a
-third of the table. Null texts are empty; rows with equal ids are judged one by one, rows that also
-repeat the text alike. An empty table gives no rows.
+a term discloses the entity if PMI >= disclosure * IC and at least `support` distinct texts have both
+(1 in scan(): PMI alone judges; copies of a text count once). All its occurrences in texts with the
+entity become spans of kind `term`; sanitise() generalises them (names and numbers to their sort) or
+removes other words, and masks the base kinds. sanitise() asks for 3 texts unless told otherwise.
+
+Terms are words of three letters or more, anywhere in the document, once base kinds are blanked. All
+words of all texts are counted (by 64-bit hash, summed on the map side). As n(c, t) <= n(c), a term
+with n(t) > n(c) ** disclosure * N ** (1 - disclosure) can't disclose c: only rarer ones are paired,
+and nothing is lost. Entities that stand in exactly the same texts are judged as one class, so a list
+of many entities and many names costs their sum, not their product. The joins by class are ones that
+Spark can split where one entity fills a third of the table. Null texts are empty; rows with equal
+ids are judged one by one, rows that also repeat the text alike. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinmark.llm.common import cut, free_name
-from twinmark.llm.spans import Kind, listed, locate, tagged
+from twinmark.llm.spans import Kind, listed, locate, replaced, tagged
 
 # The base patterns. Lookbehinds and possessive quantifiers only save time: a match can
 # start where a run starts, or where the last match ended.
@@ -42,10 +43,7 @@ KINDS = [
     Kind("phone", PHONE, "instr({text}, '+') > 0"),
 ]
 WORD = r"\p{L}[\p{L}\p{N}'’-]{2,}"
-REACH, SUPPORT, DISCLOSURE = 40, 3, 0.9
-NEIGHBOURS = 20
-"""Entities on either side that may start within reach: e-mail addresses have 5 characters at least,
-internet addresses 7, phone numbers 11, card numbers 14."""
+SUPPORT, DISCLOSURE = 3, 0.9
 
 
 def _digits(c: Column) -> Column:
@@ -80,72 +78,81 @@ def _entity(kind: str, span: Column) -> Column:
     return F.xxhash64(F.lit(kind), F.lower(span["value"]))
 
 
-def _with_context(kind: str):
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _entity(kind, s).alias("entity"), s["before"].alias("before"), s["after"].alias("after"))
-
-
 def _entity_of(kind: str):
     return lambda s: _entity(kind, s)
 
 
+def _blanked(df: DataFrame) -> DataFrame:
+    """df with the entities in its column text blanked; nothing else moves."""
+    for k in KINDS:  # each step refers to the last one's column more than once, so the optimiser keeps them apart
+        blank = lambda m, k=k: F.when(holds(k.name, m), F.repeat(F.lit(" "), F.length(m))).otherwise(m)
+        df = df.withColumn("text", replaced(F.col("text"), k.pattern, blank, F.expr(k.needs.format(text="text")) if k.needs else None))
+    return df
+
+
+def _hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, h (a hash of the text) and s_<kind> arrays with context; no text."""
+    """doc_id, h (a hash of id and text), th (of the text) and s_<kind> arrays; text is kept only where there are any."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    df = df.withColumn("h", F.xxhash64(F.col("doc_id").isNull(), "text"))
-    df = locate(df, "text", KINDS, REACH).drop("text")
-    return df.select("doc_id", "h", *(F.filter(f"s_{k.name}", _holder(k.name)).alias(f"s_{k.name}") for k in KINDS))
-
-
-def _terms_beside(base: DataFrame) -> DataFrame:
-    """One row for each word beside an entity: key, h, entity, term (hash), start, end."""
-    every = F.concat(*(F.transform(f"s_{k.name}", _with_context(k.name)) for k in KINDS))
-    df = base.select("doc_id", "h", F.array_sort(every).alias("every")).where(F.size("every") > 0)
-    df = df.select("doc_id", "h", "every", F.transform("every", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))).alias("at"))
-    # an entity takes along its neighbours only: a text may hold very many
-    near = F.transform("every", lambda e, i: F.struct(e.alias("e"), F.slice("at", F.greatest(i + 1 - NEIGHBOURS, F.lit(1)), F.lit(2 * NEIGHBOURS + 1)).alias("taken")))
-    df = df.select("doc_id", "h", F.explode(near).alias("n")).select("doc_id", "h", "n.taken", "n.e")
-    # a word that the edge of the context cuts is no word
-    before = F.when(F.length("e.before") == REACH, F.regexp_replace("e.before", r"^[\p{L}\p{N}'’-]+", "")).otherwise(F.col("e.before"))
-    after = F.when(F.length("e.after") == REACH, F.regexp_replace("e.after", r"[\p{L}\p{N}'’-]+$", "")).otherwise(F.col("e.after"))
-    df = df.select("doc_id", "h", "taken", "e.entity", (F.col("e.start") - F.length(before)).alias("left_at"), before.alias("left_text"), F.col("e.end").alias("right_at"), after.alias("right_text"))
-    df = locate(locate(df, "left_text", [Kind("l", WORD)]), "right_text", [Kind("r", WORD)])
-    shift = lambda c, at: F.transform(c, lambda s: F.struct((s["start"] + F.col(at)).alias("start"), (s["end"] + F.col(at)).alias("end"), F.xxhash64(F.lower(s["value"])).alias("term")))
-    df = df.select("doc_id", "h", "taken", "entity", F.explode(F.concat(shift("s_l", "left_at"), shift("s_r", "right_at"))).alias("t"))
-    inside = F.exists("taken", lambda e: (e["start"] < F.col("t.end")) & (F.col("t.start") < e["end"]))
-    return df.where(~inside).select("doc_id", "h", "entity", "t.*")
+    df = df.withColumn("h", F.xxhash64(F.col("doc_id").isNull(), "text")).withColumn("th", _hash())
+    df = locate(df, "text", KINDS)
+    df = df.select("doc_id", "h", "th", "text", *(F.filter(f"s_{k.name}", _holder(k.name)).alias(f"s_{k.name}") for k in KINDS))
+    some = sum((F.size(f"s_{k.name}") for k in KINDS), F.lit(0)) > 0
+    return df.withColumn("text", F.when(some, F.col("text")))
+
+
+def _words(text: Column) -> Column:
+    """Hashes of the text's different words."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
 
 
 def disclosing(docs: DataFrame, base: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """Pairs entity, term that reach support and disclosure, over the whole corpus."""
-    total = F.lit(float(max(docs.count(), 1)))
-    beside = _terms_beside(base)
-    once = beside.groupBy("entity", "term", "doc_id", "h").agg(F.lit(1).alias("one"))
-    pairs = once.groupBy("entity", "term", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_ct")).where(F.col("texts") >= support)
+    """Distinct pairs th, term: text and word that discloses an entity of this text, judged over the whole corpus."""
+    # explode_outer: explode would push a condition on its array down through all steps of blanking
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("th", _hash()).dropDuplicates(["th"])
+    n_t = cut(_blanked(texts).select(F.explode_outer(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    total = float(max(base.select("th").distinct().count(), 1))
     every = F.array_distinct(F.concat(*(F.transform(f"s_{k.name}", _entity_of(k.name)) for k in KINDS)))
-    n_c = base.select(F.explode(every).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    n_t = docs.where("text is not null").select(F.explode(words).alias("w")).select(F.xxhash64("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    held = base.where("text is not null").select("th", F.explode(every).alias("entity")).distinct()
+    # entities with the same texts: their number and two sums over the texts without carry
+    same = F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("th")), F.bit_xor(F.xxhash64("th", F.lit(1))))
+    classes = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"), same.alias("class"))
+    inside = cut(held.join(classes, "entity").select("th", "class", "n_c").distinct())
+    rarest = F.pow(F.col("n_c"), F.lit(disclosure)) * total ** (1 - disclosure) * (1 + 1e-9)
+    bound = inside.groupBy("th").agg(F.max(rarest).alias("bound"))
+    # words of texts with entities, without those too common for any entity of the text
+    words = base.where("text is not null").select("th", "text").groupBy("th").agg(F.any_value("text").alias("text"))
+    words = _blanked(words).select("th", F.explode_outer(_words(F.col("text"))).alias("term")).join(bound, "th")
+    words = words.join(n_t, "term").where(F.col("n_t") <= F.col("bound")).select("th", "term", "n_t")
+    met = cut(words.join(inside, "th").where(F.col("n_t") <= rarest))
+    pairs = met.groupBy("class", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
     ic = F.log(total / F.col("n_c"))
     pmi = F.log(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t")))
-    return n_t.join(pairs, "term").join(n_c, "entity").where(pmi >= ic * disclosure).where(ic > 0).select("entity", "term")
+    pairs = pairs.where(F.col("n_ct") >= support).where(pmi >= ic * disclosure - 1e-12).where(ic > 0).select("class", "term")
+    return met.join(pairs, ["class", "term"]).select("th", "term").distinct()
 
 
 def spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, h and the sorted arrays base and every of struct(start, order, end, kind)."""
     base = cut(base_spans(docs))
-    pairs = cut(disclosing(docs, base, support, disclosure))
-    found = _terms_beside(base).join(pairs, ["entity", "term"])
-    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("k_id")
-    term = F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit("term").alias("kind"))
-    terms = found.groupBy(key, F.col("h").alias("k_h")).agg(F.collect_set(term).alias("terms"))
+    found = disclosing(docs, base, support, disclosure).groupBy("th").agg(F.collect_set("term").alias("marked"))
+    # the words' places, once for each text
+    texts = base.where("text is not null").select("th", "text").groupBy("th").agg(F.any_value("text").alias("text")).join(found, "th")
+    texts = locate(_blanked(texts), "text", [Kind("w", WORD)])
+    term = lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("order"), s["end"].alias("end"), F.lit("term").alias("kind"))
+    places = texts.select("th", "marked", F.transform("s_w", lambda s: F.struct(F.xxhash64(F.lower(s["value"])).alias("term"), term(s).alias("span"))).alias("w"))
+    chosen = places.select("th", F.explode_outer("w").alias("w"), "marked").where(F.array_contains("marked", F.col("w.term")))
+    terms = chosen.groupBy("th").agg(F.collect_list("w.span").alias("terms"))
     sorted_base = F.array_sort(F.concat(*(tagged(f"s_{k.name}", i, k.name) for i, k in enumerate(KINDS))))
-    df = base.select("doc_id", "h", key, sorted_base.alias("base"))
-    df = df.join(terms, (df.k_id == terms.k_id) & (df.h == terms.k_h), "left")
+    df = base.select("doc_id", "h", "th", sorted_base.alias("base")).join(terms, "th", "left")
     none = F.filter("base", lambda s: F.lit(False))
     return df.select("doc_id", "h", "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("every"))
 
 
-def scan(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def scan(docs: DataFrame, support: int = 1, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, counts of each kind, base_sha256 and spans."""
     count = lambda kind: F.size(F.filter("every", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return spans(docs, support, disclosure).select("doc_id", *(count(k.name) for k in KINDS), count("term"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"))
