@@ -275,6 +275,17 @@ def test_noise_leaves_the_band(spark):
     assert kept == set(range(300))
 
 
+def test_short_texts_have_a_band_too(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice(["ba", "do", "ki", "mu", "re"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    good = [" ".join(rng.choice(words) for _ in range(20)) + "." for _ in range(300)]
+    noise = [" ".join("".join(rng.choice("qwxzjvkpfgh0123456789#%&") for _ in range(6)) for _ in range(20)) for _ in range(5)]
+    assert max(map(len, good)) < 200
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + noise)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.assess(df, quality.fit(df)).where("kept").collect()}
+    assert kept == set(range(300))
+
+
 def test_line_dedup(docs, empty, spark):
     passage = "\n".join(["first line", "second line", "third line", "fourth line"])
     rows = [(5, f"intro\n{passage}\nend"), (2, passage), (9, f"a\n\n{passage}\n \nb"), (None, "first line\nsecond line\nthird line"), (7, "x\nx\nx\nx\nx"), (7, "x\nx\nx\nx\nx"), (8, "only\ntwo"), (4, "\n".join(passage.split("\n")[1:])), (1, None), (3, "")]

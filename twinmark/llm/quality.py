@@ -6,10 +6,11 @@ language. Its counts are summed by Spark over all texts. The alphabet bounds it:
 arrays of 64-bit hashes of (language, order, n-gram) with the discounted probability and, for
 contexts, the weight of the shorter n-gram; scoring looks them up by binary search.
 
-Bands: log perplexity of a language's documents is summed into a global histogram; median m and
-scale s (from the median absolute deviation) come from it. A document of n symbols is rejected if
-its log perplexity leaves m +- width * sqrt(s**2 + v / n), where v is the variance of one symbol's
-log probability: short texts vary more and get wider bands. Below the lower band lie texts of
+Bands: log perplexity of a language's documents, of whatever length, is summed into a global histogram
+by length (powers of two); its median is m. A document of n symbols is rejected if its log perplexity
+leaves m +- width * sqrt(s**2 + v / n), where v is the variance of one symbol's log probability: short
+texts vary more and get wider bands. The scale s is the one at which the median deviation, in units of
+that root, is a normal variable's. Below the lower band lie texts of
 repeated stock phrases, above the upper one noise.
 
 Texts are read three times (counts, histogram, verdict) and never shuffled. Nulls are empty texts;
@@ -34,9 +35,7 @@ from twinmark.llm.common import kept, ship, slices
 
 LANGUAGES = ("en", "de", "fr", "es")
 ORDER, BITS = 4, 5
-WIDTH = 7.0
-LEAST = 200
-"""Symbols that a text needs to count for its language's band."""
+WIDTH = 4.0
 BIN = 0.002
 SPACE = "\t\n\v\f\r "
 SYMBOLS = "#*$%&|<>"
@@ -303,7 +302,8 @@ def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, width: float =
                 for s in np.unique(slots):
                     x = lp[slot == s]
                     sums[int(s)] = sums.get(int(s), 0) + np.array([len(x), x.sum(), (x**2).sum()])
-                    bins.update((int(s), int(k)) for k in mean[(slots == s) & (n >= LEAST)] / BIN)
+                    of = (slots == s) & (n > 0)
+                    bins.update((int(s), int(k) << 6 | int(z)) for k, z in zip(mean[of] / BIN, np.log2(n[of]), strict=True))
         rows = [(s, k, float(c)) for (s, k), c in bins.items()]
         rows += [(s, -1 - i, float(v)) for s, x in sums.items() for i, v in enumerate(x)]
         if rows:
@@ -316,10 +316,11 @@ def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, width: float =
         k = np.array(sorted(x for x in bins if x >= 0))
         if len(k):
             w = np.array([bins[x] for x in k.tolist()])
-            mid = (k + 0.5) * BIN
+            mid = ((k >> 6) + 0.5) * BIN
             m = _median(mid, w)
             many, total, square = (bins[-1 - i] for i in range(3))
-            model.bands[s] = (m, max(1.4826 * _median(np.abs(mid - m), w), BIN), max(square / many - (total / many) ** 2, 0.0))
+            v = max(square / many - (total / many) ** 2, 0.0)
+            model.bands[s] = (m, _scale(np.abs(mid - m), w, v / (1.5 * 2.0 ** (k & 63))), v)
     held.unpersist()
     return model
 
@@ -329,6 +330,15 @@ def _median(x: np.ndarray, weight: np.ndarray) -> float:
     return float(x[order][np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)])
 
 
+def _scale(off: np.ndarray, weight: np.ndarray, own: np.ndarray) -> float:
+    """The scale at which the median of off / sqrt(scale**2 + own) is a normal variable's, BIN at least."""
+    low, high = BIN, max(1.4826 * _median(off, weight), BIN)
+    for _ in range(40):
+        s = (low + high) / 2
+        low, high = (s, high) if 1.4826 * _median(off / np.sqrt(s**2 + own), weight) > 1 else (low, s)
+    return high
+
+
 def assess(docs: DataFrame, model: QualityModel) -> DataFrame:
     """One row per document: doc_id, the word counts, base_failed, the log perplexity with its band, kept."""
     held = docs.sparkSession.sparkContext.broadcast(model)
