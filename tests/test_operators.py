@@ -192,3 +192,25 @@ def test_top_k_in_blocks_is_the_same(spark):
     whole = overlap.embedding_top_k(q, df, 3, others=True).orderBy("query_id", "rank").collect()
     parts = overlap.embedding_top_k(q, df, 3, most_queries=2, others=True).orderBy("query_id", "rank").collect()
     assert whole == parts and len(whole) == 18
+
+
+def test_leaks_equal_all_pairs(spark):
+    import difflib
+    import re
+
+    left = ["the cat sits on the mat and waits for dinner", "A b c", "", None, "entirely other words stand here", "the cat sits on a mat", "x" * 40]
+    right = ["the cats sat on thy mats or waited far dinners", "a b d", "cat the on sits mat the", "the cat sits on the mat, and waits for dinner", "x" * 30, None]
+    a = spark.createDataFrame(list(enumerate(left)), "id long, text string")
+    b = spark.createDataFrame(list(enumerate(right)), "id long, text string")
+    tokens = lambda t: re.findall(r"[0-9]+|[a-z]+", t.lower())
+    for sequence, jaccard in ((0.72, 0.6), (0.5, 0.25), (0.9, 0.9)):
+        want = set()
+        for i, x in enumerate(left):
+            for k, y in enumerate(right):
+                if x is None or y is None or tokens(x) == tokens(y):
+                    continue
+                p, q = set(tokens(x)), set(tokens(y))
+                if len(p & q) / len(p | q) >= jaccard or difflib.SequenceMatcher(None, x.lower(), y.lower(), autojunk=False).ratio() >= sequence:
+                    want.add((i, k))
+        assert {(r.left_id, r.right_id) for r in overlap.leaks(a, b, sequence, jaccard).collect()} == want
+        assert ((0, 0) in want) == (sequence < 0.9)

@@ -69,14 +69,45 @@ def sequence_ratio(left: Column, right: Column) -> Column:
     return ratio(left, right)
 
 
+def _similar_characters(left: DataFrame, right: DataFrame, least: float, salts: int = 64) -> DataFrame:
+    """All pairs left_id, right_id, sequence of texts whose character similarity is at least `least` > 0.
+
+    Candidates come by bounds that hold for it: the shorter text has least / (2 - least) of the longer
+    one's length, and both share so many characters, place aside. The rest is compared in full."""
+    if not 0 < least <= 1:
+        raise ValueError("the character similarity must be above 0 and at most 1")
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            m = difflib.SequenceMatcher(None, x, y, autojunk=False)
+            out.append(m.ratio() if m.quick_ratio() >= least else None)
+        return pd.Series(out, dtype="float64")
+
+    step = max(math.log((2 - least) / least), 1e-3)
+    side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.lower("text").alias(f"{n}_text")).where(F.length(f"{n}_text") > 0).withColumn("band", F.floor(F.log(F.length(f"{n}_text")) / step))
+    # left texts too short or too long for every right one needn't move
+    low, high = (float(x or 0) for x in right.agg(F.min(F.length(F.lower("text"))), F.max(F.length(F.lower("text")))).first())
+    a = side(left, "left").where(F.length("left_text").between(low * least / (2 - least) - 1, high * (2 - least) / least + 1)).withColumn("salt", F.pmod(F.xxhash64("left_id"), F.lit(salts)))
+    # bands next to each other hold all lengths in reach; salts spread a band over tasks
+    b = side(right, "right").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    n, m = F.length("left_text"), F.length("right_text")
+    both = a.join(b, ["band", "salt"]).where(2 * F.least(n, m) >= F.lit(least) * (n + m) - 1e-9)
+    return both.select("left_id", "right_id", ratio("left_text", "right_text").alias("sequence")).where(F.col("sequence") >= least)
+
+
 def leaks(left: DataFrame, right: DataFrame, sequence: float = 0.72, jaccard: float = 0.60, screen: float = 0.25) -> DataFrame:
-    """Pairs that are near by token sets or by characters. Character similarity is only worked out for
-    pairs whose token sets reach the screen."""
-    near = similar(left, right, screen)
-    a = left.select(F.col("id").alias("left_id"), F.col("text").alias("a"))
-    b = right.select(F.col("id").alias("right_id"), F.col("text").alias("b"))
-    both = near.join(a, "left_id").join(b, "right_id").withColumn("sequence", sequence_ratio(F.lower("a"), F.lower("b")))
-    return both.where((F.col("similarity") >= jaccard) | (F.col("sequence") >= sequence)).select("left_id", "right_id", "similarity", "sequence")
+    """All pairs of unequal texts that are near by token sets or by characters, each looked for by bounds
+    of its own. `screen` is only there for older callers: no pair depends on it."""
+    by_tokens = similar(left, right, jaccard).select("left_id", "right_id")
+    by_characters = _similar_characters(left, right, sequence).select("left_id", "right_id")
+    side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.col("text").alias(n), F.array_distinct(overlap_tokens(F.col("text"))).alias(f"{n}_set"), overlap_key(F.col("text")).alias(f"{n}_key"))
+    both = by_tokens.unionByName(by_characters).distinct().join(side(left, "left"), "left_id").join(side(right, "right"), "right_id").where("left_key <> right_key")
+    shared = F.size(F.array_intersect("left_set", "right_set"))
+    score = F.try_divide(shared, F.size("left_set") + F.size("right_set") - shared)
+    return both.select("left_id", "right_id", score.alias("similarity"), sequence_ratio(F.lower("left"), F.lower("right")).alias("sequence"))
 
 
 def cosine(a: Column, b: Column) -> Column:
