@@ -51,8 +51,65 @@ def test_large_buckets_and_blocks_give_the_same(spark, monkeypatch):
     want = {r.doc_id: (r.class_size, r.n_links) for r in jaccard.join(df).collect()}
     assert want[10_000] == (70, 69)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
-    monkeypatch.setattr(jaccard.coarse_edges, "__defaults__", (4, 2, 8, 0.5))
+    monkeypatch.setattr(jaccard.coarse_edges, "__defaults__", (0.8, 0.999, 3, 4, 16, 0.5))
     assert {r.doc_id: (r.class_size, r.n_links) for r in jaccard.join(df).collect()} == want
+    monkeypatch.setattr(components, "EDGES", 3)  # rounds of joins instead of one task
+    assert {r.doc_id: (r.class_size, r.n_links) for r in jaccard.join(df).collect()} == want
+
+
+def pairs_at(n, similar, seed=3):
+    """Minimum hashes of n pairs of sets whose tokens agree with that probability, and of a crowd."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 2**32, (n, jaccard.COORDINATES), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < similar, a, rng.integers(0, 2**32, a.shape, dtype=np.uint32))
+    return a, b
+
+
+@pytest.mark.parametrize("depth", range(1, jaccard.DEPTH + 1))
+def test_recall_at_each_depth(depth):
+    n = 4000
+    a, b = pairs_at(n, 0.8)
+    met = np.zeros(n, bool)
+    seen = np.zeros((jaccard.runs_for(), n), bool)
+    for r in range(len(seen)):
+        ends = []
+        for h in (a, b):
+            at, path = np.arange(n), np.full(n, jaccard._mix(np.array([r + 1], np.uint64))[0])
+            for _ in range(depth):
+                at, path = jaccard._split(path, h, at)
+            ends.append(set(zip(at.tolist(), path.tolist(), strict=True)))
+        seen[r, [i for i, _ in ends[0] & ends[1]]] = True
+    met = seen.any(0)
+    assert seen.mean() == pytest.approx(jaccard.survival(depth), abs=0.05)
+    assert met.mean() >= 0.99
+
+
+def test_a_pair_at_the_limit_looks_near_enough():
+    from math import ceil, comb
+
+    p, n = 0.8, jaccard.COORDINATES
+    assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(ceil(jaccard.LOOSE * n))) < 1e-6
+
+
+def test_leaves_hold_all_sets_of_a_bucket_once_or_more():
+    a, _ = pairs_at(3000, 1.0)
+    a[:, :40] = a[0, :40]  # a crowd that agrees in most places
+    a[1500:, 40:] = a[1500, 40:]
+    leaves = list(jaccard._leaves(np.full(3000, 5, np.uint64), a.astype(np.uint8), 6, 64))
+    assert set(range(1500, 3000)) <= set(np.concatenate(leaves).tolist())
+
+
+def test_repeated_rows_are_one_set(spark):
+    rows = [(1, "a b c d e f g h i j k l"), (1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k l m"), (3, "other words that stand alone here")]
+    got = {r.doc_id: (r.class_size, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (3, 2), 2: (3, 2), 3: (1, 0)}
+
+
+def test_very_long_texts_are_compared_whole(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    rows = [(i, " ".join([*words[:-i], *["x"] * i] if i else words)) for i in range(3)] + [(9, " ".join(words[60_000:]))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (0, 2), 1: (0, 2), 2: (0, 2), 9: (9, 0)}
 
 
 def test_jaccard_of_nothing(spark):
@@ -79,6 +136,8 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (201, 202), (300, 300)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert {got[i] for i in (*range(41), 100)} == {0} and got[202] == 200 and 300 not in got
+    rounds = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a int, b int"), most=2).collect()}
+    assert rounds == got
     assert components.components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
@@ -155,7 +214,7 @@ def test_bitmaps_mark_the_large_buckets(spark):
     hashes = np.random.default_rng(1).integers(0, 2**32, (40, jaccard.COORDINATES), dtype=np.uint32)
     hashes[:20] = hashes[0]
     df = spark.createDataFrame([(bytes([i]), hashes[i].tobytes()) for i in range(40)], "key binary, hashes binary")
-    maps = jaccard.large_buckets(df, runs=5, depth=2, limit=8)
+    maps = jaccard.large_buckets(df, runs=5, depth=2, hot=8)
     assert len(maps) == 2
-    for _, level, path in jaccard._paths(hashes, 5, 2):
-        assert jaccard._has(maps[level], path).tolist() == [True] * 20 + [False] * 20
+    for _, at, _, big in jaccard._levels(hashes, 5, maps, 2):
+        assert (big == (at < 20)).all()

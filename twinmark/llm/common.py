@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -32,9 +31,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a fresh one on a
+    local master, where driver and executors are one machine; an error elsewhere."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="twinmark-shared-")
@@ -50,14 +52,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Give back what earlier rounds of an iteration left: Spark removes checkpoints, broadcasts and
-    shuffle files of tables that nobody holds only when the driver's garbage is collected, and many
-    small rounds fill disk and driver long before that happens by itself."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
