@@ -43,7 +43,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(f"{TOK}/word_bpe_49k.json")
-    tok.encode_special_tokens = True
     rows = packing.pack(docs, f"{TOK}/word_bpe_49k.json", size=64, open_bins=4).collect()
     want = []
     for r in docs.select("doc_id", "text").collect():
@@ -61,6 +60,8 @@ def test_packing(docs, empty):
             at += length
         assert at <= 64
     assert len(bins) <= 1.1 * -(-sum(r.length for r in rows) // 64)
+    again = packing.pack(docs, f"{TOK}/word_bpe_49k.json", size=64, open_bins=4, group=10).collect()
+    assert sorted((tuple(r)[:5] for r in again), key=key) == sorted(want, key=key)
     assert packing.pack(empty, f"{TOK}/word_bpe_49k.json").count() == 0
 
 
@@ -77,18 +78,19 @@ def test_chunks_equal_the_library(name, drops):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(f"{TOK}/{name}")
-    tok.encode_special_tokens = True
     for limit in (5, 100_000):
         enc = wordcache.ChunkEncoder(f"{TOK}/{name}", drops, limit)
-        for t in TEXTS + ["İΣσ ß 's 'S", " \x1c x", "\xa0a b", "é é"]:
+        for t in TEXTS + ["İΣσ ß 's 'S", " \x1c x", "\xa0a b", "é é", "a <|endoftext|> b", "x<|startoftext|>y", "<|EndOfText|>"]:
             assert enc.ids(t or "") == np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    tok.encode_special_tokens = True
+    enc = wordcache.ChunkEncoder(f"{TOK}/{name}", drops, as_text=True)
+    assert enc.ids("a <|endoftext|> b") == np.array(tok.encode("a <|endoftext|> b", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(f"{TOK}/byte_bpe_50k.json")
-    tok.encode_special_tokens = True
     at = tokenbin.write(docs, f"{TOK}/byte_bpe_50k.json", uri=f"file://{tmp_path}/store", parts=3)
     rows = tokenbin.read_back(spark, at).orderBy("start").collect()
     assert rows[0].doc_id is None and [r.doc_id for r in rows[1:]] == sorted(r.doc_id for r in rows[1:])

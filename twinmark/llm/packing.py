@@ -3,12 +3,15 @@
 Bounded-space online best fit: a fixed number of open bins, indexed by a bitset whose bit f says
 that some open bin has f free places. A piece goes to the open bin with the least free space that
 holds it; if none does, a bin is opened, and when all places for open bins are taken the fullest
-bin closes first. Each input partition packs by itself, so texts are never shuffled. What a
-partition still has open at its end (a bounded number of bins) is packed again, longest first, in
-groups of a fixed size over the whole corpus, so the number of partitions costs no sequences.
+bin closes first. Each input partition packs by itself, so texts are never shuffled. The pieces in bins
+that a partition still has open at its end, a bounded number of bins, are packed again over the whole
+corpus, in groups of a fixed size, online and through the same kind of bins; what is open at the end of
+that goes through a quarter as many bins, and so on, so partitions cost few sequences.
 
 Nulls and empty texts are documents of just the end id. Rows with equal or null ids are separate
-documents. Documents longer than a sequence are cut into whole sequences and a rest.
+documents. Documents longer than a sequence are cut into whole sequences and a rest, a very long text
+like any other: only its own ids are held. Other columns aren't read, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from twinmark.llm.wordcache import encoder
 
 SEQUENCE = 4096
 OPEN_BINS = 512
-GROUP = 20_000
+GROUP = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -115,23 +118,32 @@ def _pack_texts(path: str, end_id: int, size: int, most: int, drops_space: bool)
     return run
 
 
-def _pack_rest(size: int):
-    """Second round: pieces of bins that were left open, longest first, all bins of a group open."""
+def _pack_rest(size: int, most: int):
+    """Later rounds: pieces of bins that were left open, in order of their checksums, through fewer bins each time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = -1 - (TaskContext.get().partitionId() << 33)
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rows = pa.Table.from_batches(held)
+        rows = pa.Table.from_batches(held).combine_chunks()
         length = rows.column("length").to_numpy()
-        bins, seq, offset = OpenBins(size, rows.num_rows), np.empty(len(length), "i8"), np.empty(len(length), "i8")
-        for i in np.argsort(-length, kind="stable"):
-            b, offset[i] = bins.put(int(length[i]))
-            seq[i] = base - b
+        seq, offset = np.empty(len(length), "i8"), np.empty(len(length), "i8")
+        todo, bins_open, used = np.argsort(rows.column("ids_crc32").to_numpy(), kind="stable"), most, 0
+        while len(todo):
+            bins, place = OpenBins(size, bins_open), []
+            for n in length[todo].tolist():
+                place.append(bins.put(n))
+            own, offset[todo] = np.array(place, "i8").T
+            seq[todo] = base - used - own
+            used += bins.next
+            still_open = np.ones(bins.next, bool)
+            still_open[list(bins.closed)] = False
+            todo = todo[still_open[own]] if bins_open > 1 else todo[:0]
+            bins_open = max(1, bins_open // 4)
         for name, v in (("sequence_id", seq), ("offset", offset)):
             rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(v))
-        yield from rows.combine_chunks().to_batches()
+        yield from rows.to_batches(max_chunksize=20_000)
 
     return run
 
@@ -140,13 +152,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SEQUENCE,
     """One row per piece: where it comes from (doc_id, piece, start), its length and checksum, and
     where it goes (sequence_id, offset). Needs columns doc_id and text; others are not read.
 
-    group: pieces that one task of the second round packs; its memory is bounded by it.
-    An empty table gives no rows.
+    group: pieces that one task of the later rounds packs; its memory is bounded by it.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     pieces = cut(texts.mapInArrow(_pack_texts(tokenizer, end_id, size, open_bins, drops_space), f"{PIECES}, is_open boolean"))
     rest = pieces.where("is_open").drop("is_open")
     groups = max(1, -(-rest.count() // group))
-    again = rest.repartition(groups).mapInArrow(_pack_rest(size), PIECES)
+    again = rest.repartition(groups).mapInArrow(_pack_rest(size, open_bins), PIECES)
     return pieces.where("not is_open").drop("is_open").unionByName(again)

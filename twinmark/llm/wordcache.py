@@ -8,7 +8,9 @@ emptied when it is full, which costs time but changes no result.
 Why chunks are exact. byte-level BPE: its splitting pattern never crosses from a non-space into
 an isolated single space, so " chunk" is always split from what stands before it; a text that has
 any other kind of gap beside a space is given to the library whole. Word BPE that drops white
-space: no token crosses white space, and normalisation acts on each side of it alone.
+space: no token crosses white space, and normalisation acts on each side of it alone. A text that holds
+the string of an added token is given to the library whole too, so such a string gets the id that the
+library as loaded gives it; with as_text it is ordinary text.
 """
 
 from __future__ import annotations
@@ -44,14 +46,16 @@ class ChunkEncoder:
     """ids(text) -> bytes of little-endian unsigned 32-bit ids, as the library gives for the whole text.
 
     drops_space: the tokenizer removes white space and lowercases (else it is byte-level and keeps it).
+    as_text: strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 850_000):
+    def __init__(self, path: str, drops_space: bool, limit: int = 850_000, as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
+        self.tok.encode_special_tokens = as_text
+        self.added = [] if as_text else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.drops_space, self.limit = drops_space, limit
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -64,7 +68,11 @@ class ChunkEncoder:
     def piece(self, piece: str) -> bytes:
         """ids of one piece of the splitting pattern, from the library's BPE model."""
         if (got := self.pieces.get(piece)) is None:
-            letters = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+            bare = piece.removeprefix(" ")
+            if bare.isascii() and bare.isalpha():
+                letters = piece if bare is piece else f"{BYTE_LETTERS[32]}{bare}"
+            else:
+                letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
             got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
             if len(piece) < 4 and len(self.pieces) < 100_000:
                 self.pieces[piece] = got
@@ -86,6 +94,9 @@ class ChunkEncoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        for a in self.added:
+            if a in text:
+                return self.whole(text)
         if self.drops_space:
             try:
                 text.encode("latin-1")
