@@ -1,6 +1,8 @@
 """Operators over pairs and hosts, against plain versions."""
 
+import math
 import random
+from fractions import Fraction
 
 import brute
 import numpy as np
@@ -142,23 +144,31 @@ def test_components(spark):
 
 
 def brute_top(rows, k):
-    q = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and v]
-    out = []
-    for i, v in sorted(q, key=lambda x: x[0]):
+    q = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    most, out = 2**63 - 1, []
+    for n, (i, v) in enumerate(q):
         if i % 50 == 0:
-            s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in q if j != i and len(w) == len(v))
+            s = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), -most), most), j) for m, (j, w) in enumerate(q) if m != n and len(w) == len(v))
             out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s[:k])]
-    return out
+    return sorted(out)
 
 
 @pytest.mark.parametrize("block", [1, 8192])
 def test_top_k(spark, block):
-    rows = [(i, [RNG.uniform(-1, 1) for _ in range(6)]) for i in range(220)]
+    rows = [(i, [RNG.uniform(-1, 1) for _ in range(6)]) for i in range(120)]
     rows += [(500 + i, [0.5] * 6) for i in range(60)]  # ties
     rows += [(700, None), (750, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (800, [float("nan")] * 6), (850, [float("inf")] * 6), (None, [0.1] * 6), (900, [0.5, 0.25]), (901, [0.1, 0.1]), (950, []), (7, rows[3][1])]
+    rows += [(50, rows[50][1]), (50, rows[50][1]), (50, rows[4][1]), (100, [0.50001] * 6), (100, [0.50002] * 6)]  # ids and rows that repeat
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).repartition(5)
-    got = [tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, block=block, width=64).orderBy("query_id", "rank").collect()]
-    assert got == brute_top(rows, 5)
+    got = [tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, block=block, width=64).collect()]
+    assert sorted(got) == brute_top(rows, 5)
+
+
+def test_top_k_of_large_vectors(spark):
+    rows = [(i, [RNG.uniform(-1, 1) * 10 ** RNG.choice([0, 5, 7, 9, 300]) for _ in range(8)]) for i in range(60)]
+    rows += [(100, [5e4] * 8), (101, [5e4 + 1 / 256] * 8), (150, [1.7e308] * 8), (151, [-1.7e308] * 8), (200, [2.0**25] * 8), (201, [2.0**25 + 1 / 256] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect()) == brute_top(rows, 5)
 
 
 def test_top_k_of_nothing(spark):

@@ -70,14 +70,14 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": linededup.SQL,
     "op9_ngram_jaccard_join": jaccard.SQL,
     "op8_exact_top_k": """
-        with v as (
-            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q
-            from embeddings where embedding is not null
+        with v as materialized (
+            select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+            from embeddings where embedding is not null and vec_id is not null
         ), s as (
-            select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score
-            from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+            select a.row, a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score
+            from v a join v b on a.row <> b.row where a.vec_id % 50 = 0
         ), r as (
-            select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+            select *, cast(row_number() over (partition by row order by score desc, vec_id) as integer) as rank from s
         )
         select query_id, rank, vec_id, score from r where rank <= 5
     """,

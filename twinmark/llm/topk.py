@@ -11,16 +11,20 @@ global kth is never below a partition's own. So what is shuffled is bounded by k
 queries and of partitions, also where a third of all vectors are equal. Queries travel in blocks
 of a fixed number, held by the executors while the whole table passes by in bounded batches.
 
-Scores are integers: components are floor(scale * x). Vectors that are null, or hold nulls or
-non-finite components, take no part, neither do pairs of different lengths. A row is never its own
-candidate: candidates have another id than the query. Queries that share an id are answered once,
-by the smallest vector. Rows that repeat are candidates each. Null ids take no part. Empty tables
-give no rows.
+Scores are integers, exact for every finite vector: components are floor(scale * x), products are taken in
+doubles where those are exact, else in 64-bit integers, else in integers of any length; a score beyond 64
+bits counts as the largest or smallest one. Vectors that are null, or hold nulls or non-finite components,
+take no part, neither do pairs of different lengths. A row is never its own candidate, but every other
+row is, whatever its id: rows that repeat are queries and candidates each, so rows of one id give their
+ranks as often as there are rows. Null ids take no part. Columns other than vec_id and the vector aren't
+read. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -31,10 +35,12 @@ from pyspark.sql import functions as F
 from twinmark.llm.common import cut, ship
 
 K, SCALE, BLOCK, ROWS = 5, 256.0, 8192, 4096
+NONE, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
-def vectors(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix of integers as doubles) of the batch's sound rows, for each length of vector."""
+def vectors(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, vectors, integers) of the batch's sound rows, for each length of vector. Integers are doubles,
+    or Python's own where one is beyond those."""
     col = batch.column("vector")
     col = col.cast(pa.large_list(pa.float64()))
     ids = batch.column("vec_id")
@@ -45,72 +51,101 @@ def vectors(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, n
     ids = ids.fill_null(0).to_numpy()
     for n in np.unique(size[sound]):
         rows = np.flatnonzero(sound & (size == n))
-        m = np.floor(flat[ends[rows][:, None] + np.arange(n)] * scale)
-        ok = np.isfinite(m).all(1)
+        raw = flat[ends[rows][:, None] + np.arange(n)]
+        ok = np.isfinite(raw).all(1)
         if n and ok.any():
-            yield ids[rows[ok]], m[ok]
+            raw = raw[ok]
+            with np.errstate(over="ignore"):
+                m = np.floor(raw * scale)
+            if not np.isfinite(m).all():
+                m = np.array([[math.floor(Fraction(x) * Fraction(scale)) for x in r] for r in raw.tolist()], object)
+            yield ids[rows[ok]], raw, m
+
+
+def products(m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two matrices of integers, as 64-bit integers."""
+    top = lambda x: max((abs(int(v)) for v in (x.max(initial=0), x.min(initial=0))), default=0)
+    bound = top(m) * top(q) * m.shape[1]
+    if bound < 2**53:
+        kind = np.float32 if bound < 2**24 else np.float64
+        return (m.astype(kind) @ q.astype(kind).T).astype(np.int64)
+    if bound < 2**63 and max(top(m), top(q)) < 2**63:
+        return m.astype(np.int64) @ q.astype(np.int64).T
+    whole = lambda x: np.array([[int(v) for v in r] for r in x.tolist()], object)
+    s = whole(m) @ whole(q).T
+    return np.array([[min(max(v, -MOST), MOST) for v in r] for r in s.tolist()], np.int64).reshape(s.shape)
 
 
 class Queries:
-    """One block of queries by length of vector: ids, matrix, and the bound of their scores."""
-
-    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]]):
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in {m.shape[1] for _, m in found}:
-            ids = np.concatenate([i for i, m in found if m.shape[1] == n])
-            rows = np.concatenate([m for _, m in found if m.shape[1] == n])
-            order = np.lexsort((*rows.T[::-1], ids))
-            ids, rows = ids[order], rows[order]
-            first = np.concatenate([[True], ids[1:] != ids[:-1]])
-            self.by_length[n] = ids[first], rows[first]
+    """One block of queries, numbered: ids, how many rows each stands for, and by length of vector the
+    numbers, vectors and integers."""
+
+    def __init__(self, rows: pa.Table, scale: float):
+        self.ids: list[int] = []
+        self.copies: list[int] = []
+        self.own: list[int] = []  # a query's score with its like
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        rows = rows.combine_chunks()
+        for batch in rows.to_batches():
+            held = dict(zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True))
+            named = pa.record_batch([batch.column("at"), batch.column("vector")], ["vec_id", "vector"])
+            ids = dict(zip(batch.column("at").to_pylist(), batch.column("vec_id").to_pylist(), strict=True))
+            for at, raw, m in vectors(named, scale):
+                first = len(self.ids)
+                self.ids += [ids[x] for x in at.tolist()]
+                self.copies += [held[x] for x in at.tolist()]
+                self.own += [int(products(x[None, :], x[None, :])[0, 0]) for x in m]
+                number = np.arange(first, len(self.ids))
+                if (old := self.by_length.get(m.shape[1])) is not None:
+                    number, raw, m = (np.concatenate(x) for x in zip(old, (number, raw, m), strict=True))
+                self.by_length[m.shape[1]] = number, raw, m
 
     def scores(self, batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query ids, candidate ids, scores with -inf for the query itself), ROWS candidates at a time."""
-        for ids, m in vectors(batch, scale):
+        """(query numbers, candidate ids, scores with NONE for the query itself and its like), ROWS candidates at a time."""
+        every = np.array(self.ids, np.int64)
+        for ids, raw, m in vectors(batch, scale):
             if (q := self.by_length.get(m.shape[1])) is None:
                 continue
-            bound = np.abs(q[1]).max(initial=0) * np.abs(m).max(initial=0) * m.shape[1]
-            if bound >= 2**53:
-                raise ValueError("scores beyond 2**53 aren't exact in doubles; use a smaller scale")
-            kind = np.float32 if bound < 2**24 else np.float64
-            qm = q[1].astype(kind).T
             for at in range(0, len(ids), ROWS):
-                s = (m[at : at + ROWS].astype(kind) @ qm).astype(np.float64)
+                s = products(m[at : at + ROWS], q[2])
                 i = ids[at : at + ROWS]
-                s[i[:, None] == q[0][None, :]] = -np.inf
+                r, c = np.nonzero(i[:, None] == every[q[0]][None, :])
+                like = (raw[at + r] == q[1][c]).all(1)
+                s[r[like], c[like]] = NONE
                 yield q[0], i, s
 
+    def like(self, k: int) -> list[tuple[int, int, int, int]]:
+        """Of queries that stand for several rows: number, id, score, and how many like it are its candidates."""
+        return [(q, self.ids[q], self.own[q], min(n - 1, k)) for q, n in enumerate(self.copies) if n > 1]
+
 
 def _kept_bins(bins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a (rows, queries) array of bins with `low` for nothing, per query the highest bins down to a count of k."""
+    """Of a (rows, queries) array of bins with NONE for nothing, per query the highest bins down to a count of k."""
     rows = min(k, bins.shape[0])
-    top = -np.partition(-bins, rows - 1, axis=0)[:rows] if bins.shape[0] > rows else bins
-    least = top.min(0)
+    least = np.partition(bins, bins.shape[0] - rows, axis=0)[bins.shape[0] - rows]
     col, val, n = [], [], []
     for j in range(bins.shape[1]):
         b = bins[:, j]
         u, c = np.unique(b[b >= least[j]], return_counts=True)
-        ok = np.isfinite(u)
+        ok = u != NONE
         col.append(np.full(ok.sum(), j))
         val.append(u[ok])
         n.append(c[ok])
-    return np.concatenate(col), np.concatenate(val).astype(np.int64), np.concatenate(n)
+    return np.concatenate(col), np.concatenate(val), np.concatenate(n)
 
 
 def _histogram(held, k: int, scale: float, width: int):
-    """Counts of score bins; held: (queries, {query id: (lowest, highest) score wanted} or None)."""
+    """Counts of score bins; held: (queries, (lowest, highest) bounds of wanted scores by query number or None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, within = held.value
         sums: dict[int, dict[int, int]] = {}
         for b in batches:
-            for qids, _, s in queries.scores(b, scale):
+            for numbers, _, s in queries.scores(b, scale):
                 if within is not None:
-                    low = np.array([within[q][0] for q in qids.tolist()], float)
-                    high = np.array([within[q][1] for q in qids.tolist()], float)
-                    s[(s < low) | (s > high)] = -np.inf
-                for j, v, n in zip(*(x.tolist() for x in _kept_bins(np.floor(s / width), k)), strict=True):
-                    own = sums.setdefault(int(qids[j]), {})
+                    s[(s < within[0][numbers]) | (s > within[1][numbers])] = NONE
+                for j, v, n in zip(*(x.tolist() for x in _kept_bins(np.where(s == NONE, NONE, s // width), k)), strict=True):
+                    own = sums.setdefault(int(numbers[j]), {})
                     own[v] = own.get(v, 0) + n
         out = []
         for q, own in sums.items():
@@ -121,40 +156,39 @@ def _histogram(held, k: int, scale: float, width: int):
                 if count >= k:
                     break
         if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "bin", "n"])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query", "bin", "n"])
 
     return run
 
 
 def _kth_bins(rows: DataFrame, need: dict[int, int]) -> dict[int, tuple[int, int]]:
     """Per query of the block: the bin that holds its kth score, and how many lie above it."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("bin"))
-    counts = rows.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("query").orderBy(F.desc("bin"))
+    counts = rows.groupBy("query", "bin").agg(F.sum("n").alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(w))
     want = F.lit(max(need.values(), default=0))
     if len(set(need.values())) > 1:
-        table = rows.sparkSession.createDataFrame(list(need.items()), "query_id long, need long")
-        upto, want = upto.join(F.broadcast(table), "query_id"), F.col("need")  # at most a block of queries
-    found = upto.where(F.col("upto") - F.col("n") < want).groupBy("query_id").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("n")).alias("above")), "bin").alias("at"))
-    return {r.query_id: (r["at"]["bin"], r["at"]["above"]) for r in found.collect()}  # one row a query of the block
+        table = rows.sparkSession.createDataFrame(list(need.items()), "query long, need long")
+        upto, want = upto.join(F.broadcast(table), "query"), F.col("need")  # at most a block of queries
+    found = upto.where(F.col("upto") - F.col("n") < want).groupBy("query").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("n")).alias("above")), "bin").alias("at"))
+    return {r["query"]: (r["at"]["bin"], r["at"]["above"]) for r in found.collect()}  # one row a query of the block
 
 
 def _select(held, k: int, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, kth = held.value
-        best: dict[int, list[tuple[float, int]]] = {}
+        best: dict[int, list[tuple[int, int]]] = {}
         for b in batches:
-            for qids, ids, s in queries.scores(b, scale):
-                low = np.array([kth.get(q, np.inf) for q in qids.tolist()])
-                r, c = np.nonzero((s >= low) & np.isfinite(s))
-                got = pd.DataFrame({"q": qids[c], "s": s[r, c], "v": ids[r]}).sort_values(["q", "s", "v"], ascending=[True, False, True])
+            for numbers, ids, s in queries.scores(b, scale):
+                r, c = np.nonzero((s >= kth[numbers]) & (s != NONE))
+                got = pd.DataFrame({"q": numbers[c], "s": s[r, c], "v": ids[r]}).sort_values(["q", "s", "v"], ascending=[True, False, True])
                 for q, sc, v in got.groupby("q", sort=False).head(k).itertuples(index=False):
                     best.setdefault(q, []).append((-sc, v))
                 for q in set(got["q"]):
                     best[q] = sorted(best[q])[:k]
-        out = [(q, v, int(-s)) for q, own in best.items() for s, v in own]
+        out = [(q, v, -s) for q, own in best.items() for s, v in own]
         if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query", "vec_id", "score"])
 
     return run
 
@@ -169,20 +203,33 @@ def search(rows: DataFrame, is_query, vector: str = "embedding", k: int = K, sca
     ship(spark)
     table = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     parts: DataFrame | None = None
-    asked = table.where(is_query).where("vec_id is not null and vector is not null")
-    for found in _blocks(asked, block, scale):
-        queries = Queries(found)
+    asked = table.where(is_query).where("vec_id is not null and vector is not null").groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("n"))
+    for queries in _blocks(asked.withColumn("h", F.xxhash64("vector")), block, scale):
+        like, some = queries.like(k), range(len(queries.ids))
+        more = lambda values, names: spark.createDataFrame(values, ", ".join(f"{x} long" for x in names))
+
+        def counted(held, width: int, within=None):
+            found = table.mapInArrow(_histogram(held, k, scale, width), "query long, bin long, n long")
+            own = [(q, s // width, n) for q, _, s, n in like if within is None or within[0][q] <= s <= within[1][q]]
+            return found.unionByName(more(own, ("query", "bin", "n"))) if own else found
+
         sent = [spark.sparkContext.broadcast((queries, None))]
-        coarse = _kth_bins(table.mapInArrow(_histogram(sent[0], k, scale, width), "query_id long, bin long, n long"), dict.fromkeys(_ids(queries), k))
-        # fewer candidates than k: every score counts, so no bin was found that reaches k, but the lowest was
-        within = {q: (coarse[q][0] * width, coarse[q][0] * width + width - 1) if q in coarse else (np.inf, -np.inf) for q in _ids(queries)}
-        sent.append(spark.sparkContext.broadcast((queries, within)))
+        coarse = _kth_bins(counted(sent[0], width), dict.fromkeys(some, k))
+        # without any candidate no score is wanted
+        low = np.array([max(coarse[q][0] * width, -MOST) if q in coarse else MOST for q in some], np.int64)
+        high = np.array([min(coarse[q][0] * width + width - 1, MOST) if q in coarse else -MOST for q in some], np.int64)
+        sent.append(spark.sparkContext.broadcast((queries, (low, high))))
         need = {q: k - above for q, (_, above) in coarse.items()}
-        fine = _kth_bins(table.mapInArrow(_histogram(sent[1], k, scale, 1), "query_id long, bin long, n long"), need)
-        sent.append(spark.sparkContext.broadcast((queries, {q: float(s) for q, (s, _) in fine.items()})))
-        own = table.mapInArrow(_select(sent[2], k, scale), "query_id long, vec_id long, score long")
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        best = cut(own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+        fine = _kth_bins(counted(sent[1], 1, (low, high)), need)
+        sent.append(spark.sparkContext.broadcast((queries, np.array([fine[q][0] if q in fine else MOST for q in some], np.int64))))
+        own = table.mapInArrow(_select(sent[2], k, scale), "query long, vec_id long, score long")
+        if like:
+            own = own.unionByName(more([(q, i, s) for q, i, s, n in like for _ in range(n)], ("query", "vec_id", "score")))
+        w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        best = own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        names = more([(q, i, n) for q, (i, n) in enumerate(zip(queries.ids, queries.copies, strict=True))], ("query", "query_id", "copies"))
+        best = best.join(F.broadcast(names), "query")  # at most a block of queries
+        best = cut(best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", "rank", "vec_id", "score"))
         parts = best if parts is None else parts.unionByName(best)  # k rows a query, so many blocks stay light
         for b in sent:
             b.unpersist()
@@ -191,23 +238,15 @@ def search(rows: DataFrame, is_query, vector: str = "embedding", k: int = K, sca
     return parts
 
 
-def _ids(queries: Queries) -> list[int]:
-    return [q for ids, _ in queries.by_length.values() for q in ids.tolist()]
-
-
-def _blocks(asked: DataFrame, block: int, scale: float) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
-    """The queries in order of id, `block` at a time; equal ids stay in one block."""
-    low = None
+def _blocks(asked: DataFrame, block: int, scale: float) -> Iterator[Queries]:
+    """The different queries in order of id and vector, `block` at a time."""
+    rest = asked
     while True:
-        rest = asked if low is None else asked.where(F.col("vec_id") > low)
-        ids = [r.vec_id for r in rest.select("vec_id").distinct().orderBy("vec_id").limit(block).collect()]
-        if not ids:
+        got = rest.orderBy("vec_id", "h").limit(block).toArrow()
+        if not got.num_rows:
             return
-        part = rest.where(F.col("vec_id") <= ids[-1])
-        if low is not None:
-            part = part.where(F.col("vec_id") > low)
-        got = part.dropDuplicates().toArrow()
-        found = [x for b in got.to_batches() for x in vectors(b, scale)]
-        if found:
-            yield found
-        low = ids[-1]
+        queries = Queries(got.append_column("at", pa.array(range(got.num_rows), pa.int64())), scale)
+        if queries.ids:
+            yield queries
+        low, h = got.column("vec_id")[-1].as_py(), got.column("h")[-1].as_py()
+        rest = asked.where((F.col("vec_id") > low) | (F.col("vec_id") == low) & (F.col("h") > h))
