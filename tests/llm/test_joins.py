@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from fractions import Fraction
 
 import brute
@@ -204,6 +205,62 @@ def test_language_of_held_out_pages(spark, model):
     assert got[None].lang == "de" and got[202].lang == "de"
 
 
+def test_two_languages_of_one_script(spark):
+    words = {"ru": ["и", "что", "это", "как", "был", "ещё", "дела"], "uk": ["й", "що", "це", "як", "був", "ще", "справи"]}
+    text = lambda lang, n: " ".join(RNG.choice(words[lang]) for _ in range(n))
+    df = spark.createDataFrame([(i, text(lang, 60), lang) for i, lang in enumerate(list(words) * 20)], "doc_id long, text string, lang string")
+    own = langid.train(df, tuple(words))
+    pages = [(i, None, f"<p>{text(lang, 10)}</p>") for i, lang in enumerate(list(words) * 30)]
+    got = langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), own, tuple(words)).collect()
+    assert all(r.lang == list(words)[r.page_id % 2] for r in got) and len(got) == 60
+
+
+def test_fusion_equals_the_definition(spark, model):
+    langs, pages = list(SAMPLE), []
+    for i in range(60):
+        lang = RNG.choice(langs)
+        said = RNG.choice([lang, "xx", None])
+        text = " ".join(RNG.choice(SAMPLE[lang] + SAMPLE["en"]) for _ in range(RNG.randint(0, 6)))
+        url = RNG.choice([f"http://{RNG.choice('ab')}.site{i % 3}.{RNG.choice(['de', 'com', 'fr'])}/{i}", "no address", None])
+        pages.append((i, url, f'<html{f" lang={said}" if said else ""}>{text}'))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    seen = {r.page_id: r for r in langid.evidence(df, model).collect()}
+    soft = lambda x: np.exp(np.array(x) - max(x)) / np.exp(np.array(x) - max(x)).sum()
+    post = {i: soft(r.text) for i, r in seen.items()}
+    k, strength = len(langs), langid.STRENGTH
+    base = (sum(post.values()) + 1) / (len(pages) + k)
+
+    def told(column, i):
+        value = seen[i][column]
+        if value is None:
+            return np.zeros(k)
+        has = [j for j, r in seen.items() if r[column] is not None]
+        own = sum(post[j] for j in has if seen[j][column] == value)
+        return np.log((own + 0.5) / (sum(post[j] for j in has) + 0.5 * (len({seen[j][column] for j in has}) + 1)))
+
+    def others(column, i, below):
+        like = [j for j in seen if seen[j][column] is not None and seen[j][column] == seen[i][column]]
+        if not like:
+            return base
+        return (np.maximum(sum(post[j] for j in like) - post[i], 0) + strength * below) / (len(like) - 1 + strength)
+
+    for r in langid.identify(df, model).collect():
+        i = r.page_id
+        prior = others("host", i, others("domain", i, base))
+        fused = soft(np.array(seen[i].text) + told("declared", i) + told("suffix", i) + np.log(prior))
+        assert r.confidence == pytest.approx(fused.max(), abs=2e-6)
+        assert r.lang == langs[int(fused.argmax())] or np.sort(fused)[-1] - np.sort(fused)[-2] < 1e-9
+
+
+def test_long_pages_take_time_in_proportion():
+    began = time.time()
+    for page in ("<script " * 250_000, "<" * 2_000_000, "<!--" * 500_000, "<html " * 300_000, "<nav></script>" * 100_000, "<meta http-equiv=content-language " * 50_000):
+        langid.visible(page)
+        langid.declared(page, ("de",))
+    assert time.time() - began < 10
+    assert langid.visible("a<script>x</script >b<SCRIPT>y<!-- c --> d <i>e</i> < f").split() == ["a", "b", "y", "d", "e", "<", "f"]
+
+
 def test_no_pages(spark, model):
     assert langid.identify(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
 

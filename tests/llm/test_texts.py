@@ -5,13 +5,14 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinmark.llm import linededup, packing, pii, piecebpe, quality, secrets, tokenbin, wordcache
+from twinmark.llm import linededup, ngrams, packing, pii, piecebpe, quality, secrets, tokenbin, wordcache
 
 TOK = "/opt/tokenizers"
 RNG = random.Random(7)
@@ -220,39 +221,50 @@ def test_word_rules():
 
 
 def _lonely(words):
-    from collections import Counter
-
     w = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
     seen = Counter(w)
     inside = {i + k for i, x in enumerate(w) if seen[x] > 1 for k in range(5)}
     return len(words) - len(inside)
 
 
-def test_kneser_ney_equals_the_definition():
-    texts = ["abracadabra abra", "the cat sat on the mat", "abc abd abe " * 3]
-    g, _ = quality.grams(texts)
-    code, n = np.unique(g, return_counts=True)
-    model = quality.KneserNey.from_counts(np.zeros(len(code), np.int64), code, n)
-    counts = [None, {}, {}, {}, dict(zip(code.tolist(), n.tolist(), strict=True))]
-    for order in (3, 2, 1):
-        for c in counts[order + 1]:
-            s = c & ((1 << 5 * order) - 1)
-            counts[order][s] = counts[order].get(s, 0) + 1
-    def p(c, order):
-        if order == 0:
-            return 1 / 32
-        d = quality.discounts(np.array(list(counts[order].values())))
-        ctx = [v for k, v in counts[order].items() if k >> 5 == c >> 5]
-        low = p(c & ((1 << 5 * (order - 1)) - 1), order - 1)
-        if not ctx:
-            return low
-        own = counts[order].get(c, 0)
-        return (max(own - d[min(own, 3)], 0) + sum(d[min(v, 3)] for v in ctx) * low) / sum(ctx)
-
-    some = np.concatenate([code[::5], np.array([1, 5, 12345, (1 << 20) - 1])])
-    assert np.exp(model.log_p(0, some)) == pytest.approx([p(int(c), 4) for c in some], rel=1e-5)
-    every = (int(code[3]) >> 5 << 5) + np.arange(32)
-    assert np.exp(model.log_p(0, every)).sum() == pytest.approx(1, abs=1e-5)
+def test_kneser_ney_equals_the_definition(spark):
+    texts = ["abracadabra abra", "The cat sat on the mat", "abc abd abe " * 3, "Ночь, улица, фонарь, аптека, ночь ночь", "a  b ## 12 c"]
+    model = ngrams.train(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"), ("en",))
+    size = ngrams.ORDER
+    counts = {k: Counter() for k in range(1, size + 1)}
+    for t in texts:
+        t = re.sub(r"(##|  )", lambda m: m[0][0], re.sub("[0-9]", "0", t.lower()))
+        t = "\0" * (size - 1) + t
+        counts[size].update(t[i : i + size] for i in range(len(t) - size + 1))
+    for k in range(size - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    off = {k: ngrams.discounts(*(sum(v == n for v in c.values()) for n in (1, 2, 3, 4))) for k, c in counts.items()}
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(counts[1]) + 1)
+        told = {x: n - off[k][min(n, 3) - 1] for x, n in counts[k].items() if x[:-1] == g[:-1] and (n > 1 or k == 1)}
+        total = sum(n for x, n in counts[k].items() if x[:-1] == g[:-1])
+        return (told.get(g, 0) + (total - sum(told.values())) * p(g[1:])) / total if told else p(g[1:])
+
+    store = model.store()
+    held = ngrams.grams([*texts, "abra nights", "zzz", ""])
+    keys, rows = held.keys(), np.arange(len(held.at))
+    for _ in range(2):  # from the table, then from what the worker keeps
+        got = store.log_p(0, held, keys, rows)
+        want = [p("".join(map(chr, held.symbols[i - size + 1 : i + 1]))) for i in held.at]
+        assert np.exp(got) == pytest.approx(want, rel=1e-4)
+    every = [*counts[1], "\uffff"]
+    for ctx in ("abra", "ночь", "zzzz"):
+        rows = np.array([[ord(c) for c in (ctx + x)[::-1]] for x in every], np.uint32)
+        assert np.exp(store.fresh(0, rows)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_counts_in_small_tables_are_the_same(spark):
+    df = spark.createDataFrame([(t, "en" if i % 2 else None) for i, t in enumerate(TEXTS)], "text string, lang string")
+    whole, small = (sorted(tuple(r) for r in ngrams.counts(df, ("en",), *size).collect()) for size in ((1_000_000, 1 << 20), (500, 64)))
+    assert whole == small and len({g for _, g, _ in whole}) > 100
 
 
 def test_quality(spark, docs, empty):
@@ -262,6 +274,7 @@ def test_quality(spark, docs, empty):
     for text, (nw, wc, ns, dl, rw, bad, kept) in by_text(docs, rows, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"):
         assert (nw, wc, ns, dl, rw) == brute.rules(text)
         assert bad == (nw < 10 or 100 * rw > 20 * nw) and not (bad and kept)
+    assert sorted(map(repr, quality.assess(docs).drop("log_perplexity", "band_low", "band_high").collect())) == sorted(repr(r) for r in quality.assess(docs, m).drop("log_perplexity", "band_low", "band_high").collect())
     left = quality.filter(docs, m)
     assert left.columns == docs.columns and left.count() == sum(r.kept for r in rows)
     assert quality.assess(empty, quality.fit(empty)).count() == 0
@@ -288,6 +301,30 @@ def test_short_texts_have_a_band_too(spark):
     assert kept == set(range(300))
 
 
+def test_noise_of_any_script_leaves_the_band(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice(["ба", "до", "ки", "му", "ре"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    good = [" ".join(rng.choice(words) for _ in range(80)) + "." for _ in range(300)]
+    noise = [" ".join("".join(rng.choice("щъыэюяфхцчшжзгвп") for _ in range(6)) for _ in range(80)) for _ in range(5)]
+    df = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(good + noise)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.assess(df, quality.fit(df)).where("kept").collect()}
+    assert kept == set(range(300))
+
+
+def test_verdicts_equal_plain_bands(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "xq#z"]) for _ in range(rng.randint(12, 60))), "en") for i in range(120)], "doc_id long, text string, lang string")
+    m = quality.fit(df)
+    centre, scale, var = m.bands[0]
+    for r in quality.assess(df, m).collect():
+        g = ngrams.grams([df.where(f"doc_id = {r.doc_id}").first().text]) if r.doc_id < 5 else None
+        if g is not None:
+            lp = m.model.store().log_p(0, g, g.keys(), np.arange(len(g.at)))
+            room = m.width * math.sqrt(scale**2 + var / len(lp))
+            assert (r.log_perplexity, r.band_low, r.band_high) == pytest.approx((-lp.mean(), centre - room, centre + room), abs=1e-5)
+        assert r.kept == (not r.base_failed and r.band_low <= r.log_perplexity <= r.band_high)
+
+
 def test_line_dedup(docs, empty, spark):
     passage = "\n".join(["first line", "second line", "third line", "fourth line"])
     rows = [(5, f"intro\n{passage}\nend"), (2, passage), (9, f"a\n\n{passage}\n \nb"), (None, "first line\nsecond line\nthird line"), (7, "x\nx\nx\nx\nx"), (7, "x\nx\nx\nx\nx"), (8, "only\ntwo"), (4, "\n".join(passage.split("\n")[1:])), (1, None), (3, "")]

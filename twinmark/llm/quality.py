@@ -1,10 +1,7 @@
 """Document quality: fixed word and line rules, and n-gram perplexity bands by language.
 
-The model is a modified Kneser-Ney 4-gram model over characters folded to 32 symbols, one for each
-language. Its counts are summed by Spark over all texts. The alphabet bounds it: at most 32**4
-4-grams a language however large the corpus, so it can be broadcast at any size. Stored are sorted
-arrays of 64-bit hashes of (language, order, n-gram) with the discounted probability and, for
-contexts, the weight of the shorter n-gram; scoring looks them up by binary search.
+The model is a modified Kneser-Ney 5-gram model over characters of any script, one for each language,
+counted by Spark over all texts and kept in sorted hash arrays in the shared folder; see ngrams.py.
 
 Bands: log perplexity of a language's documents, of whatever length, is summed into a global histogram
 by length (powers of two); its median is m. A document of n symbols is rejected if its log perplexity
@@ -13,7 +10,8 @@ texts vary more and get wider bands. The scale s is the one at which the median
 that root, is a normal variable's. Below the lower band lie texts of
 repeated stock phrases, above the upper one noise.
 
-Texts are read three times (counts, histogram, verdict) and never shuffled. Nulls are empty texts;
+Texts are read twice by assess() (counts, scores), three times by fit() and filter() (counts, histogram,
+verdict), and never shuffled; very long ones go through in slices of a few megabytes, or alone, whole. Nulls are empty texts;
 a text without words fails the base rules. Rows with equal ids are judged one by one; other
 columns pass through filter() unchanged, whatever their names. Documents whose language isn't
 listed, or null, share one more model. An empty table gives an empty result.
@@ -21,172 +19,26 @@ listed, or null, share one more model. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinmark.llm.common import kept, ship, slices
+from twinmark.llm import ngrams
+from twinmark.llm.common import cut, ship, slices
+from twinmark.llm.ngrams import slots_of, texts_of
 
 LANGUAGES = ("en", "de", "fr", "es")
-ORDER, BITS = 4, 5
 WIDTH = 4.0
 BIN = 0.002
 SPACE = "\t\n\v\f\r "
 SYMBOLS = "#*$%&|<>"
 
 
-def _alphabet() -> np.ndarray:
-    """Symbol of each code point below 0x250: 1-26 letters without accents or case, 27 space, 28
-    digit, 29 punctuation, 30 other signs, 31 anything else; 0 stands before a text."""
-    table = np.full(0x251, 31, np.uint8)
-    for c in range(0x250):
-        ch = chr(c)
-        base = unicodedata.normalize("NFD", ch.lower())[0]
-        kind = unicodedata.category(ch)
-        if "a" <= base <= "z":
-            table[c] = ord(base) - 96
-        elif ch.isspace():
-            table[c] = 27
-        elif kind == "Nd":
-            table[c] = 28
-        elif ch in ".,;:!?'\"-()":
-            table[c] = 29
-        elif kind[0] in "PS":
-            table[c] = 30
-    return table
-
-
-_TABLE = _alphabet()
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 4-grams that end at each symbol of the texts, one after another; number of each text's.
-
-    A run of spaces or of other signs is one symbol: else long runs, easily foretold, would make
-    noise look fluent."""
-    n = np.array([len(t) for t in texts], np.int64)
-    pad = ORDER - 1
-    raw = np.frombuffer(("\0" * pad + ("\0" * pad).join(texts)).encode("utf-32-le"), "<u4")
-    sym = _TABLE[np.minimum(raw, 0x250)].astype(np.int32)
-    start = np.concatenate([[0], np.cumsum(n[:-1] + pad)]) if len(n) else np.empty(0, np.int64)
-    for k in range(pad):
-        sym[start + k] = 0
-    keep = np.ones(len(sym), bool)
-    keep[1:] = (sym[1:] != sym[:-1]) | ((sym[1:] != 27) & (sym[1:] != 30))
-    n = np.add.reduceat(keep, start).astype(np.int64) - pad if len(n) else n
-    sym = sym[keep]
-    start = np.concatenate([[0], np.cumsum(n[:-1] + pad)]) if len(n) else np.empty(0, np.int64)
-    real = np.ones(len(sym), bool)
-    for k in range(pad):
-        real[start + k] = False
-    g = sym.copy()
-    for k in range(1, ORDER):
-        g[k:] |= sym[:-k] << (BITS * k)
-    return g[real], n
-
-
-def slot_of(lang: str | None, languages: tuple[str, ...]) -> int:
-    return languages.index(lang) if lang in languages else len(languages)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """64-bit finaliser: keys to hashes, one to one."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def key(slot: int, order: int, code: np.ndarray) -> np.ndarray:
-    return mix(np.uint64(slot << 40 | order << 32) | code.astype(np.uint64))
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Discount of counts 0, 1, 2, 3 and more."""
-    n1, n2, n3, n4 = ((counts == k).sum() for k in (1, 2, 3, 4))
-    d = np.array([0.0, 0.5, 1.0, 1.5])
-    if n1 and n2 and n3:
-        y = n1 / (n1 + 2 * n2)
-        own = np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-        d = np.where((own >= 0) & (own < [1, 1, 2, 3]) & np.isfinite(own), own, d)
-    return d
-
-
-@dataclass
-class KneserNey:
-    """Sorted hashes with two values each; see the module's text."""
-
-    hashes: np.ndarray
-    prob: np.ndarray
-    weight: np.ndarray
-    cache: dict = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return self.hashes, self.prob, self.weight
-
-    def __setstate__(self, state):
-        self.hashes, self.prob, self.weight = state
-        self.cache = {}
-
-    @classmethod
-    def from_counts(cls, slot: np.ndarray, code: np.ndarray, count: np.ndarray) -> KneserNey:
-        hashes, prob, weight = [], [], []
-        for s in np.unique(slot):
-            at = slot == s
-            c = np.zeros(1 << (BITS * ORDER), np.int64)
-            c[code[at]] = count[at]
-            for order in range(ORDER, 0, -1):
-                size = 1 << BITS
-                by = c.reshape(-1, size)  # context, symbol
-                d = discounts(c)
-                cut = d[np.minimum(by, 3)]
-                total = by.sum(1)
-                used = total > 0
-                p = np.where(used[:, None], np.maximum(by - cut, 0) / np.maximum(total, 1)[:, None], 0).ravel()
-                seen = np.flatnonzero(c)
-                hashes.append(key(int(s), order, seen))
-                prob.append(p[seen])
-                weight.append(np.zeros(len(seen)))
-                ctx = np.flatnonzero(used)
-                hashes.append(key(int(s), 16 + order, ctx))  # the context's own entry
-                prob.append(np.zeros(len(ctx)))
-                weight.append((cut.sum(1)[ctx]) / total[ctx])
-                if order > 1:  # how many symbols stand before each shorter n-gram
-                    c = (c.reshape(size, -1) > 0).sum(0)
-        if not hashes:
-            return cls(np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.float32))
-        h = np.concatenate(hashes)
-        order = np.argsort(h)
-        return cls(h[order], np.concatenate(prob)[order].astype(np.float32), np.concatenate(weight)[order].astype(np.float32))
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
-
-    def log_p(self, slot: int, g: np.ndarray) -> np.ndarray:
-        """Natural log of each packed n-gram's probability of its last symbol after the others."""
-        if slot not in self.cache:
-            self.cache[slot] = np.full(1 << (BITS * ORDER), np.nan, np.float32)
-        table = self.cache[slot]
-        out = table[g]
-        if np.isnan(out).any():
-            new = np.unique(g[np.isnan(out)])
-            p = np.full(len(new), 1.0 / (1 << BITS))
-            for order in range(1, ORDER + 1 if len(self.hashes) else 1):  # nothing counted: all alike
-                code = new & ((1 << (BITS * order)) - 1)
-                own, ctx = self.find(key(slot, order, code)), self.find(key(slot, 16 + order, code >> BITS))
-                p = np.where(own >= 0, self.prob[own], 0) + np.where(ctx >= 0, self.weight[ctx], 1) * p
-            table[new] = np.log(np.maximum(p, 1e-12))
-            out = table[g]
-        return out
-
-
 def word_rules(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = text.encode().split()  # of bytes: splits at exactly the six ASCII spaces
@@ -223,35 +75,27 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < 10 or 100 * n_repeat > 20 * n_words
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [t or "" for t in batch.column("text").to_pylist()]
-
-
-def _slots(batch: pa.RecordBatch, languages: tuple[str, ...]) -> np.ndarray:
-    return np.array([slot_of(x, languages) for x in batch.column("lang").to_pylist()])
-
-
 @dataclass
 class QualityModel:
     """The fitted model and, by slot, (median, scale, variance) of the bands."""
 
-    model: KneserNey
+    model: ngrams.Model
     bands: dict[int, tuple[float, float, float]]
     languages: tuple[str, ...]
     width: float
 
     def log_perplexity(self, texts: list[str], slots: np.ndarray, squares: bool = False):
-        """Per text: mean of -log p (0 for no symbols), number of symbols; sum of squares by slot."""
-        g, n = grams(texts)
-        slot = np.repeat(slots, n)
-        lp = np.empty(len(g))
-        for s in np.unique(slots):
-            at = slot == s
-            lp[at] = self.model.log_p(int(s), g[at])
-        ends = np.cumsum(n)
+        """Per text: mean of -log p (0 for no symbols), number of symbols; each symbol's log p and slot."""
+        g = ngrams.grams(texts)
+        keys, store, slot = g.keys(), self.model.store(), np.repeat(slots, g.n)
+        lp = np.empty(len(keys))
+        for s in np.unique(slots).tolist():
+            rows = np.flatnonzero(slot == s)
+            lp[rows] = store.log_p(s, g, keys, rows)
+        ends = np.cumsum(g.n)
         total = np.concatenate([[0], np.cumsum(lp)])
-        mean = -(total[ends] - total[ends - n]) / np.maximum(n, 1)
-        return (mean, n, lp, slot) if squares else (mean, n)
+        mean = -(total[ends] - total[ends - g.n]) / np.maximum(g.n, 1)
+        return (mean, g.n, lp, slot) if squares else (mean, g.n)
 
     def verdicts(self, texts: list[str], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: log perplexity, and the lower and upper band it is held against."""
@@ -261,67 +105,51 @@ class QualityModel:
         return mean, m - room, m + room
 
 
-def count_model(texts: DataFrame, languages: tuple[str, ...]) -> KneserNey:
-    """The model of each language from the counts of all texts (columns text and lang)."""
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept("quality")
-        sums: dict[int, np.ndarray] = {}
+def _scored(docs: DataFrame, model: QualityModel, rules: bool) -> DataFrame:
+    """Per document: slot, log_perplexity, n of symbols, sum and sum of squares of their log probabilities;
+    with rules doc_id and the word counts too."""
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                g, n = grams(_texts(b))
-                slots = _slots(b, languages)
-                slot = np.repeat(slots, n)
-                for s in np.unique(slots):
-                    own = np.bincount(g[slot == s], minlength=1 << (BITS * ORDER))
-                    sums[int(s)] = sums[int(s)] + own if int(s) in sums else own
-        for s, c in sums.items():
-            at = np.flatnonzero(c)
-            yield pa.record_batch([pa.array(np.full(len(at), s, np.int32)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["slot", "code", "n"])
-
-    counts = texts.mapInArrow(count, "slot int, code int, n long").groupBy("slot", "code").agg(F.sum("n").alias("n")).toArrow()
-    return KneserNey.from_counts(*(counts.column(name).to_numpy() for name in ("slot", "code", "n")))
+                texts, slots = texts_of(b), slots_of(b, held.value.languages)
+                mean, n, lp, _ = held.value.log_perplexity(texts, slots, squares=True)
+                ends = np.cumsum(n)
+                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (lp, lp**2)]
+                cols = [slots.astype(np.int32), mean, n, *(x[ends] - x[ends - n] for x in sums)]
+                names = ["slot", "log_perplexity", "n", "total", "square"]
+                if rules:
+                    cols += [b.column("doc_id"), *map(np.array, zip(*map(word_rules, texts), strict=True))]
+                    names += ["doc_id", *COUNTS]
+                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names)
+
+    more = ", doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) if rules else ""
+    rows = docs.select(*([F.col("doc_id").cast("long").alias("doc_id")] if rules else []), "text", "lang")
+    return rows.mapInArrow(run, f"slot int, log_perplexity double, n long, total double, square double{more}")
+
+
+def _bands(scored: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """Median, scale and variance of each language, from histograms by length in powers of two."""
+    some = scored.where("n > 0").groupBy("slot", F.floor(F.col("log_perplexity") / BIN).alias("bin"), F.floor(F.log2("n")).alias("power"))
+    rows = some.agg(F.count(F.lit(1)).alias("docs"), *(F.sum(c).alias(c) for c in ("n", "total", "square"))).toPandas()  # a few thousand bins a language
+    out = {}
+    for s, r in rows.groupby("slot"):
+        w, mid = r.docs.to_numpy(float), (r.bin.to_numpy() + 0.5) * BIN
+        m, many = _median(mid, w), r.n.sum()
+        v = max(r.square.sum() / many - (r.total.sum() / many) ** 2, 0.0)
+        out[int(s)] = (m, _scale(np.abs(mid - m), w, v / (1.5 * 2.0 ** r.power.to_numpy())), v)
+    return out
 
 
 def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, width: float = WIDTH) -> QualityModel:
     """Count, model, and bands over all documents (columns text and lang)."""
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select("text", "lang")
-
-    model = QualityModel(count_model(texts, languages), {}, languages, width)
-    held = spark.sparkContext.broadcast(model)
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins: Counter = Counter()
-        sums: dict[int, np.ndarray] = {}
-        for whole in batches:
-            for b in slices(whole, "text"):
-                slots = _slots(b, languages)
-                mean, n, lp, slot = held.value.log_perplexity(_texts(b), slots, squares=True)
-                for s in np.unique(slots):
-                    x = lp[slot == s]
-                    sums[int(s)] = sums.get(int(s), 0) + np.array([len(x), x.sum(), (x**2).sum()])
-                    of = (slots == s) & (n > 0)
-                    bins.update((int(s), int(k) << 6 | int(z)) for k, z in zip(mean[of] / BIN, np.log2(n[of]), strict=True))
-        rows = [(s, k, float(c)) for (s, k), c in bins.items()]
-        rows += [(s, -1 - i, float(v)) for s, x in sums.items() for i, v in enumerate(x)]
-        if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["slot", "bin", "n"])
-
-    found: dict[int, dict[int, float]] = {}
-    for r in texts.mapInArrow(histogram, "slot int, bin int, n double").groupBy("slot", "bin").agg(F.sum("n").alias("n")).collect():
-        found.setdefault(r.slot, {})[r.bin] = r.n  # a few thousand bins a language
-    for s, bins in found.items():
-        k = np.array(sorted(x for x in bins if x >= 0))
-        if len(k):
-            w = np.array([bins[x] for x in k.tolist()])
-            mid = ((k >> 6) + 0.5) * BIN
-            m = _median(mid, w)
-            many, total, square = (bins[-1 - i] for i in range(3))
-            v = max(square / many - (total / many) ** 2, 0.0)
-            model.bands[s] = (m, _scale(np.abs(mid - m), w, v / (1.5 * 2.0 ** (k & 63))), v)
-    held.unpersist()
+    model = QualityModel(ngrams.train(docs.select("text", "lang"), languages), {}, languages, width)
+    model.bands = _bands(_scored(docs, model, rules=False))
     return model
 
 
@@ -339,22 +167,20 @@ def _scale(off: np.ndarray, weight: np.ndarray, own: np.ndarray) -> float:
     return high
 
 
-def assess(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """One row per document: doc_id, the word counts, base_failed, the log perplexity with its band, kept."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text"):
-                texts, slots = _texts(b), _slots(b, held.value.languages)
-                mean, low, high = held.value.verdicts(texts, slots)
-                rules = [word_rules(t) for t in texts]
-                failed = np.array([base_failed(r[0], r[4]) for r in rules])
-                good = ~failed & (mean >= low) & (mean <= high)
-                yield pa.record_batch([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rules, strict=True)), *map(pa.array, (failed, mean, low, high, good))], ["doc_id", *counts, "base_failed", "log_perplexity", "band_low", "band_high", "kept"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, f"doc_id long, {', '.join(f'{c} long' for c in counts)}, base_failed boolean, log_perplexity double, band_low double, band_high double, kept boolean")
+def assess(docs: DataFrame, model: QualityModel | None = None, languages: tuple[str, ...] = LANGUAGES, width: float = WIDTH) -> DataFrame:
+    """One row per document: doc_id, the word counts, base_failed, the log perplexity with its band, kept.
+    Without a fitted model one is fitted over these documents, which then are scored only once."""
+    if model is None:
+        model = QualityModel(ngrams.train(docs.select("text", "lang"), languages), {}, languages, width)
+        scored = cut(_scored(docs, model, rules=True))
+        model.bands = _bands(scored)
+    else:
+        scored = _scored(docs, model, rules=True)
+    of = lambda i, none: F.coalesce(F.create_map(*(x for k, v in model.bands.items() for x in (F.lit(k), F.lit(float(v[i])))))[F.col("slot")], F.lit(none)) if model.bands else F.lit(none)
+    room = F.lit(model.width) * F.sqrt(of(1, float("inf")) ** 2 + of(2, 0.0) / F.greatest("n", F.lit(1)))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    rows = scored.select("doc_id", *COUNTS, failed.alias("base_failed"), "log_perplexity", (of(0, 0.0) - room).alias("band_low"), (of(0, 0.0) + room).alias("band_high"))
+    return rows.withColumn("kept", ~F.col("base_failed") & F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")))
 
 
 def filter(docs: DataFrame, model: QualityModel) -> DataFrame:  # noqa: A001
@@ -364,7 +190,7 @@ def filter(docs: DataFrame, model: QualityModel) -> DataFrame:  # noqa: A001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                texts, slots = _texts(b), _slots(b, held.value.languages)
+                texts, slots = texts_of(b), slots_of(b, held.value.languages)
                 mean, low, high = held.value.verdicts(texts, slots)
                 good = (mean >= low) & (mean <= high)
                 for i in np.flatnonzero(good):

@@ -101,22 +101,22 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, vocabulary: int = 50
     return uri
 
 
-def open_part(uri: str, name: str, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, offsets, document ids, null flags) of one part, mapped into memory where the store is a
-    mounted folder, else read."""
+def mapped(uri: str, name: str) -> np.ndarray:
+    """The bytes of a file, mapped into memory where the store is a mounted folder, else read."""
     fs, top = _fs(uri)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.memmap(f"{top}/{name}", np.uint8, "r")
+    with fs.open_input_file(f"{top}/{name}") as f:
+        return np.frombuffer(f.read(), np.uint8)
 
-    def get(at: str) -> np.ndarray:
-        if isinstance(fs, pafs.LocalFileSystem):
-            return np.memmap(at, np.uint8, "r")
-        with fs.open_input_file(at) as f:
-            return np.frombuffer(f.read(), np.uint8)
 
-    raw = get(f"{top}/{name}.idx")
+def open_part(uri: str, name: str, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, offsets, document ids, null flags) of one part."""
+    raw = mapped(uri, f"{name}.idx")
     n = int(raw[:8].view("<i8")[0])
     offsets = raw[8 : 16 + 8 * n].view("<i8")
     docs = raw[16 + 8 * n : 16 + 16 * n].view("<i8")
-    return get(f"{top}/{name}.bin").view(dtype), offsets, docs, raw[16 + 16 * n : 16 + 17 * n]
+    return mapped(uri, f"{name}.bin").view(dtype), offsets, docs, raw[16 + 16 * n : 16 + 17 * n]
 
 
 def read_index(uri: str) -> dict:
