@@ -56,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents. A stage's table goes when the next one is written."""
+    """The last stage's rows over documents. A stage's table goes when the next one is written, the last
+    table when the pieces are: packing keeps those in the checkpoint folder and doesn't read texts again."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         at = fresh_path(spark, f"stage-{name}")
@@ -64,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             remove(spark, before)
         docs, before = spark.read.parquet(at), at
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, before)
+    return packed
