@@ -56,3 +56,27 @@ def test_jaccard(spark, a, b, want):
 @pytest.mark.parametrize("text, want", [("", 0), ("  ", 0), ("a  b c", 3)])
 def test_word_count(spark, text, want):
     assert one(spark, "t string", (text,), tx.word_count(F.col("t"))) == want
+
+
+def test_scorers_take_time_in_proportion_to_the_text(spark):
+    import time
+
+    words = " ".join(f"söz{i}" for i in range(20_000))
+    rows = [(words, "söz19999 söz1"), (words + " Bakıda", "Bakı"), ("bakı " * 20_000 + "but", "bakı"), ("but " + "bakı " * 20_000, "bakı şəhəri")]
+    df = spark.createDataFrame(rows, "p string, r string")
+    began = time.time()
+    assert [r.x for r in df.select(sc.short_answer(F.col("p"), F.col("r")).alias("x")).collect()] == [0, 1, 0, 0]
+    assert time.time() - began < 15
+
+
+def test_evaluation_composes_texts(spark):
+    from twinmark.plans.evaluate import flat
+
+    rows = [("go\u0308l", "göl", "q\u0308?", ("c", "d", True))]
+    df = spark.createDataFrame(rows, "prediction string, reference_answer string, question string, metadata struct<category:string,difficulty:string,is_answerable:boolean>")
+    assert flat(df).select(sc.exact(F.col("prediction"), F.col("reference_answer")).alias("x")).first().x == 1
+
+
+def test_overlap_tokens_hold_digits_and_letters_together(spark):
+    got = {t: one(spark, "t string", (t,), tx.overlap_key(F.col("t"))) for t in ("GPT4 is", "gpt 4 is", "Şəhər2-Bakı")}
+    assert got == {"GPT4 is": "gpt4 is", "gpt 4 is": "gpt 4 is", "Şəhər2-Bakı": "şəhər2 bakı"}

@@ -1,7 +1,8 @@
 """Answer scorers: pure functions of columns, 1 for right, 0 for wrong, null for not scored.
 
 Scorers take texts as they are and normalise them; expressions that repeat are shared by the
-optimiser within one projection. Wide plans project normalised texts once, see plans.evaluate.
+optimiser within one projection, or bound where functions of array elements use them. Texts are composed
+(text.nfc) before they are scored, see plans.evaluate.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinmark.functions.text import match_tokens, normalize_answer, strip
+from twinmark.functions.text import bound, match_tokens, normalize_answer, strip
 
 # Endings that an Azerbaijani answer may carry after the reference word.
 SUFFIXES = (
@@ -43,23 +44,33 @@ def inflected(reference: Column, word: Column) -> Column:
 
 
 def contains_sequence(prediction: Column, reference: Column) -> Column:
-    """Whether the reference's tokens stand in a row in the prediction, each bare or inflected. Both normalised."""
-    p, r = match_tokens(prediction), match_tokens(reference)
-    n = F.size(r)
-    starts = F.sequence(F.lit(0), F.size(p) - n)
-    there = F.exists(starts, lambda i: F.forall(F.sequence(F.lit(0), n - 1), lambda j: inflected(F.get(r, j), F.get(p, i + j))))
-    return F.when((n > 0) & (F.size(p) >= n), there).otherwise(False)
+    """Whether the reference's tokens stand in a row in the prediction, each bare or inflected. Both normalised.
+    Texts are cut into tokens once, so the work is in proportion to the tokens of both."""
+
+    def there(t: Column) -> Column:
+        p, r = t["p"], t["r"]
+        n = F.size(r)
+        starts = F.sequence(F.lit(0), F.size(p) - n)
+        hit = F.exists(starts, lambda i: F.forall(F.sequence(F.lit(0), n - 1), lambda j: inflected(F.get(r, j), F.get(p, i + j))))
+        return F.when((n > 0) & (F.size(p) >= n), hit).otherwise(False)
+
+    return bound(F.struct(match_tokens(prediction).alias("p"), match_tokens(reference).alias("r")), there)
 
 
 def contradicts(prediction: Column, reference: Column) -> Column:
-    """Whether the reference is given and then taken back. Both normalised."""
-    quoted = F.concat(F.lit(r"(?Us)\b\Q"), reference, F.lit(r"\E\b.*\b(?:but|however|actually)\b"))
-    return (reference != "") & F.rlike(prediction, quoted)
+    """Whether the reference is given and then taken back: a word of doubt after its first place. Both normalised."""
+    doubt = F.lit(_word("but", "however", "actually"))
+    at = F.regexp_instr(prediction, F.concat(F.lit(r"(?U)\b\Q"), reference, F.lit(r"\E\b")))
+    after = F.substring(prediction, at + F.length(reference), F.length(prediction))
+    return F.when((reference != "") & F.rlike(prediction, doubt), (at > 0) & F.rlike(after, doubt)).otherwise(False)
 
 
 def short_answer(prediction: Column, reference: Column) -> Column:
-    p, r = normalize_answer(prediction), normalize_answer(reference)
-    return F.when(p == r, 1).when(r == "", 0).when(contradicts(p, r), 0).when(contains_sequence(p, r), 1).otherwise(0)
+    def score(t: Column) -> Column:
+        p, r = t["p"], t["r"]
+        return F.when(p == r, 1).when(r == "", 0).when(contradicts(p, r), 0).when(contains_sequence(p, r), 1).otherwise(0)
+
+    return bound(F.struct(normalize_answer(prediction).alias("p"), normalize_answer(reference).alias("r")), score)
 
 
 def options(question: Column) -> Column:

@@ -1,7 +1,7 @@
 """Text normalisation and tokens as column expressions.
 
-Everything stays in generated code but nfc(), for which Spark has no function: it runs once, at
-ingest, as an Arrow batch function.
+Everything stays in the JVM but nfc(), for which Spark has no function: the evaluation runs it once, before
+anything is scored, as an Arrow batch function over texts that need it.
 """
 
 from __future__ import annotations
@@ -13,18 +13,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters that answers and overlap keys are made of, beside digits and a-z.
-LETTERS = "əğıöüşç"
+#: Fixed value: letters that answers and overlap keys are made of, beside digits and a-z.
+LETTERS = "əğıöşüç"
 
 
 def nfc(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns in Unicode's composed form. Plain ASCII is told by the JVM and left alone by the function."""
+    """The columns in Unicode's composed form. Text without a character from U+0300 on is composed already:
+    the JVM tells, and only other text reaches the function."""
 
     @F.pandas_udf("string")
     def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+        return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
-    return df.withColumns({c: compose(F.col(c)) for c in columns})
+    def composed(c: str):
+        open_ = F.col(c).rlike(r"[^\x{0}-\x{2FF}]")
+        return F.when(open_, compose(F.when(open_, F.col(c)))).otherwise(F.col(c))
+
+    return df.withColumns({c: composed(c) for c in columns})
 
 
 def squeeze(c: Column) -> Column:
@@ -49,11 +54,12 @@ def normalize_response(c: Column) -> Column:
 
 def match_tokens(normalized: Column) -> Column:
     """Digit runs and letter runs of a normalised text."""
-    return F.regexp_extract_all(normalized, F.lit(rf"(?iu)[0-9]+(?:/[0-9]+)?|[a-z{LETTERS}]+"), F.lit(0))
+    return F.regexp_extract_all(normalized, F.lit(rf"(?iu)\p{{Nd}}+(?:/\p{{Nd}}+)?|[a-z{LETTERS}]+"), F.lit(0))
 
 
 def overlap_tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(rf"[0-9]+|[a-z{LETTERS}]+"), F.lit(0))
+    """Runs of digits and letters, together."""
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"[0-9a-z{LETTERS}]+"), F.lit(0))
 
 
 def overlap_key(c: Column) -> Column:
@@ -75,6 +81,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def bound(c: Column, body) -> Column:
+    """body(c) with c worked out once, where body uses it inside functions of array elements."""
+    return F.get(F.transform(F.array(c), body), 0)
+
+
 def blind_id(salt: str, *parts: Column) -> Column:
     """First 16 hexadecimal digits of the salted key's SHA-256."""
     return F.substring(F.sha2(F.concat_ws("|", F.lit(salt), *parts), 256), 1, 16)

@@ -72,6 +72,27 @@ def chat(df: DataFrame, user: str, assistant: str) -> DataFrame:
     return df.withColumn("messages", F.array(say("user", user), say("assistant", assistant)))
 
 
+#: Fixed value: what a model is told before a question.
+SYSTEM = "Answer the user's question accurately and concisely. Do not add unnecessary explanation."
+
+
+def messages(question: Column, system: str | None = SYSTEM) -> Column:
+    """What a chat model is given: the system's word, if there is one, then the question; null for a blank question."""
+    if system is not None and not system.strip():
+        raise ValueError("the system's word is blank")
+    say = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    both = F.array(*([say("system", F.lit(system))] if system is not None else []), say("user", question))
+    return F.when(question.rlike(r"(?U)\S"), both)
+
+
+def generation_arguments(config: dict, pad_token_id: int | None = None, eos_token_id: int | None = None) -> dict:
+    """What generation is called with: the temperature only where it samples, token ids only where there are any."""
+    out = {"max_new_tokens": config["max_new_tokens"], "do_sample": config["do_sample"]}
+    if config["do_sample"]:
+        out["temperature"] = config["temperature"]
+    return out | {k: v for k, v in (("pad_token_id", pad_token_id), ("eos_token_id", eos_token_id)) if v is not None}
+
+
 def turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, question, answer: each user turn with the assistant turn right after it."""
     w = Window.partitionBy("conv_id").orderBy("turn")

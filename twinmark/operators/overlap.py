@@ -5,31 +5,54 @@ from __future__ import annotations
 import difflib
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinmark.functions.text import overlap_key, overlap_tokens
+from twinmark.operators.split import numbered
+from twinmark.operators.storage import cut
+
+
+def key_hash(text: Column) -> Column:
+    """128 bits for a text's tokens in order: whole texts are never shuffled."""
+    return F.md5(overlap_key(text))
 
 
 def exact(left: DataFrame, right: DataFrame) -> DataFrame:
     """All pairs left_id, right_id whose texts have the same tokens in the same order. Both: id, text."""
-    a = left.select(F.col("id").alias("left_id"), overlap_key(F.col("text")).alias("k"))
-    b = right.select(F.col("id").alias("right_id"), overlap_key(F.col("text")).alias("k"))
+    a = left.select(F.col("id").alias("left_id"), key_hash(F.col("text")).alias("k"))
+    b = right.select(F.col("id").alias("right_id"), key_hash(F.col("text")).alias("k"))
     return a.join(b, "k").select("left_id", "right_id")
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """Rows (id, text) of one table that share their tokens with another: id, class_id (the smallest id) and
+    class_size. Classes are summed on the map side; pairs are never spelled out."""
+    keyed = rows.select("id", key_hash(F.col("text")).alias("k"))
+    many = keyed.groupBy("k").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
+    return keyed.join(many, "k").select("id", "class_id", "class_size")
+
+
 def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """All pairs of unequal texts whose token sets have a Jaccard similarity of at least threshold > 0.
 
     Prefix filter: tokens are ordered from rare to common, and two sets that similar share a token in
     the first n - ceil(threshold * n) + 1 of each. So only rare tokens meet in the join, never a common
-    word's full lists; the pairs found are then compared exactly. Tokens that one side lacks come first
-    of all and are only counted.
+    word's full lists, and only sets of sizes that can be that similar; the pairs found are then compared
+    exactly. Tokens that one side lacks come first of all and are only counted. Texts are cut into tokens
+    once, and kept as sets of 64-bit hashes.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.array_distinct(overlap_tokens(F.col("text"))).alias(f"{n}_set"), overlap_key(F.col("text")).alias(f"{n}_key"))
+
+    def side(df: DataFrame, n: str) -> DataFrame:
+        hashes = F.transform(overlap_tokens(F.col("text")), lambda t: F.xxhash64(t))
+        cut_ = df.select(F.col("id").alias(f"{n}_id"), hashes.alias("tokens"))
+        return cut(cut_.select(f"{n}_id", F.array_distinct("tokens").alias(f"{n}_set"), F.xxhash64("tokens").alias(f"{n}_key")))
+
     a, b = side(left, "left"), side(right, "right")
     count = lambda df, n: df.select(F.explode(f"{n}_set").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias(f"n_{n}"))
     often = count(a, "left").join(count(b, "right"), "t").select("t", (F.col("n_left") + F.col("n_right")).alias("n"))
@@ -39,9 +62,11 @@ def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
         first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
         w = Window.partitionBy(f"{n}_id")
         rank = F.row_number().over(w.orderBy("n", "t")) + F.col("size") - F.count(F.lit(1)).over(w)
-        return rows.withColumn("rank", rank).where(F.col("rank") <= first).select(f"{n}_id", "t")
+        return rows.withColumn("rank", rank).where(F.col("rank") <= first).select(f"{n}_id", F.col("size").alias(f"{n}_size"), "t")
 
-    met = prefix(a, "left").join(prefix(b, "right"), "t").select("left_id", "right_id").distinct()
+    met = prefix(a, "left").join(prefix(b, "right"), "t")
+    low, high = F.least("left_size", "right_size"), F.greatest("left_size", "right_size")
+    met = met.where(low >= F.lit(threshold) * high - 1e-9).select("left_id", "right_id").distinct()
     both = met.join(a, "left_id").join(b, "right_id").where("left_key <> right_key")
     shared = F.size(F.array_intersect("left_set", "right_set"))
     score = shared / (F.size("left_set") + F.size("right_set") - shared)
@@ -69,33 +94,60 @@ def sequence_ratio(left: Column, right: Column) -> Column:
     return ratio(left, right)
 
 
-def _similar_characters(left: DataFrame, right: DataFrame, least: float, salts: int = 64) -> DataFrame:
+def _similar_characters(left: DataFrame, right: DataFrame, least: float, block: int = 20_000_000) -> DataFrame:
     """All pairs left_id, right_id, sequence of texts whose character similarity is at least `least` > 0.
 
-    Candidates come by bounds that hold for it: the shorter text has least / (2 - least) of the longer
-    one's length, and both share so many characters, place aside. The rest is compared in full."""
+    The right side is an evaluation set: it travels in blocks of at most `block` characters, each against all
+    left texts, so texts are never shuffled. Pairs go by bounds that hold for the similarity: the shorter text
+    has least / (2 - least) of the longer one's length, and both share so many characters, place aside,
+    counted in vectors. The rest is compared in full."""
     if not 0 < least <= 1:
         raise ValueError("the character similarity must be above 0 and at most 1")
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            m = difflib.SequenceMatcher(None, x, y, autojunk=False)
-            out.append(m.ratio() if m.quick_ratio() >= least else None)
-        return pd.Series(out, dtype="float64")
-
-    step = max(math.log((2 - least) / least), 1e-3)
-    side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.lower("text").alias(f"{n}_text")).where(F.length(f"{n}_text") > 0).withColumn("band", F.floor(F.log(F.length(f"{n}_text")) / step))
-    # left texts too short or too long for every right one needn't move
-    low, high = (float(x or 0) for x in right.agg(F.min(F.length(F.lower("text"))), F.max(F.length(F.lower("text")))).first())
-    a = side(left, "left").where(F.length("left_text").between(low * least / (2 - least) - 1, high * (2 - least) / least + 1)).withColumn("salt", F.pmod(F.xxhash64("left_id"), F.lit(salts)))
-    # bands next to each other hold all lengths in reach; salts spread a band over tasks
-    b = side(right, "right").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    n, m = F.length("left_text"), F.length("right_text")
-    both = a.join(b, ["band", "salt"]).where(2 * F.least(n, m) >= F.lit(least) * (n + m) - 1e-9)
-    return both.select("left_id", "right_id", ratio("left_text", "right_text").alias("sequence")).where(F.col("sequence") >= least)
+    spark = left.sparkSession
+    kind = left.schema["id"].dataType.simpleString()
+    rows = right.select("id", F.lower("text").alias("text")).where(F.length("text") > 0)
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block))
+    texts = left.select(F.col("id").alias("left_id"), F.lower("text").alias("text"))
+    out = None
+    for k in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()  # at most about a block of characters
+        held = spark.sparkContext.broadcast((part.column("id").to_pylist(), part.column("text").to_pylist()))
+        found = texts.mapInArrow(_near_characters(held, least), f"left_id {kind}, right_id {right.schema['id'].dataType.simpleString()}, sequence double")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _near_characters(held, least: float, kinds: int = 64):
+    def histogram(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), kinds), np.int64)
+        for i, t in enumerate(texts):
+            out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), "<u4") % kinds, minlength=kinds)
+        return out
+
+    def run(batches):
+        ids, texts = held.value
+        length = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(length, kind="stable")
+        length, counts = length[order], histogram([texts[i] for i in order])
+        for b in batches:
+            found = []
+            for own, text in zip(b.column("left_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if not text:
+                    continue
+                n = len(text)
+                low, high = np.searchsorted(length, [least / (2 - least) * n - 1e-9, (2 - least) / least * n + 1e-9], side="left")
+                if high <= low:
+                    continue
+                shared = np.minimum(counts[low:high], histogram([text])[0]).sum(1)
+                for j in np.flatnonzero(2 * shared >= least * (n + length[low:high]) - 1e-9).tolist():
+                    m = difflib.SequenceMatcher(None, text, texts[order[low + j]], autojunk=False)
+                    if m.quick_ratio() >= least and (ratio := m.ratio()) >= least:
+                        found.append((own, ids[order[low + j]], ratio))
+            if found:
+                yield pa.record_batch([pa.array(x) for x in zip(*found, strict=True)], ["left_id", "right_id", "sequence"])
+
+    return run
 
 
 def leaks(left: DataFrame, right: DataFrame, sequence: float = 0.72, jaccard: float = 0.60, screen: float = 0.25) -> DataFrame:
@@ -116,12 +168,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-def embedding_top_k(queries: DataFrame, rows: DataFrame, k: int, threshold: float | None = None, most_queries: int = 20_000, others: bool = False) -> DataFrame:
+def embedding_top_k(queries: DataFrame, rows: DataFrame, k: int, threshold: float | None = None, most_queries: int = 20_000, others: bool = False, most_bytes: int = 64_000_000) -> DataFrame:
     """For each query its k nearest rows by cosine (ties to smaller ids), then those at the threshold.
-    Both: id, vector. The queries are a stated set: they are sent to all executors, after a check of
-    their number; more are taken in blocks, each against all rows. others: a query's own id is no answer."""
-    n = queries.count()
-    blocks = max(1, math.ceil(n / most_queries))
+    Both: id, vector. The queries are a stated set: they are sent to all executors in blocks of at
+    most about `most_queries` and `most_bytes`, each against all rows; Spark keeps k rows a query and partition before it shuffles.
+    others: a query's own id is no answer."""
+    n, size = queries.agg(F.count(F.lit(1)), F.sum(F.size("vector") * 8 + 16)).first()
+    blocks = max(1, math.ceil(n / most_queries), math.ceil((size or 0) / most_bytes))
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
@@ -135,7 +188,11 @@ def embedding_top_k(queries: DataFrame, rows: DataFrame, k: int, threshold: floa
 
 
 def duplicates(df: DataFrame, key: Column, order: str, id_column: str) -> DataFrame:
-    """Rows whose key an earlier row has: the row's id, the key, and the earlier holder's id."""
-    w = Window.partitionBy("dup_key").orderBy(order)
-    rows = df.select(F.col(id_column), F.col(order), key.alias("dup_key")).where("dup_key is not null")
-    return rows.withColumn("earlier_id", F.lag(id_column).over(w)).where("earlier_id is not null").select(id_column, "dup_key", "earlier_id")
+    """Rows whose key an earlier row has: the row's id, a 128-bit hash of the key, and the earlier holder's id.
+
+    Rows are numbered in order of key and place by ranges, so one key may fill many tasks; a row's earlier
+    holder is then the row of the number before."""
+    rows = df.select(F.col(id_column), F.col(order).alias("_order"), F.md5(key).alias("dup_key")).where("dup_key is not null")
+    rows = cut(numbered(rows, ["dup_key", "_order"], "_row").select(id_column, "dup_key", "_row"))
+    before = rows.select(F.col(id_column).alias("earlier_id"), F.col("dup_key").alias("_key"), (F.col("_row") + 1).alias("_row"))
+    return rows.join(before, "_row").where("dup_key = _key").select(id_column, "dup_key", "earlier_id")

@@ -96,3 +96,15 @@ def set_status(df: DataFrame, key: str, value, status: str, new: str) -> DataFra
     if not df.where(hit).take(1):
         raise ValueError(f"no row with {key} = {value!r}")
     return df.withColumn(status, F.when(hit, new).otherwise(F.col(status)))
+
+
+def promote(reviewed: DataFrame, rules: DataFrame, languages: tuple[str, str] = (SOURCE, TARGET)) -> DataFrame:
+    """Pairs whose every row is approved, once nothing is against them: there are some, ids are unique, each
+    pair has one row a language and one task, every task has rules and its rows keep them."""
+    from twinmark.operators import validate as va
+
+    good = approved_pairs(reviewed)
+    if not good.take(1):
+        raise va.ConstraintError("no approved records")
+    va.check(va.every(va.unique(good, "item_id"), va.unique(good, "pair_id", "language"), va.complete_pairs(good, list(languages)), va.one_per_pair(good, "task"), va.known(good, "item_id", "task", rules.select("task")), va.metadata_rules(good, rules)))
+    return good

@@ -4,17 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a fresh one on a
+    local master, where driver and executors are one machine; an error elsewhere."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="twinmark-")
+    return _own[app]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, made once and kept in the folder that all executors share (spark.checkpoint.dir; a fresh
-    folder where that is unset, as in tests)."""
+    """df, made once and kept in the folder that all executors share."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="twinmark-"))
-        sc.setCheckpointDir(at)
+        sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)

@@ -41,11 +41,13 @@ def capability(score: str = "correct") -> list[Column]:
     return [n.alias("total"), F.sum(s).cast("long").alias("correct_count"), (n - F.sum(s)).cast("long").alias("incorrect_count"), F.try_divide(F.sum(s), n).alias("accuracy")]
 
 
-def gap(df: DataFrame, metrics: dict[str, Column], source: str = "en", target: str = "az") -> DataFrame:
-    """metric, source, target and their difference; null where a language has no rows.
+def gap(df: DataFrame, metrics: dict[str, Column], source: str = "en", target: str = "az", required: bool = False) -> DataFrame:
+    """metric, source, target and their difference; where a language has no rows null, or an error if required.
 
     metrics: aggregates over one language's rows."""
     sides = df.where(F.col("language").isin(source, target)).groupBy("language").agg(*(m.alias(n) for n, m in metrics.items()))
+    if required and (lacking := {source, target} - {r.language for r in sides.select("language").collect()}):  # two rows at most
+        raise ValueError(f"no rows of language {', '.join(sorted(lacking))}")
     long = sides.select("language", F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in metrics))).alias("m")).select("language", "m.*")
     side = lambda lang: F.max(F.when(F.col("language") == lang, F.col("value")))
     return long.groupBy("metric").agg(side(source).alias("source"), side(target).alias("target"), (side(source) - side(target)).alias("gap"))

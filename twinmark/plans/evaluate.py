@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from twinmark.functions import reliability as rel
 from twinmark.functions import scorers
+from twinmark.functions.text import nfc
 from twinmark.operators import pairs as pr
 from twinmark.operators import summaries as sm
 from twinmark.operators.storage import cut
@@ -21,11 +22,12 @@ from twinmark.operators.validate import ConstraintError, check, where
 
 
 def flat(predictions: DataFrame) -> DataFrame:
-    """Metadata fields that metrics use as columns; a key that is there with null shows as None."""
+    """Texts composed, and metadata fields that metrics use as columns; a key that is there with null shows as None."""
     def shown(name: str):
         raw = F.map_contains_key("metadata_raw", F.lit(name)) if "metadata_raw" in predictions.columns else F.lit(False)
         return F.coalesce(F.col(f"metadata.{name}"), F.when(raw, "None"))
 
+    predictions = nfc(predictions, "prediction", "reference_answer", "question")
     return predictions.withColumns({"category": shown("category"), "difficulty": shown("difficulty"), "is_answerable": F.col("metadata.is_answerable")})
 
 

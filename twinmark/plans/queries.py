@@ -57,10 +57,15 @@ _GAP = """select metric, source, target, source - target as gap from (
     select '{0}' as metric, {1} filter (where language = 'en') as source, {1} filter (where language = 'az') as target from {2})"""
 
 
-@query(f"with {PRED}, s as (select *, cast({norm_sql('prediction')} = {norm_sql('reference_answer')} as integer) as hit from pred) " + _GAP.format("accuracy", "avg(hit)", "s"))
+COMPOSED = [("c1", "en", "go\u0308l", "göl", 1), ("c2", "az", "GU\u0308L.", "gül", 1), ("c3", "en", "s\u0327əhər", "şəhər", 1), ("c4", "az", "gol", "göl", 0), ("c5", "az", "\u212b", "å", 1)]
+
+
+@query(f"with {PRED}, s as (select language, cast({norm_sql('prediction')} = {norm_sql('reference_answer')} as integer) as hit from pred union all select language, hit from {_values([(r[1], r[4]) for r in COMPOSED])} as v(language, hit)) " + _GAP.format("accuracy", "avg(hit)", "s"))
 def exact_match_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = predictions(spark, sf_dir).withColumn("hit", sc.exact(F.col("prediction"), F.col("reference_answer")))
-    return sm.gap(df, {"accuracy": F.avg("hit")})
+    names = ["language", "prediction", "reference_answer"]
+    own = _literal(spark, [r[1:4] for r in COMPOSED], ", ".join(f"{c} string" for c in names))
+    df = tx.nfc(predictions(spark, sf_dir).select(*names).unionByName(own), "prediction", "reference_answer")
+    return sm.gap(df.withColumn("hit", sc.exact(F.col("prediction"), F.col("reference_answer"))), {"accuracy": F.avg("hit")})
 
 
 SHORT = [
@@ -78,9 +83,13 @@ SHORT = [
     ("regex signs", "a+b (c)", "a+b (c)", 1),
     ("however", "Rome however Milan", "rome", 0),
     ("spaces", "  Yes!  It is\t", "yes it is", 1),
+    ("decomposed", "Go\u0308ldə", "göl", 1),
+    ("doubt before", "But it is Rome", "Rome", 1),
+    ("doubt between", "Rome, no, actually Rome", "Rome", 0),
+    ("other digits", "it is ٤٢ now", "٤٢", 1),
 ]
 _SUFFIXES = ", ".join(f"'{s}'" for s in sc.SUFFIXES)
-_TOKENS = "regexp_extract_all({}, '[0-9]+(?:/[0-9]+)?|[a-zəğıöüşç]+')"
+_TOKENS = "regexp_extract_all({}, '\\p{{Nd}}+(?:/\\p{{Nd}}+)?|[a-zəğıöşüç]+')"
 
 
 @query(
@@ -96,7 +105,7 @@ _TOKENS = "regexp_extract_all({}, '[0-9]+(?:/[0-9]+)?|[a-zəğıöüşç]+')"
 def short_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = predictions(spark, sf_dir).select("item_id", "prediction", "reference_answer")
     own = _literal(spark, [r[:3] for r in SHORT], "item_id string, prediction string, reference_answer string")
-    return rows.unionByName(own).select("item_id", sc.short_answer(F.col("prediction"), F.col("reference_answer")).alias("score"))
+    return tx.nfc(rows.unionByName(own), "prediction", "reference_answer").select("item_id", sc.short_answer(F.col("prediction"), F.col("reference_answer")).alias("score"))
 
 
 OPTION = [
@@ -330,7 +339,7 @@ def pair_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- overlap ---------------------------------------------------------------------------------------------
 
-_OV = "regexp_extract_all(lower(text), '[0-9]+|[a-zəğıöüşç]+')"
+_OV = "regexp_extract_all(lower(text), '[0-9a-zəğıöşüç]+')"
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -338,10 +347,28 @@ def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
 
 
-@query(f"with k as (select doc_id, array_to_string({_OV}, ' ') as k from documents) select a.doc_id as left_id, b.doc_id as right_id from k a join k b on a.k = b.k and a.doc_id < b.doc_id")
+MIXED = [(-1, "gpt4 is here"), (-2, "gpt 4 is here"), (-3, "GPT4 -- is here!"), (-4, "...")]
+_MIXED = f"(select id as doc_id, text from {_values(MIXED)} as v(id, text) union all select doc_id, text from documents)"
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir)[0].unionByName(_literal(spark, MIXED, "id long, text string"))
+
+
+@query(f"""with a as (select doc_id, array_to_string({_OV}, ' ') as k from {_MIXED}),
+    b as (select cast(item_id as varchar) as item_id, array_to_string({_OV}, ' ') as k from (select cast(item_id as varchar) as item_id, text from benchmark union all values ('mixed', 'Gpt4 is here.'), ('none', '')))
+    select doc_id as left_id, item_id as right_id from a join b using (k)""")
 def exact_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _ = _texts(spark, sf_dir)
-    return overlap.exact(docs, docs).where("left_id < right_id")
+    """Documents against the benchmark, with rows of our own that differ in their runs of digits and letters."""
+    own = _literal(spark, [("mixed", "Gpt4 is here."), ("none", "")], "id string, text string")
+    bench = _texts(spark, sf_dir)[1].select(F.col("id").cast("string").alias("id"), "text").unionByName(own)
+    return overlap.exact(_mixed(spark, sf_dir), bench)
+
+
+@query(f"""with k as (select doc_id, md5(array_to_string({_OV}, ' ')) as k from {_MIXED}), c as (select k, min(doc_id) as class_id, count(*) as class_size from k group by k having count(*) > 1)
+    select doc_id as id, class_id, class_size from k join c using (k)""")
+def overlap_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.classes(_mixed(spark, sf_dir))
 
 
 @query(
@@ -369,7 +396,7 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with k as (select doc_id, array_to_string({_OV}, ' ') as k from documents), w as (select *, lag(doc_id) over (partition by k order by doc_id) as earlier_id from k)
-    select doc_id, k as dup_key, earlier_id from w where earlier_id is not null"""
+    select doc_id, md5(k) as dup_key, earlier_id from w where earlier_id is not null"""
 )
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -701,7 +728,7 @@ def human_against_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {PRED} select (select count(*) from documents) as left_records, (select count(*) from benchmark) as right_records,
-    (select count(*) from documents d join benchmark b on array_to_string(regexp_extract_all(lower(d.text), '[0-9]+|[a-zəğıöüşç]+'), ' ') = array_to_string(regexp_extract_all(lower(b.text), '[0-9]+|[a-zəğıöüşç]+'), ' ')) as exact_overlaps,
+    (select count(*) from documents d join benchmark b on array_to_string(regexp_extract_all(lower(d.text), '[0-9a-zəğıöşüç]+'), ' ') = array_to_string(regexp_extract_all(lower(b.text), '[0-9a-zəğıöşüç]+'), ' ')) as exact_overlaps,
     (select count(*) from (select list_distinct({_OV}) as s, array_to_string({_OV}, ' ') as k from documents) a, (select list_distinct({_OV}) as s, array_to_string({_OV}, ' ') as k from benchmark) b
         where a.k <> b.k and len(list_intersect(a.s, b.s)) / nullif(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)), 0) >= 0.25) as similar_overlaps, cast(0.25 as double) as threshold""")
 def overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:

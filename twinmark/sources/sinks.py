@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
-from pathlib import Path
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinmark.operators.split import batches
@@ -44,26 +43,33 @@ def nested(summary: DataFrame) -> dict:
     return {d: out[d]["all"] if d == "overall" else dict(sorted(out[d].items())) for d in sorted(out)}
 
 
-def document(value: dict, path: str, overwrite: bool = False) -> None:
-    """A small JSON document, written beside its place and renamed into it."""
-    at = Path(path)
-    if at.exists() and not overwrite:
+def _put(text: str, path: str, overwrite: bool) -> None:
+    """A small text file in whatever store, written beside its place and renamed into it."""
+    spark = SparkSession.getActiveSession()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at) and not overwrite:
         raise FileExistsError(path)
-    at.parent.mkdir(parents=True, exist_ok=True)
-    temp = at.with_name(f".{at.name}.{os.getpid()}.tmp")
-    temp.write_text(json.dumps(value, ensure_ascii=False, indent=2, default=str) + "\n", encoding="utf-8")
-    temp.replace(at)
+    temp = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(temp)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(temp, at):
+        raise OSError(f"{path} could not be written")
+
+
+def document(value: dict, path: str, overwrite: bool = False) -> None:
+    """A small JSON document."""
+    _put(json.dumps(value, ensure_ascii=False, indent=2, default=str) + "\n", path, overwrite)
 
 
 def snapshot(config: dict, path: str, overwrite: bool = False) -> None:
     """A run's configuration as YAML."""
     import yaml
 
-    at = Path(path)
-    if at.exists() and not overwrite:
-        raise FileExistsError(path)
-    at.parent.mkdir(parents=True, exist_ok=True)
-    at.write_text(yaml.safe_dump(config, allow_unicode=True, sort_keys=False), encoding="utf-8")
+    _put(yaml.safe_dump(config, allow_unicode=True, sort_keys=False), path, overwrite)
 
 
 def bundle(tables: dict[str, DataFrame], summaries: dict[str, DataFrame], folder: str, overwrite: bool = False) -> list[str]:
