@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinmark.operators.split import numbered
+
 
 def plan(slots: DataFrame, difficulties: DataFrame) -> DataFrame:
     """Slots (task, category, ord, is_answerable) joined with as many shuffled difficulties (ord, difficulty)
     by place, with running ids for each task: {task}_{0001}."""
-    w = Window.partitionBy("task").orderBy("ord")
-    rows = slots.withColumn("pair_id", F.format_string("%s_%04d", "task", F.row_number().over(w)))
+    rows = numbered(slots, ["ord"], "_at", ["task"]).withColumn("pair_id", F.format_string("%s_%04d", "task", "_at"))
     return rows.join(difficulties, "ord").select("pair_id", "task", "category", "difficulty", "is_answerable", "ord")
 
 

@@ -20,13 +20,12 @@ def split_sizes(n: int, train: float, dev: float, test: float) -> tuple[int, int
     return a, b, n - a - b
 
 
-def numbered(df: DataFrame, order: list[str], name: str, by: list[str] = (), start: int = 1) -> DataFrame:
-    """df with a running number. Within groups by a window; over the whole table without one: ranges of
-    the order are numbered by themselves and moved up by the counts before them."""
-    if by:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) + (start - 1))
+def numbered(df: DataFrame, order: list[str], name: str, by: list[str] = (), start: int = 1, total: str | None = None) -> DataFrame:
+    """df with a running number, and with `total` the size of the group. No task takes a whole table or group:
+    ranges of the order are numbered by themselves and moved up by the counts before them; a group's
+    numbers start where its least one is. Null keys are a group."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    placed = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order).withColumn("_part", F.spark_partition_id())
     placed = placed.withColumn("_n", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
     from twinmark.operators.storage import cut
 
@@ -34,7 +33,18 @@ def numbered(df: DataFrame, order: list[str], name: str, by: list[str] = (), sta
     counts = placed.groupBy("_part").count()
     base = counts.withColumn("_base", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))  # one row a partition
     base = base.select("_part", F.coalesce("_base", F.lit(0)).alias("_base"))
-    return placed.join(F.broadcast(base), "_part").withColumn(name, F.col("_n") + F.col("_base") + start).drop("_part", "_n", "_base")
+    placed = placed.join(F.broadcast(base), "_part").withColumn("_n", F.col("_n") + F.col("_base")).drop("_part", "_base")
+    if not by and total is None:
+        return placed.withColumn(name, F.col("_n") + start).drop("_n")
+    groups = placed.groupBy(*(F.col(k).alias(f"_by_{k}") for k in by)).agg(F.min("_n").alias("_least"), F.count(F.lit(1)).alias("_size"))
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    placed = placed.join(groups, same) if by else placed.join(F.broadcast(groups))  # one row where there is no key
+    placed = placed.withColumn(name, F.col("_n") - F.col("_least") + start)
+    if total:
+        placed = placed.withColumn(total, F.col("_size"))
+    return placed.drop("_n", "_least", "_size", *(f"_by_{k}" for k in by))
 
 
 def pair_split(df: DataFrame, train: float, dev: float, test: float, seed: int, pair: str = "pair_id") -> DataFrame:
@@ -48,10 +58,9 @@ def pair_split(df: DataFrame, train: float, dev: float, test: float, seed: int,
 
 def stratified_split(df: DataFrame, key: str, stratum: str, valid: float, seed: int) -> DataFrame:
     """df with split: of each stratum max(1, round(n * valid)) rows are valid, halves rounded to even."""
-    w = Window.partitionBy(stratum)
-    at = F.row_number().over(w.orderBy(shuffle_key(seed, F.col(key)), key))
-    n = F.greatest(F.lit(1), F.bround(F.count(F.lit(1)).over(w) * F.lit(valid)).cast("int"))
-    return df.withColumn("split", F.when(at <= n, "valid").otherwise("train"))
+    at = numbered(df.withColumn("_key", shuffle_key(seed, F.col(key))), ["_key", key], "_at", [stratum], total="_of")
+    n = F.greatest(F.lit(1), F.bround(F.col("_of") * F.lit(valid)).cast("int"))
+    return at.withColumn("split", F.when(F.col("_at") <= n, "valid").otherwise("train")).drop("_key", "_at", "_of")
 
 
 def allocate(total: int, shares: dict[str, float]) -> dict[str, int]:
@@ -81,8 +90,8 @@ def expand(df: DataFrame, count: str = "count") -> DataFrame:
 
 def rotate(df: DataFrame, by: str, order: str, k: int) -> DataFrame:
     """df with its place in the group (from 0), subcategory (place mod k) and variant (place div k)."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return df.withColumn("place", place).withColumn("subcategory", F.pmod("place", F.lit(k))).withColumn("variant", F.floor(F.col("place") / k).cast("int"))
+    df = numbered(df, [order], "place", [by], start=0).withColumn("place", F.col("place").cast("int"))
+    return df.withColumn("subcategory", F.pmod("place", F.lit(k))).withColumn("variant", F.floor(F.col("place") / k).cast("int"))
 
 
 def batches(df: DataFrame, order: list[str], size: int, by: list[str] = ()) -> DataFrame:
