@@ -1,6 +1,7 @@
 """Operators on single documents, with every odd kind of row, against plain versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -347,3 +348,54 @@ def test_many_secrets_in_one_text(spark):
     got = secrets.scan(df).first()
     assert ([got.n_assign, got.n_access, got.n_hex], got.base_sha256) == brute.secrets(text)
     assert got.n_markov == 0
+
+
+def plainly_masked(text, spans):
+    """What pii.masked gives, from the listed spans alone."""
+    out, at = "", 0
+    for kind, start, end in spans:
+        if start >= at:
+            value = text[start:end]
+            general = "[CODE]" if re.search(r"\d", value) else "[NAME]" if value[0].isupper() else ""
+            out += text[at:start] + (general if kind == "term" else f"[{kind.upper()}]")
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_masked_text_equals_the_plain_version(spark):
+    texts = [None, "", "nothing here", "😀 Anna née Zorba: a.b@c.d, +1 (555) 123-4567-89 and 10.0.0.1@x.yz.", "card +4111 1111 1111 1111 or 4111-1111-1111-1111 10.1.2.3 ünïque wörds R2d2 C3po"]
+    texts += [" ".join(f"Name{i} n{i}@list.org 10.0.{i % 256}.{i % 200}" for i in range(900)), "filler text of no one", texts[3]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in pii.scan(df).collect():
+        text = texts[r.doc_id] or ""
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        want = hashlib.sha256(plainly_masked(text, spans).encode()).hexdigest() if spans else None
+        assert r.sanitised_sha256 == want, text[:60]
+
+
+def test_markov_spans_equal_the_plain_ratio(spark, docs):
+    table = secrets.train(docs)
+    llr, side = [float(x) for x in table.split(",")], len(secrets.ALPHABET) + 1
+    rng = random.Random(5)
+    made = ["".join(rng.choices(secrets.ALPHABET, k=rng.choice([19, 20, 24, 44]))) for _ in range(40)]
+    made += ["some_long_identifier_name", "=" * 30, "password = Xk29sLq8Zp0aRt5w", "AKIA" + "ABCD1234" * 2, "0123456789abcdef" * 2, "é" + "aB3x" * 6]
+    texts = [f"see {t}, and" for t in made] + [" ".join(made), "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in secrets.scan(df, table).collect():
+        text, got = texts[r.doc_id] or "", [s.split(":") for s in r.spans.split(",") if s]
+        chars = list(text)
+        for kind, a, b in got:
+            if kind != "markov":
+                chars[int(a) : int(b)] = " " * (int(b) - int(a))
+        want = []
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", "".join(chars)):
+            at = [secrets.ALPHABET.index(c) + 1 for c in m.group()]
+            score = sum(llr[a * side + b] for a, b in itertools.pairwise(at))
+            if len(set(m.group())) >= secrets.DISTINCT and score >= secrets.THRESHOLD:
+                want.append(["markov", str(m.start()), str(m.end())])
+        assert [s for s in got if s[0] == "markov"] == want
+    counted = {}
+    for t in ["abab", "abab", "xa", "q", ""]:
+        for p in itertools.pairwise(t):
+            counted["".join(p)] = counted.get("".join(p), 0) + 1
+    assert secrets._bigrams(spark.createDataFrame([("abab",), ("abab",), ("xa",), ("q",), ("",), (None,)], "t string")) == counted

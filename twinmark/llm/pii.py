@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinmark.llm.common import cut, free_name
-from twinmark.llm.spans import Kind, listed, locate, replaced, tagged
+from twinmark.llm.spans import BLOCK, Kind, listed, locate, replaced, tagged
 
 # The base patterns. Lookbehinds and possessive quantifiers only save time: a match can
 # start where a run starts, or where the last match ended.
@@ -136,7 +136,7 @@ def disclosing(docs: DataFrame, base: DataFrame, support: int = SUPPORT, disclos
 
 
 def spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """doc_id, h and the sorted arrays base and every of struct(start, order, end, kind)."""
+    """doc_id, h, the text where it has spans, and the sorted arrays base and every of struct(start, order, end, kind)."""
     base = cut(base_spans(docs))
     found = disclosing(docs, base, support, disclosure).groupBy("th").agg(F.collect_set("term").alias("marked"))
     # the words' places, once for each text
@@ -147,38 +147,56 @@ def spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSUR
     chosen = places.select("th", F.explode_outer("w").alias("w"), "marked").where(F.array_contains("marked", F.col("w.term")))
     terms = chosen.groupBy("th").agg(F.collect_list("w.span").alias("terms"))
     sorted_base = F.array_sort(F.concat(*(tagged(f"s_{k.name}", i, k.name) for i, k in enumerate(KINDS))))
-    df = base.select("doc_id", "h", "th", sorted_base.alias("base")).join(terms, "th", "left")
+    df = base.select("doc_id", "h", "th", "text", sorted_base.alias("base")).join(terms, "th", "left")
     none = F.filter("base", lambda s: F.lit(False))
-    return df.select("doc_id", "h", "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("every"))
+    return df.select("doc_id", "h", "text", "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("every"))
+
+
+def _masked(text: Column, every: Column) -> Column:
+    """The text with its sorted spans masked or generalised; of spans that overlap, the first is shown. What is
+    taken stands before the place reached, the largest end so far: in blocks of 256 spans, so n spans
+    cost n * n / 256 comparisons, and each character is copied once."""
+    ends = F.transform(every, lambda s: s["end"])
+    last = F.floor((F.size(every) - 1) / BLOCK).cast("int")
+    tops = F.transform(F.sequence(F.lit(0), last), lambda b: F.array_max(F.slice(ends, b * BLOCK + 1, BLOCK)))
+
+    def reached(i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        return F.coalesce(F.greatest(F.array_max(F.slice(tops, F.lit(1), block)), F.array_max(F.slice(ends, block * BLOCK + 1, i % BLOCK))), F.lit(0))
+
+    part = lambda start, end: F.array_join(F.slice("chars", start + 1, end - start), "")
+
+    def shown(s: Column) -> Column:
+        value = part(s["start"], s["end"])
+        general = F.when(value.rlike(r"\p{N}"), "[CODE]").when(value.rlike(r"^\p{Lu}"), "[NAME]").otherwise("")
+        return F.when(s["kind"] == "term", general).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+
+    placed = F.transform(every, lambda s, i: F.struct(reached(i).alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    pieces = F.transform(F.filter(placed, lambda s: s["start"] >= s["at"]), lambda s: F.concat(part(s["at"], s["start"]), shown(s)))
+    return F.concat(F.array_join(pieces, ""), part(F.array_max(ends), F.size("chars")))
+
+
+def masked(df: DataFrame, text: str, every: str, name: str) -> DataFrame:
+    """df with column name: the text with what the spans of column every hold masked or generalised; null where there are none."""
+    some = F.coalesce(F.size(every), F.lit(0)) > 0
+    df = df.withColumn("chars", F.when(some, F.split(F.col(text), "")))
+    return df.withColumn(name, F.when(some, _masked(F.col(text), F.col(every)))).drop("chars")
 
 
 def scan(docs: DataFrame, support: int = 1, disclosure: float = DISCLOSURE) -> DataFrame:
-    """doc_id, counts of each kind, base_sha256 and spans."""
+    """doc_id, counts of each kind, base_sha256, spans, and the sha256 of the text that is left once base kinds are masked
+    and terms generalised or removed: null where the text stays as it is."""
     count = lambda kind: F.size(F.filter("every", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return spans(docs, support, disclosure).select("doc_id", *(count(k.name) for k in KINDS), count("term"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"))
+    df = masked(spans(docs, support, disclosure), "text", "every", "clean")
+    return df.select("doc_id", *(count(k.name) for k in KINDS), count("term"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"), F.sha2(F.encode("clean", "UTF-8"), 256).alias("sanitised_sha256"))
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """The documents with entities masked by kind and disclosing terms generalised: words with a
     capital to [NAME], words with a digit to [CODE], others removed. Other columns stay."""
-    found = spans(docs, support, disclosure)
-    marks = found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k_id"), F.col("h").alias("k_h"), "every").where(F.size("every") > 0).dropDuplicates(["k_id", "k_h"])
+    found = masked(spans(docs, support, disclosure), "text", "every", "clean")
+    marks = found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k_id"), F.col("h").alias("k_h"), "clean").where("clean is not null").dropDuplicates(["k_id", "k_h"])
     row = free_name(docs, "whole_row")
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"), F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))).alias("k_h"))
     df = df.join(marks, ["k_id", "k_h"], "left")
-    text = F.col(f"{row}.text")
-
-    def shown(s: Column) -> Column:
-        value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        general = F.when(value.rlike(r"\p{N}"), "[CODE]").when(value.rlike(r"^\p{Lu}"), "[NAME]").otherwise("")
-        return F.when(s["kind"] == "term", general).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], between, shown(s))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("every", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.col("every").isNull() | text.isNull(), text).otherwise(done)
-    return df.select(*(new.alias("text") if c == "text" else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns))
+    return df.select(*(F.coalesce("clean", F.col(f"{row}.text")).alias("text") if c == "text" else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns))
