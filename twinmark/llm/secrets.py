@@ -8,7 +8,7 @@ symbols, so they are bounded at any size and travel as a constant.
 
 Training samples carry labels: random are what the base patterns catch in the sampled documents and
 strings drawn by a hash from the usual alphabets; ordinary are the sampled documents' other words
-and identifiers. The sample of documents is bounded by train_rows, by hash of the id.
+and identifiers. The sample of documents is bounded by train_rows, by hash of id and text.
 
 Null texts are empty. Rows with equal ids are scanned one by one. An empty table trains on the drawn
 strings alone and gives no rows. Columns of any other names pass through redact() unchanged.
@@ -46,7 +46,8 @@ MASK = "[SECRET]"
 def _bigrams(tokens: DataFrame) -> dict[str, int]:
     """Counts of the pairs of characters in column t: at most the alphabet squared."""
     pair = F.explode(F.transform(F.sequence(F.lit(2), F.size("c")), lambda i: F.concat(F.element_at("c", i - 1), F.element_at("c", i))))
-    rows = tokens.select(F.split("t", "").alias("c")).where(F.size("c") > 1).select(pair.alias("pair")).groupBy("pair").count().collect()
+    words = tokens.where(F.length("t") > 1).groupBy("t").agg(F.count(F.lit(1)).alias("n"))  # words repeat: their pairs are counted once and weighted
+    rows = words.select(F.split("t", "").alias("c"), "n").select(pair.alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("count")).collect()
     return {r.pair: r["count"] for r in rows}
 
 
@@ -54,7 +55,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, drawn: int = DRAWN) ->
     """The table of log-likelihood ratios, as text: row and column 0 stand for any other character."""
     spark = docs.sparkSession
     total = max(docs.count(), 1)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(total)) < train_rows).select(F.coalesce("text", F.lit("")).alias("t"))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(total)) < train_rows).select(F.coalesce("text", F.lit("")).alias("t"))
     caught = F.concat(*(F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (ACCESS, HEX)), F.transform(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(0)), lambda m: F.regexp_extract(m, VALUE, 1)))
     sha = F.sha2(F.col("id").cast("string"), 256)
     raw = F.base64(F.unhex(sha))
