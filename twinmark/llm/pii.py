@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinmark.llm.common import cut, free_name
-from twinmark.llm.spans import BLOCK, Kind, listed, locate, replaced, tagged
+from twinmark.llm.spans import Kind, block_of, listed, locate, replaced, tagged
 
 # The base patterns. Lookbehinds and possessive quantifiers only save time: a match can
 # start where a run starts, or where the last match ended.
@@ -141,11 +141,8 @@ def spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSUR
     found = disclosing(docs, base, support, disclosure).groupBy("th").agg(F.collect_set("term").alias("marked"))
     # the words' places, once for each text
     texts = base.where("text is not null").select("th", "text").groupBy("th").agg(F.any_value("text").alias("text")).join(found, "th")
-    texts = locate(_blanked(texts), "text", [Kind("w", WORD)])
-    term = lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("order"), s["end"].alias("end"), F.lit("term").alias("kind"))
-    places = texts.select("th", "marked", F.transform("s_w", lambda s: F.struct(F.xxhash64(F.lower(s["value"])).alias("term"), term(s).alias("span"))).alias("w"))
-    chosen = places.select("th", F.explode_outer("w").alias("w"), "marked").where(F.array_contains("marked", F.col("w.term")))
-    terms = chosen.groupBy("th").agg(F.collect_list("w.span").alias("terms"))
+    texts = locate(_blanked(texts), "text", [Kind("w", WORD)], only=lambda w: F.array_contains("marked", F.xxhash64(F.lower(w))))
+    terms = texts.select("th", tagged("s_w", len(KINDS), "term").alias("terms"))
     sorted_base = F.array_sort(F.concat(*(tagged(f"s_{k.name}", i, k.name) for i, k in enumerate(KINDS))))
     df = base.select("doc_id", "h", "th", "text", sorted_base.alias("base")).join(terms, "th", "left")
     none = F.filter("base", lambda s: F.lit(False))
@@ -154,15 +151,16 @@ def spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSUR
 
 def _masked(text: Column, every: Column) -> Column:
     """The text with its sorted spans masked or generalised; of spans that overlap, the first is shown. What is
-    taken stands before the place reached, the largest end so far: in blocks of 256 spans, so n spans
-    cost n * n / 256 comparisons, and each character is copied once."""
+    taken stands before the place reached, the largest end so far: in blocks of about sqrt(n) of
+    the n spans, so it costs n * sqrt(n) comparisons, and each character is copied once."""
     ends = F.transform(every, lambda s: s["end"])
-    last = F.floor((F.size(every) - 1) / BLOCK).cast("int")
-    tops = F.transform(F.sequence(F.lit(0), last), lambda b: F.array_max(F.slice(ends, b * BLOCK + 1, BLOCK)))
+    n = block_of(every)
+    last = F.floor((F.size(every) - 1) / n).cast("int")
+    tops = F.transform(F.sequence(F.lit(0), last), lambda b: F.array_max(F.slice(ends, b * n + 1, n)))
 
     def reached(i: Column) -> Column:
-        block = F.floor(i / BLOCK).cast("int")
-        return F.coalesce(F.greatest(F.array_max(F.slice(tops, F.lit(1), block)), F.array_max(F.slice(ends, block * BLOCK + 1, i % BLOCK))), F.lit(0))
+        block = F.floor(i / n).cast("int")
+        return F.coalesce(F.greatest(F.array_max(F.slice(tops, F.lit(1), block)), F.array_max(F.slice(ends, block * n + 1, i % n))), F.lit(0))
 
     part = lambda start, end: F.array_join(F.slice("chars", start + 1, end - start), "")
 

@@ -2,7 +2,7 @@
 
 Spark has no function for positions of matches. The matches and the pieces between them (the same
 pattern, used to split) have lengths, and a match starts where the lengths before it end. The sums
-are taken in blocks, so that a text with very many matches costs n * sqrt(n), not n * n.
+are taken in blocks of about sqrt(n) matches, so that n matches cost n * sqrt(n), not n * n.
 
 Patterns must not match the empty string. Positions count code points, ends are exclusive.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 256
+LEAST_BLOCK = 16
 
 
 @dataclass(frozen=True)
@@ -30,9 +30,14 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
 
-def locate(df: DataFrame, text: str, kinds: list[Kind], context: int = 0) -> DataFrame:
-    """df with, for each kind, a column s_<name>: array of struct(start, end, value), and if a context
-    is asked for, up to so many characters before and after: struct(..., before, after)."""
+def block_of(a: Column) -> Column:
+    """How many elements of the array a block has: about the square root of their number."""
+    return F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sqrt(F.size(a))).cast("int"))
+
+
+def locate(df: DataFrame, text: str, kinds: list[Kind], only=None) -> DataFrame:
+    """df with, for each kind, a column s_<name>: array of struct(start, end, value). only(value) says whose
+    places are asked for; the others are left out."""
     body = F.col(text)
     none = F.array().cast("array<string>")
     guard = lambda k, c: F.when(F.expr(k.needs.format(text=f"`{text}`")), c).otherwise(none) if k.needs else c
@@ -42,26 +47,27 @@ def locate(df: DataFrame, text: str, kinds: list[Kind], context: int = 0) -> Dat
     df = df.select("*", *(F.when(F.size(f"m_{k.name}") > 0, F.split(body, k.pattern, -1)).otherwise(none).alias(f"p_{k.name}") for k in kinds))
     df = df.select("*", *(F.zip_with(F.slice(f"p_{k.name}", 1, F.size(f"m_{k.name}")), f"m_{k.name}", lambda a, b: F.length(a) + F.length(b)).alias(f"u_{k.name}") for k in kinds))
 
+    df = df.select("*", *(block_of(F.col(f"u_{k.name}")).alias(f"n_{k.name}") for k in kinds))
+
     def blocks(k: Kind) -> Column:
-        u = F.col(f"u_{k.name}")
-        n = F.floor((F.size(u) - 1) / BLOCK).cast("int")
-        return F.when(F.size(u) > BLOCK, F.transform(F.sequence(F.lit(0), n), lambda b: _sum(F.slice(u, b * BLOCK + 1, BLOCK)))).otherwise(F.array().cast("array<int>"))
+        u, n = F.col(f"u_{k.name}"), F.col(f"n_{k.name}")
+        last = F.floor((F.size(u) - 1) / n).cast("int")
+        return F.when(F.size(u) > n, F.transform(F.sequence(F.lit(0), last), lambda b: _sum(F.slice(u, b * n + 1, n)))).otherwise(F.array().cast("array<int>"))
 
     df = df.select("*", *(blocks(k).alias(f"b_{k.name}") for k in kinds))
 
     def spans(k: Kind) -> Column:
-        m, p, u, b = (F.col(f"{x}_{k.name}") for x in "mpub")
+        m, p, u, b, n = (F.col(f"{x}_{k.name}") for x in "mpubn")
 
         def at(value: Column, i: Column) -> Column:
-            block = F.floor(i / BLOCK).cast("int")
-            before = F.get(p, i)
-            start = _sum(F.slice(b, F.lit(1), block)) + _sum(F.slice(u, block * BLOCK + 1, i % BLOCK)) + F.length(before)
-            more = []
-            if context:
-                more = [F.right(before, F.lit(context)).alias("before"), F.left(F.get(p, i + 1), F.lit(context)).alias("after")]
-            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), *more)
-
-        return F.transform(m, at)
+            block = F.floor(i / n).cast("int")
+            start = _sum(F.slice(b, F.lit(1), block)) + _sum(F.slice(u, block * n + 1, i % n)) + F.length(F.get(p, i))
+            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+        if only is None:
+            return F.transform(m, at)
+        asked = F.filter(F.transform(m, lambda v, i: F.struct(v.alias("value"), i.alias("i"))), lambda x: only(x["value"]))
+        return F.transform(asked, lambda x: at(x["value"], x["i"]))
 
     return df.select(*names, *(spans(k).alias(f"s_{k.name}") for k in kinds))
 
