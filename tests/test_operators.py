@@ -62,6 +62,12 @@ def test_bootstrap_of_equal_pairs_has_no_width(spark):
     assert got["base_gap"] == (1.0, 1.0) and got["gap_change"] == (-1.0, -1.0)
 
 
+def test_bootstrap_is_the_same_by_broadcast_and_by_shuffle(spark):
+    df = spark.createDataFrame([(i, i % 2, i % 3 % 2, 1, i % 5 % 2) for i in range(23)], "pair_id int, base_en int, base_az int, adapted_en int, adapted_az int")
+    near, far = ({tuple(r) for r in stats.bootstrap(df, stats.paired_metrics(df), 40, most=m).collect()} for m in (100, 0))
+    assert near == far and len(near) == 9
+
+
 def test_pairing_policies(spark):
     df = spark.createDataFrame([("p", "en", 1, 1), ("p", "en", 0, 2), ("p", "az", 1, 3), ("q", "en", 1, 4)], "pair_id string, language string, correct int, ord int")
     loose = pr.pair_up(df, ["correct"])

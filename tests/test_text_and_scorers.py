@@ -80,3 +80,9 @@ def test_evaluation_composes_texts(spark):
 def test_overlap_tokens_hold_digits_and_letters_together(spark):
     got = {t: one(spark, "t string", (t,), tx.overlap_key(F.col("t"))) for t in ("GPT4 is", "gpt 4 is", "Şəhər2-Bakı")}
     assert got == {"GPT4 is": "gpt4 is", "gpt 4 is": "gpt 4 is", "Şəhər2-Bakı": "şəhər2 bakı"}
+
+
+def test_words_sort_by_the_azerbaijani_alphabet(spark):
+    ordered = ["cib", "çay", "elm", "əlma", "gül", "ğ", "Iraq", "İran", "oda", "ördək", "sal", "şar", "zebra", "42"]
+    df = spark.createDataFrame([(w,) for w in reversed(ordered)], "word string")
+    assert [r.word for r in df.orderBy(tx.collation_key(F.col("word"))).collect()] == ordered

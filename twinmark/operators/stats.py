@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinmark.operators import split
+
 
 def mcnemar(b: Column, c: Column) -> Column:
     """Exact two-sided p of b against c discordant pairs: doubled lower tail, at most 1. In logarithms,
@@ -76,18 +78,15 @@ def draw(seed: int, replicate: Column, at: Column, n: Column) -> Column:
 def bootstrap(pairs: DataFrame, metrics: list[Column], replicates: int = 10_000, seed: int = 17, alpha: float = 0.05, order: str = "pair_id", most: int = 100_000) -> DataFrame:
     """metric, low, high: percentile intervals of aggregates over pairs drawn with replacement.
 
-    Pairs are an evaluation set: their number is checked, since every replicate draws as many. The
-    draws are generated rows, spread over the cluster and summed on the map side."""
+    The draws are generated rows, replicates times pairs, and are summed by replicate on the map side. Up to
+    `most` pairs travel to them as a broadcast, counted beforehand; beyond, draws and pairs meet by a shuffle."""
     n = pairs.count()
     if n == 0:
         raise ValueError("no pairs")
-    if n > most:
-        raise ValueError(f"{n} pairs; raise `most` for more")
-    numbered = pairs.withColumn("_at", F.row_number().over(Window.orderBy(order)))
-    spark = pairs.sparkSession
-    draws = spark.range(1, replicates + 1).withColumnRenamed("id", "replicate").select("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
-    draws = draws.select("replicate", draw(seed, F.col("replicate"), F.col("i"), F.lit(n)).cast("int").alias("_at"))
-    drawn = draws.join(F.broadcast(numbered), "_at").groupBy("replicate").agg(*metrics)
+    places = split.numbered(pairs, [order], "_at")
+    draws = pairs.sparkSession.range(replicates * n).select((F.expr(f"id div {n}") + 1).alias("replicate"), (F.col("id") % n + 1).alias("i"))
+    draws = draws.select("replicate", draw(seed, F.col("replicate"), F.col("i"), F.lit(n)).alias("_at"))
+    drawn = draws.join(F.broadcast(places) if n <= most else places, "_at").groupBy("replicate").agg(*metrics)
     names = [c for c in drawn.columns if c != "replicate"]
     low, high = int(alpha / 2 * replicates), int((1 - alpha / 2) * replicates) - 1
     long = drawn.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names))).alias("m")).select("m.*")

@@ -134,10 +134,19 @@ def option_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 BINARY = [("both", "yes and no", "Yes", None), ("polarity", "Xeyr", "No", 1), ("wrong", "No, never", "Bəli", 0), ("right", "bəli.", "yes", 1), ("none", "maybe", "no", None), ("inside", "nobody knows", "No", None)]
 
 
-@query(f"select item_id, score from {_values([(a, d) for a, _, _, d in BINARY])} as v(item_id, score)")
+def _says(words: tuple[str, ...]) -> str:
+    return f"regexp_matches(' ' || {norm_sql('prediction')} || ' ', '[^\\pL\\pN_](" + "|".join(words) + ")[^\\pL\\pN_]')"
+
+
+@query(
+    f"""with {PRED}, s as (select item_id, ord, {_says(sc.POSITIVE)} as yes, {_says(sc.NEGATIVE)} as no from pred)
+    select item_id, case when yes = no then null when yes = (ord % 4 < 2) then 1 else 0 end as score from s
+    union all select id, score from {_values([(a, d) for a, _, _, d in BINARY])} as v(id, score)"""
+)
 def binary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = predictions(spark, sf_dir).select("item_id", F.col("prediction").alias("p"), F.when(F.col("ord") % 4 < 2, "Yes").otherwise("Xeyr").alias("r"))
     own = _literal(spark, [r[:3] for r in BINARY], "item_id string, p string, r string")
-    return own.select("item_id", sc.binary(F.col("p"), F.col("r")).alias("score"))
+    return rows.unionByName(own).select("item_id", sc.binary(F.col("p"), F.col("r")).alias("score"))
 
 
 INSTRUCTION = [("extraction", "nobody", "no", "extraction", 1), ("strict", "red ", "red", "format_following", 1), ("case", "Red", "red", "format_following", 0), ("plain", "Red.", "red", "other", 1), ("no category", "Red", "red", None, 1)]
@@ -159,10 +168,19 @@ def instruction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEMANTIC = [("same", "Came to or achieved", "came to or achieved", 1), ("alias", "They reached it", "came to or achieved", 1), ("anger", "reached anger", "came to or achieved", 0), ("other", "left", "came to or achieved", 0), ("az", "onlar razılığa gəldilər", "razılıq əldə etdilər", 1)]
 
 
-@query(f"select item_id, score from {_values([(a, d) for a, _, _, d in SEMANTIC])} as v(item_id, score)")
+_GOAL = "came to or achieved"
+_NAMES = " or ".join(f"contains(p, '{x}')" for x in sc.ALIASES[_GOAL])
+
+
+@query(
+    f"""with {PRED}, n as (select item_id, {norm_sql('prediction')} as p from pred)
+    select item_id, case when p = '{_GOAL}' then 1 when regexp_matches(' ' || p || ' ', '[^\\pL\\pN_]({'|'.join(sc.CONTRADICTIONS)})[^\\pL\\pN_]') then 0 when {_NAMES} then 1 else 0 end as score from n
+    union all select id, score from {_values([(a, d) for a, _, _, d in SEMANTIC])} as v(id, score)"""
+)
 def semantic_alias_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = predictions(spark, sf_dir).select("item_id", F.col("prediction").alias("p"), F.lit(_GOAL).alias("r"))
     own = _literal(spark, [r[:3] for r in SEMANTIC], "item_id string, p string, r string")
-    return own.select("item_id", sc.semantic(F.col("p"), F.col("r")).alias("score"))
+    return rows.unionByName(own).select("item_id", sc.semantic(F.col("p"), F.col("r")).alias("score"))
 
 
 @query(
@@ -488,9 +506,16 @@ DISCORDANT = [(7, 11), (9, 6), (15, 19), (0, 0), (8, 8), (3, 2), (0, 10), (200,
 _CHOOSE = "list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))))"
 
 
-@query(f"select b, c, round(least(1.0, 2 * {_CHOOSE}), 9) as p_value from {_values(DISCORDANT)} as v(b, c)")
+@query(
+    f"""with {PRED}, {PAIRS}, k as (select min(category) as category, pair_id from pred group by pair_id),
+    d as (select count(*) filter (where en = 1 and az = 0) as b, count(*) filter (where en = 0 and az = 1) as c from pairs join k using (pair_id) group by task, category)
+    select b, c, round(least(1.0, 2 * {_CHOOSE}), 9) as p_value from (select b, c from d union all select b, c from {_values(DISCORDANT)} as v(b, c))"""
+)
 def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literal(spark, DISCORDANT, "b int, c int").select("b", "c", F.round(stats.mcnemar(F.col("b"), F.col("c")), 9).alias("p_value"))
+    category = predictions(spark, sf_dir).groupBy("pair_id").agg(F.min("category").alias("category"))
+    cells = _paired(spark, sf_dir).select("pair_id", "task", "en", "az").join(category, "pair_id").groupBy("task", "category")
+    cells = cells.agg(F.count_if((F.col("en") == 1) & (F.col("az") == 0)).alias("b"), F.count_if((F.col("en") == 0) & (F.col("az") == 1)).alias("c"))
+    return cells.select("b", "c").unionByName(_literal(spark, DISCORDANT, "b long, c long")).select("b", "c", F.round(stats.mcnemar(F.col("b"), F.col("c")), 9).alias("p_value"))
 
 
 @query(
@@ -532,7 +557,7 @@ def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.agg(*stats.paired_metrics(df))
 
 
-REPLICATES = 200
+REPLICATES = 10_000
 
 
 @query(
@@ -618,15 +643,17 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORDS = ["zebra", "əlma", "elm", "Iraq", "İran", "çay", "cib", "gül", "ğ", "ördək", "oda", "şar", "sal", "42"]
-_ORDERED = ["cib", "çay", "elm", "əlma", "gül", "ğ", "Iraq", "İran", "oda", "ördək", "sal", "şar", "zebra", "42"]
 
 
-@query(f"select word, place from {_values([(w, i + 1) for i, w in enumerate(_ORDERED)])} as v(word, place)")
+@query(
+    f"""with w as (select distinct word from (select unnest(string_split(text, ' ')) as word from documents union all select word from {_values([(w,) for w in WORDS])} as v(word)) where word <> ''),
+    k as (select word, list_transform(string_split(lower(translate(word, 'İI', 'iı')), ''), lambda x: case when instr('{tx.ALPHABET}', x) > 0 then instr('{tx.ALPHABET}', x) else {len(tx.ALPHABET) + 1} end) as key from w)
+    select word, row_number() over (order by key, word) as place from k"""
+)
 def alphabet_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    df = _literal(spark, [(w,) for w in WORDS], "word string")
-    return df.select("word", F.row_number().over(Window.orderBy(tx.collation_key(F.col("word")), "word")).alias("place"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).unionByName(_literal(spark, [(w,) for w in WORDS], "word string"))
+    keyed = words.where("word <> ''").distinct().withColumn("key", tx.collation_key(F.col("word")))
+    return split.numbered(keyed, ["key", "word"], "place").select("word", "place")
 
 
 # -- constraints -----------------------------------------------------------------------------------------

@@ -13,7 +13,8 @@ DIFFICULTIES = ("easy", "medium", "hard")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with labels as predictions: even ids are English, odd ones their other-language twins."""
+    """documents with labels as predictions: even ids are English, odd ones their other-language twins. The
+    question holds the whole text; so does the prediction of every third pair."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     df = docs.join(labels, "doc_id").withColumn("pair_id", F.floor(F.col("doc_id") / 2).cast("long"))
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (F.col("pair_id") % by + 1).cast("int"))
@@ -30,10 +31,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").cast("int").alias("correct"),
         F.col("toxic").cast("int").alias("toxic"),
         F.when(F.col("toxic") == 1, "abstained").when(F.col("quality") == 0, "empty").otherwise("answered").alias("status"),
-        F.concat(F.lit("Is it '"), word(0), F.lit("', '"), word(1), F.lit("' or '"), word(2), F.lit("'?")).alias("question"),
+        F.concat(F.coalesce("text", F.lit("")), F.lit(" Is it '"), word(0), F.lit("', '"), word(1), F.lit("' or '"), word(2), F.lit("'?")).alias("question"),
         word(1).alias("reference_answer"),
         F.when(F.col("pair_id") % 3 == 0, F.concat(F.upper(word(1)), F.lit(".")))
-        .when(F.col("pair_id") % 3 == 1, F.array_join(F.slice(words, 1, 6), " "))
+        .when(F.col("pair_id") % 3 == 1, F.col("text"))
         .otherwise(word(2))
         .alias("prediction"),
         F.col("doc_id").alias("ord"),
@@ -47,8 +48,8 @@ def _list(values) -> str:
 
 
 PRED = f"""pred as (
-    select *, case when pair_id % 3 = 0 then upper(reference_answer) || '.'
-                   when pair_id % 3 = 1 then array_to_string(w[1:6], ' ') else coalesce(w[3], '') end as prediction
+    select * exclude (text), case when pair_id % 3 = 0 then upper(reference_answer) || '.'
+                   when pair_id % 3 = 1 then text else coalesce(w[3], '') end as prediction
     from (
         select cast(doc_id as varchar) as item_id, cast(floor(doc_id / 2) as bigint) as pair_id,
                case when doc_id % 2 = 0 then 'en' else 'az' end as language,
@@ -58,8 +59,8 @@ PRED = f"""pred as (
                cast(floor(doc_id / 2) as bigint) % 5 <> 4 as is_answerable,
                cast(quality as integer) as correct, cast(toxic as integer) as toxic,
                case when toxic = 1 then 'abstained' when quality = 0 then 'empty' else 'answered' end as status,
-               string_split(text, ' ') as w,
-               'Is it ''' || coalesce(string_split(text, ' ')[1], '') || ''', ''' || coalesce(string_split(text, ' ')[2], '')
+               text, string_split(text, ' ') as w,
+               coalesce(text, '') || ' Is it ''' || coalesce(string_split(text, ' ')[1], '') || ''', ''' || coalesce(string_split(text, ' ')[2], '')
                    || ''' or ''' || coalesce(string_split(text, ' ')[3], '') || '''?' as question,
                coalesce(string_split(text, ' ')[2], '') as reference_answer, doc_id as ord, lang as text_lang
         from documents join labels using (doc_id)
