@@ -1,8 +1,11 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -106,3 +109,63 @@ def jaccard(rows):
         for j in group:
             out[j] = (frozenset(group), len(link[j]))
     return out
+
+
+def windows(rows, span=20):
+    """[(doc_id, text)] -> [(words, removed, kept words)]; rows of one id and text are one document; null ids come first."""
+    docs = sorted({(r[0] is not None, r[0] or 0, r[1] or "") for r in rows})
+    first, later = {}, defaultdict(set)
+    for d in docs:
+        w = WORD.findall(d[2])
+        for i in range(len(w) - span + 1):
+            first.setdefault(tuple(w[i : i + span]), (d, i))
+    for d in docs:
+        w = WORD.findall(d[2])
+        for i in range(len(w) - span + 1):
+            if first[tuple(w[i : i + span])] != (d, i):
+                later[d] |= set(range(i, i + span))
+    out = []
+    for r in rows:
+        d = (r[0] is not None, r[0] or 0, r[1] or "")
+        w = WORD.findall(d[2])
+        out.append((len(w), len(later[d]), [x for i, x in enumerate(w) if i not in later[d]]))
+    return out
+
+
+def kmeans(rows, k=16, rounds=3, size=64, scale=64, seed=1):
+    """[(vec_id, vector)] -> ([(vec_id, cluster, distance)], centroids), all distances measured."""
+    sound = [(i, [math.floor(Fraction(x) * scale) for x in v]) for i, v in rows if v is not None and len(v) == size and all(x is not None and math.isfinite(x) for x in v)]
+    packed = lambda v: b"".join(x.to_bytes(4, "little", signed=True) for x in v) if all(abs(x) < 2**22 for x in v) else ",".join(map(str, v)).encode()
+    order = sorted(sound, key=lambda r: (hashlib.sha256(f"{seed}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), packed(r[1])))
+    cents = [v for _, v in order[:k]]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    for n in range(rounds + 1):
+        at = [min(range(len(cents)), key=lambda c: (far(v, cents[c]), c)) for _, v in sound]
+        if n < rounds:
+            for c in range(len(cents)):
+                mine = [v for (_, v), a in zip(sound, at, strict=True) if a == c]
+                if mine:
+                    cents[c] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
+    return [(i, a, far(v, cents[a])) for (i, v), a in zip(sound, at, strict=True)], cents
+
+
+def importance(rows, target, order=1, buckets=10_000, share=10, least=20, seed=2024):
+    """[(doc_id, text)], [text] -> [(doc_id, features, weight, score)] in the rows' order, and the ids drawn, best first."""
+
+    def features(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return w, [" ".join(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)]
+
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    s, t = (Counter(bucket(f) for x in side for f in features(x)[1]) for side in ([r[1] for r in rows], target))
+    all_s, all_t = sum(s.values()) + buckets, sum(t.values()) + buckets
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * all_s / ((s[b] + 1) * all_t)))
+    out, able = [], []
+    for i, text in rows:
+        w, f = features(text)
+        weight = math.floor(sum(gain(bucket(x)) for x in f) / len(f)) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+        if len(w) >= least:
+            able.append((-out[-1][3], i is not None, i or 0))
+    return out, [i if there else None for _, there, i in sorted(able)[: share * len(able) // 100]]

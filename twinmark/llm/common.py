@@ -11,7 +11,8 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
@@ -94,3 +95,17 @@ def free_name(df_or_names, want: str) -> str:
     while want.lower() in names:
         want = f"_{want}"
     return want
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a running number from 1 in the given order, as column name (long). No task takes the whole table: ranges
+    of the order are numbered by themselves and moved up by the counts before them. The order should tell all rows
+    apart, so that rows that are alike can be split too."""
+    part, within, base = (free_name(df, x) for x in ("part", "within", "base"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id())
+    dealt = cut(dealt.withColumn(within, F.monotonically_increasing_id() - F.shiftleft(F.col(part).cast("long"), 33)))
+    counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias(base))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    counts = counts.select(part, F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
+    return dealt.join(F.broadcast(counts), part).withColumn(name, F.col(within) + F.col(base) + 1).drop(part, within, base)

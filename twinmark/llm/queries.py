@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from twinmark.llm import jaccard, langid, linededup, packing, piecebpe, pii, quality, secrets, tokenbin, topk
+from twinmark.llm import clusters, jaccard, langid, linededup, packing, piecebpe, pii, quality, resample, secrets, tokenbin, topk, windowdedup
 
 TOKENIZERS = os.environ.get("TWINMARK_TOKENIZERS", "/opt/tokenizers")
 """Folder of the public tokenizer files; must be there on every executor."""
@@ -61,13 +61,28 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.encode(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.assess(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowdedup.assess(_read(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
-    **{f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op3_line_dedup, op4_token_files, op5_quality_rules, op6_language_id, op7_personal_data, op8_exact_top_k, op9_ngram_jaccard_join, op10_piece_encoding)},
+    **{f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op3_line_dedup, op4_token_files, op5_quality_rules, op6_language_id, op7_personal_data, op8_exact_top_k, op9_ngram_jaccard_join, op10_piece_encoding, op11_centroid_clustering, op12_substring_dedup, op13_importance_resampling)},
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": linededup.SQL,
     "op9_ngram_jaccard_join": jaccard.SQL,
+    "op11_centroid_clustering": clusters.SQL,
+    "op12_substring_dedup": windowdedup.SQL,
     "op8_exact_top_k": """
         with v as materialized (
             select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q
