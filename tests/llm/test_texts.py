@@ -399,3 +399,37 @@ def test_markov_spans_equal_the_plain_ratio(spark, docs):
         for p in itertools.pairwise(t):
             counted["".join(p)] = counted.get("".join(p), 0) + 1
     assert secrets._bigrams(spark.createDataFrame([("abab",), ("abab",), ("xa",), ("q",), ("",), (None,)], "t string")) == counted
+
+
+def test_added_strings_in_any_case_beside_any_space():
+    from itertools import product
+
+    from tokenizers import Tokenizer
+
+    for name, drops in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = f"{TOK}/{name}"
+        enc, tok = wordcache.ChunkEncoder(path, drops), Tokenizer.from_file(path)
+        spaces = ["", " ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", "​", "é"]
+        for mark, a, b in product(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>"], spaces, spaces):
+            for t in (f"{a}{mark}{b}", f"One{a}{mark}{b}two"):
+                assert enc.ids(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
+def test_fifty_thousand_spans_in_one_text(spark):
+    import time
+
+    text = " ".join(f"10.{i % 256}.{i // 256}.1" for i in range(50_000))
+    df = spark.createDataFrame([(1, text), (2, "nothing here")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert got == {1: " ".join(["[IP]"] * 50_000), 2: "nothing here"}
+    assert time.time() - began < 120
+
+
+def test_scores_do_not_depend_on_what_was_scored_before(spark):
+    texts = spark.createDataFrame([("en", f"some words number {i} and more of them") for i in range(50)], "lang string, text string")
+    model = ngrams.train(texts, ("en",))
+    store = ngrams.Store(model.uri, model.parts, model.symbols)
+    g = ngrams.grams(["some words number seven and none of these"])
+    rows = np.arange(len(g.at))
+    assert store.log_p(0, g, g.keys(), rows).tolist() == store.log_p(0, g, g.keys(), rows).tolist()

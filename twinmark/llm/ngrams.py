@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinmark.llm.common import cut, fresh_path, kept, ship, slices
-from twinmark.llm.tokenbin import _fs, _put, mapped
+from twinmark.llm.tokenbin import _fs, mapped
 
 ORDER = 5
 U8 = np.uint64
@@ -153,7 +153,7 @@ class Store:
         if len(new):
             one, first, back = np.unique(h[new], return_index=True, return_inverse=True)
             at = g.at[rows[new[first]]]
-            lp = self.fresh(slot, g.symbols[at[:, None] - np.arange(ORDER)])
+            lp = self.fresh(slot, g.symbols[at[:, None] - np.arange(ORDER)]).astype(np.float32)  # as it will be remembered
             out[new] = lp[back]
             where = place[new[first]]
             self.seen[where], self.score[where] = one, lp
@@ -285,14 +285,21 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _writer(uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
         part, (fs, top) = TaskContext.get().partitionId(), _fs(uri)
-        fs.create_dir(top, recursive=True)
-        name = f"part-{part:05d}"
-        for end, column, kind in ((".key", "hash", "<i8"), (".val", "value", "<f4")):
-            _put(fs, f"{top}/{name}{end}", [b.column(column).to_numpy().astype(kind).tobytes() for b in held])
+        name, out = f"part-{part:05d}", {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if not out:
+                fs.create_dir(top, recursive=True)
+                out = {end: fs.open_output_stream(f"{top}/{name}{end}.{TaskContext.get().taskAttemptId()}.tmp") for end in (".key", ".val")}
+            out[".key"].write(b.column("hash").to_numpy().astype("<i8").tobytes())
+            out[".val"].write(b.column("value").to_numpy().astype("<f4").tobytes())
+        if not out:
+            return
+        for end, f in out.items():
+            f.close()
+            fs.move(f"{top}/{name}{end}.{TaskContext.get().taskAttemptId()}.tmp", f"{top}/{name}{end}")
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([name])], ["part", "name"])
 
     return run

@@ -149,36 +149,37 @@ def spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSUR
     return df.select("doc_id", "h", "text", "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("every"))
 
 
-def _masked(text: Column, every: Column) -> Column:
-    """The text with its sorted spans masked or generalised; of spans that overlap, the first is shown. What is
-    taken stands before the place reached, the largest end so far: in blocks of about sqrt(n) of
-    the n spans, so it costs n * sqrt(n) comparisons, and each character is copied once."""
-    ends = F.transform(every, lambda s: s["end"])
-    n = block_of(every)
-    last = F.floor((F.size(every) - 1) / n).cast("int")
-    tops = F.transform(F.sequence(F.lit(0), last), lambda b: F.array_max(F.slice(ends, b * n + 1, n)))
+def masked(df: DataFrame, text: str, every: str, name: str) -> DataFrame:
+    """df with column name: the text with what the sorted spans of column every hold masked or generalised; null where
+    there are none. Of spans that overlap, the first is shown. What is taken stands before the place reached, the
+    largest end so far: the largest of the blocks before, each of about sqrt(n) of the n spans, and of the spans before it
+    in its own block. So n spans cost n * sqrt(n) comparisons, and each character is copied once."""
+    ends, tops, before, chars, block = (free_name(df, x) for x in ("ends", "tops", "before", "chars", "block"))
+    some = F.coalesce(F.size(every), F.lit(0)) > 0
+    n, size = F.col(block), F.size(ends)
+    # each step refers to the last one's columns more than once, so the optimiser keeps them apart: within a
+    # function over elements it would work them out for every element
+    df = df.withColumn(ends, F.when(some, F.transform(every, lambda s: s["end"])))
+    df = df.withColumn(block, F.when(some, block_of(F.col(ends))))
+    df = df.withColumn(tops, F.when(size > 0, F.transform(F.sequence(F.lit(0), F.floor((size - 1) / n).cast("int")), lambda b: F.array_max(F.slice(ends, b * n + 1, n)))))
+    df = df.withColumn(before, F.when(F.size(tops) > 0, F.transform(tops, lambda _, b: F.coalesce(F.array_max(F.slice(tops, F.lit(1), b)), F.lit(0)))))
 
     def reached(i: Column) -> Column:
-        block = F.floor(i / n).cast("int")
-        return F.coalesce(F.greatest(F.array_max(F.slice(tops, F.lit(1), block)), F.array_max(F.slice(ends, block * n + 1, i % n))), F.lit(0))
+        at = F.floor(i / n).cast("int")
+        return F.greatest(F.get(before, at), F.coalesce(F.array_max(F.slice(ends, at * n + 1, i % n)), F.lit(0)))
 
-    part = lambda start, end: F.array_join(F.slice("chars", start + 1, end - start), "")
+    placed, part_of = free_name(df, "placed"), lambda start, end: F.array_join(F.slice(chars, start + 1, end - start), "")
+    taken = F.transform(every, lambda s, i: F.struct(reached(i).alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    df = df.withColumn(placed, F.when(F.size(before) > 0, taken)).withColumn(chars, F.when(some, F.split(F.col(text), "")))
 
     def shown(s: Column) -> Column:
-        value = part(s["start"], s["end"])
+        value = part_of(s["start"], s["end"])
         general = F.when(value.rlike(r"\p{N}"), "[CODE]").when(value.rlike(r"^\p{Lu}"), "[NAME]").otherwise("")
         return F.when(s["kind"] == "term", general).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
-    placed = F.transform(every, lambda s, i: F.struct(reached(i).alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    pieces = F.transform(F.filter(placed, lambda s: s["start"] >= s["at"]), lambda s: F.concat(part(s["at"], s["start"]), shown(s)))
-    return F.concat(F.array_join(pieces, ""), part(F.array_max(ends), F.size("chars")))
-
-
-def masked(df: DataFrame, text: str, every: str, name: str) -> DataFrame:
-    """df with column name: the text with what the spans of column every hold masked or generalised; null where there are none."""
-    some = F.coalesce(F.size(every), F.lit(0)) > 0
-    df = df.withColumn("chars", F.when(some, F.split(F.col(text), "")))
-    return df.withColumn(name, F.when(some, _masked(F.col(text), F.col(every)))).drop("chars")
+    pieces = F.transform(F.filter(placed, lambda s: s["start"] >= s["at"]), lambda s: F.concat(part_of(s["at"], s["start"]), shown(s)))
+    out = F.concat(F.array_join(pieces, ""), part_of(F.array_max(ends), F.size(chars)))
+    return df.withColumn(name, F.when(F.size(placed) > 0, out)).drop(ends, block, tops, before, placed, chars)
 
 
 def scan(docs: DataFrame, support: int = 1, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -192,8 +193,9 @@ def scan(docs: DataFrame, support: int = 1, disclosure: float = DISCLOSURE) -> D
 def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """The documents with entities masked by kind and disclosing terms generalised: words with a
     capital to [NAME], words with a digit to [CODE], others removed. Other columns stay."""
-    found = masked(spans(docs, support, disclosure), "text", "every", "clean")
-    marks = found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k_id"), F.col("h").alias("k_h"), "clean").where("clean is not null").dropDuplicates(["k_id", "k_h"])
+    # a condition on the masked text itself would be worked out from the start again at each of its steps
+    found = masked(spans(docs, support, disclosure).where(F.size("every") > 0), "text", "every", "clean")
+    marks = found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k_id"), F.col("h").alias("k_h"), "clean").dropDuplicates(["k_id", "k_h"])
     row = free_name(docs, "whole_row")
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"), F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))).alias("k_h"))
     df = df.join(marks, ["k_id", "k_h"], "left")

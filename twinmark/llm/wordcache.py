@@ -94,15 +94,17 @@ class ChunkEncoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        for a in self.added:
-            if a in text:
-                return self.whole(text)
+        given = text
         if self.drops_space:
             try:
                 text.encode("latin-1")
                 text = text.lower()  # precomposed letters only: lowering first changes nothing
             except UnicodeEncodeError:
                 pass
+        for a in self.added:
+            if a in text:  # also where it is only once lowered: the library looks for it before it lowers
+                return self.whole(given)
+        if self.drops_space:
             chunks, head = text.replace("\n", " ").split(" "), b""
         else:
             first, *chunks = text.split(" ")
