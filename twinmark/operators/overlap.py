@@ -36,41 +36,60 @@ def classes(rows: DataFrame) -> DataFrame:
     return keyed.join(many, "k").select("id", "class_id", "class_size")
 
 
-def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+CELL = 4_000
+"""Rows of a token's list that meet within one cell of its grid."""
+
+
+def similar(left: DataFrame, right: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
     """All pairs of unequal texts whose token sets have a Jaccard similarity of at least threshold > 0.
 
-    Prefix filter: tokens are ordered from rare to common, and two sets that similar share a token in
-    the first n - ceil(threshold * n) + 1 of each. So only rare tokens meet in the join, never a common
-    word's full lists, and only sets of sizes that can be that similar; the pairs found are then compared
-    exactly. Tokens that one side lacks come first of all and are only counted. Texts are cut into tokens
-    once, and kept as sets of 64-bit hashes.
+    Texts are cut into tokens once and kept as sets of 64-bit hashes; equal sets go as one. Tokens are ordered from rare to
+    common, and two sets that similar share a token in the first n - ceil(threshold * n) + 1 of each (prefix filter), with
+    enough tokens left behind it in both to reach the overlap that is needed (positional filter), so mostly rare
+    tokens meet in the join. A token that is common in both tables all the same is dealt over a grid: its left rows over
+    as many strips as there are `cell` of them, its right rows likewise, each row copied to the cells of its strip. So no task
+    gets two whole lists. Tokens that one side lacks come first of all and are only counted. Pairs found are compared exactly.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
 
-    def side(df: DataFrame, n: str) -> DataFrame:
+    def side(df: DataFrame, n: str) -> tuple[DataFrame, DataFrame]:
         hashes = F.transform(overlap_tokens(F.col("text")), lambda t: F.xxhash64(t))
-        cut_ = df.select(F.col("id").alias(f"{n}_id"), hashes.alias("tokens"))
-        return cut(cut_.select(f"{n}_id", F.array_distinct("tokens").alias(f"{n}_set"), F.xxhash64("tokens").alias(f"{n}_key")))
+        rows = df.select(F.col("id").alias(f"{n}_id"), hashes.alias("tokens"))
+        rows = rows.select(f"{n}_id", F.array_sort(F.array_distinct("tokens")).alias(f"{n}_set"), F.xxhash64("tokens").alias(f"{n}_key"))
+        rows = cut(rows.withColumn(f"{n}_kind", F.md5(F.array_join(F.transform(f"{n}_set", lambda t: t.cast("string")), ","))))
+        return rows.drop(f"{n}_set"), cut(rows.groupBy(f"{n}_kind").agg(F.any_value(f"{n}_set").alias(f"{n}_set")))
 
-    a, b = side(left, "left"), side(right, "right")
+    (a_rows, a), (b_rows, b) = side(left, "left"), side(right, "right")
     count = lambda df, n: df.select(F.explode(f"{n}_set").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias(f"n_{n}"))
-    often = count(a, "left").join(count(b, "right"), "t").select("t", (F.col("n_left") + F.col("n_right")).alias("n"))
+    often = cut(count(a, "left").join(count(b, "right"), "t").select("t", (F.col("n_left") + F.col("n_right")).alias("n"), *(F.ceil(F.col(f"n_{n}") / cell).cast("int").alias(f"strips_{n}") for n in ("left", "right"))))
 
-    def prefix(df: DataFrame, n: str) -> DataFrame:
-        rows = df.select(f"{n}_id", F.size(f"{n}_set").alias("size"), F.explode(f"{n}_set").alias("t")).join(often, "t")
+    def prefix(df: DataFrame, n: str, other: str) -> DataFrame:
+        rows = df.select(f"{n}_kind", F.size(f"{n}_set").alias("size"), F.explode(f"{n}_set").alias("t")).join(often, "t")
         first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
-        w = Window.partitionBy(f"{n}_id")
+        w = Window.partitionBy(f"{n}_kind")
         rank = F.row_number().over(w.orderBy("n", "t")) + F.col("size") - F.count(F.lit(1)).over(w)
-        return rows.withColumn("rank", rank).where(F.col("rank") <= first).select(f"{n}_id", F.col("size").alias(f"{n}_size"), "t")
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= first)
+        own = F.pmod(F.xxhash64(f"{n}_kind"), F.col(f"strips_{n}")).cast("int").alias(f"strip_{n}")
+        cells = F.explode(F.sequence(F.lit(0), F.col(f"strips_{other}") - 1)).alias(f"strip_{other}")
+        return rows.select(f"{n}_kind", F.col("size").alias(f"{n}_size"), F.col("rank").alias(f"{n}_rank"), "t", own, cells)
 
-    met = prefix(a, "left").join(prefix(b, "right"), "t")
+    met = prefix(a, "left", "right").join(prefix(b, "right", "left"), ["t", "strip_left", "strip_right"])
     low, high = F.least("left_size", "right_size"), F.greatest("left_size", "right_size")
-    met = met.where(low >= F.lit(threshold) * high - 1e-9).select("left_id", "right_id").distinct()
-    both = met.join(a, "left_id").join(b, "right_id").where("left_key <> right_key")
+    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("left_size") + F.col("right_size")) - 1e-9)
+    ahead = 1 + F.least(F.col("left_size") - F.col("left_rank"), F.col("right_size") - F.col("right_rank"))
+    met = met.where((low >= F.lit(threshold) * high - 1e-9) & (ahead >= needed)).select("left_kind", "right_kind").distinct()
+    both = met.join(a, "left_kind").join(b, "right_kind")
     shared = F.size(F.array_intersect("left_set", "right_set"))
     score = shared / (F.size("left_set") + F.size("right_set") - shared)
-    return both.select("left_id", "right_id", score.alias("similarity")).where(F.col("similarity") >= threshold)
+    kinds = both.select("left_kind", "right_kind", score.alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = kinds.join(a_rows, "left_kind").join(b_rows, "right_kind").where("left_key <> right_key")
+    return pairs.select("left_id", "right_id", "similarity")
+
+
+def ranked(pairs: DataFrame, name: str = "place") -> DataFrame:
+    """Pairs left_id, right_id, similarity with their place from 1: most similar first, ties by ids."""
+    return numbered(pairs.withColumn("_less", -F.col("similarity")), ["_less", "left_id", "right_id"], name).drop("_less")
 
 
 def report(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -118,6 +137,20 @@ def _similar_characters(left: DataFrame, right: DataFrame, least: float, block:
     return out
 
 
+def _subsequence(a: str, b: str, spots: dict[str, int]) -> int:
+    """Length of the longest common subsequence, which no similarity by matching blocks exceeds: a row of the table in the
+    bits of one number. spots: where each character stands in a, filled at first use."""
+    if not spots:
+        for i, c in enumerate(a):
+            spots[c] = spots.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & spots.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
 def _near_characters(held, least: float, kinds: int = 64):
     def histogram(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), kinds), np.int64)
@@ -136,13 +169,17 @@ def _near_characters(held, least: float, kinds: int = 64):
                 if not text:
                     continue
                 n = len(text)
+                spots: dict[str, int] = {}
                 low, high = np.searchsorted(length, [least / (2 - least) * n - 1e-9, (2 - least) / least * n + 1e-9], side="left")
                 if high <= low:
                     continue
                 shared = np.minimum(counts[low:high], histogram([text])[0]).sum(1)
                 for j in np.flatnonzero(2 * shared >= least * (n + length[low:high]) - 1e-9).tolist():
-                    m = difflib.SequenceMatcher(None, text, texts[order[low + j]], autojunk=False)
-                    if m.quick_ratio() >= least and (ratio := m.ratio()) >= least:
+                    other = texts[order[low + j]]
+                    if 2 * _subsequence(text, other, spots) < least * (n + len(other)) - 1e-9:
+                        continue
+                    ratio = difflib.SequenceMatcher(None, text, other, autojunk=False).ratio()
+                    if ratio >= least:
                         found.append((own, ids[order[low + j]], ratio))
             if found:
                 yield pa.record_batch([pa.array(x) for x in zip(*found, strict=True)], ["left_id", "right_id", "sequence"])
@@ -154,12 +191,16 @@ def leaks(left: DataFrame, right: DataFrame, sequence: float = 0.72, jaccard: fl
     """All pairs of unequal texts that are near by token sets or by characters, each looked for by bounds
     of its own. `screen` is only there for older callers: no pair depends on it."""
     by_tokens = similar(left, right, jaccard).select("left_id", "right_id")
-    by_characters = _similar_characters(left, right, sequence).select("left_id", "right_id")
+    by_characters = cut(_similar_characters(left, right, sequence))
     side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.col("text").alias(n), F.array_distinct(overlap_tokens(F.col("text"))).alias(f"{n}_set"), overlap_key(F.col("text")).alias(f"{n}_key"))
-    both = by_tokens.unionByName(by_characters).distinct().join(side(left, "left"), "left_id").join(side(right, "right"), "right_id").where("left_key <> right_key")
+    known = by_characters.groupBy("left_id", "right_id").agg(F.max("sequence").alias("sequence"))
+    met = by_tokens.distinct().join(known, ["left_id", "right_id"], "full")
+    both = met.join(side(left, "left"), "left_id").join(side(right, "right"), "right_id").where("left_key <> right_key")
     shared = F.size(F.array_intersect("left_set", "right_set"))
     score = F.try_divide(shared, F.size("left_set") + F.size("right_set") - shared)
-    return both.select("left_id", "right_id", score.alias("similarity"), sequence_ratio(F.lower("left"), F.lower("right")).alias("sequence"))
+    unknown = F.col("sequence").isNull()  # the ratio is worked out only for pairs that the characters did not bring
+    fresh = both.withColumn("_ratio", sequence_ratio(F.when(unknown, F.lower("left")).otherwise(""), F.when(unknown, F.lower("right")).otherwise("")))
+    return fresh.select("left_id", "right_id", score.alias("similarity"), F.when(unknown, F.col("_ratio")).otherwise(F.col("sequence")).alias("sequence"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -168,31 +209,89 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
+def _vectors(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length of vector: the rows, and their vectors; a vector with a null in it holds NaN."""
+    col = batch.column("vector").cast(pa.large_list(pa.float64()))
+    ends, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+    there, size = col.is_valid().to_numpy(zero_copy_only=False), np.diff(ends)
+    out = {}
+    for n in np.unique(size[there]).tolist():
+        rows = np.flatnonzero(there & (size == n))
+        out[n] = rows, flat[ends[rows][:, None] + np.arange(n)]
+    return out
+
+
+def _nearest(ids: pa.Array, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, others: bool, least: float, rows: int = 2048):
+    """The k nearest of a partition's rows for each query: products of matrices, block by block, and what they leave of each query's best so far."""
+    lengths = {n: np.sqrt((q * q).sum(1)) for n, (_, q) in queries.items()}
+    names = np.array(ids.to_pylist(), object)
+
+    def run(batches):
+        best = pd.DataFrame({"query": np.zeros(0, np.int64), "id": [], "similarity": np.zeros(0)})
+        floor = np.full(len(names), least)
+
+        def kept(new: list[pd.DataFrame]) -> pd.DataFrame:
+            every = pd.concat([best, *new]).sort_values(["query", "similarity", "id"], ascending=[True, False, True], kind="stable")
+            return every.groupby("query", sort=False).head(k)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                own, new = np.array(b.column("id").to_pylist(), object), []
+                for n, (where, v) in _vectors(b).items():
+                    if n not in queries:
+                        continue
+                    number, q = queries[n]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        s = (q @ v.T) / (lengths[n][:, None] * np.sqrt((v * v).sum(1)))
+                    hit = s >= floor[number][:, None]  # never true of NaN
+                    if others:
+                        hit &= names[number][:, None] != own[where][None, :]
+                    i, j = np.nonzero(hit)
+                    new.append(pd.DataFrame({"query": number[i], "id": own[where[j]], "similarity": s[i, j]}))
+                if new:
+                    best = kept(new)
+                    full = best.groupby("query")["similarity"].agg(["size", "min"])
+                    full = full[full["size"] >= k]
+                    floor[full.index.to_numpy()] = np.maximum(full["min"].to_numpy(), least)
+        if len(best):
+            yield pa.record_batch([ids.take(pa.array(best["query"].to_numpy(np.int64))), pa.array(best["id"].tolist()), pa.array(best["similarity"].to_numpy(float))], ["query_id", "id", "similarity"])
+
+    return run
+
+
 def embedding_top_k(queries: DataFrame, rows: DataFrame, k: int, threshold: float | None = None, most_queries: int = 20_000, others: bool = False, most_bytes: int = 64_000_000) -> DataFrame:
-    """For each query its k nearest rows by cosine (ties to smaller ids), then those at the threshold.
-    Both: id, vector. The queries are a stated set: they are sent to all executors in blocks of at
-    most about `most_queries` and `most_bytes`, each against all rows; Spark keeps k rows a query and partition before it shuffles.
-    others: a query's own id is no answer."""
+    """For each query its k nearest rows by cosine (ties to smaller ids), those at the threshold if one is given.
+    Both: id, vector. The queries are a stated set: they go in blocks of at most about `most_queries` and `most_bytes`, each
+    against all rows; a partition keeps k rows a query, and those of all partitions meet in one window.
+    others: a query's own id is no answer. Vectors of other lengths, without length, null or with nulls answer nothing."""
+    spark = queries.sparkSession
     n, size = queries.agg(F.count(F.lit(1)), F.sum(F.size("vector") * 8 + 16)).first()
     blocks = max(1, math.ceil(n / most_queries), math.ceil((size or 0) / most_bytes))
+    key, kind = queries.schema["id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        q = part.select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
-        both = rows.crossJoin(F.broadcast(q)).select("query_id", "id", cosine(F.col("q"), F.col("vector")).alias("similarity"))
-        both = both.where("id <> query_id") if others else both
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-        best = both.withColumn("rank", rank).where(F.col("rank") <= k)
+        held = part.select("id", "vector").toArrow().combine_chunks().to_batches()  # one block, of a bounded size
+        if not held:
+            continue
+        run = _nearest(held[0].column("id"), _vectors(held[0]), k, others, -np.inf if threshold is None else threshold)
+        found = rows.select("id", "vector").mapInArrow(run, f"query_id {key}, id {kind}, similarity double")
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best = best if blocks == 1 else cut(best)  # a block is done before the next is sent
         out = best if out is None else out.unionByName(best)
-    return out if threshold is None else out.where(F.col("similarity") >= threshold)
+    return spark.createDataFrame([], f"query_id {key}, id {kind}, similarity double, rank int") if out is None else out
 
 
 def duplicates(df: DataFrame, key: Column, order: str, id_column: str) -> DataFrame:
     """Rows whose key an earlier row has: the row's id, a 128-bit hash of the key, and the earlier holder's id.
 
-    Rows are numbered in order of key and place by ranges, so one key may fill many tasks; a row's earlier
-    holder is then the row of the number before."""
-    rows = df.select(F.col(id_column), F.col(order).alias("_order"), F.md5(key).alias("dup_key")).where("dup_key is not null")
-    rows = cut(numbered(rows, ["dup_key", "_order"], "_row").select(id_column, "dup_key", "_row"))
+    Keys are hashed once and counted on the map side. Only rows whose key is there twice are numbered, in order of
+    key and place by ranges, so one key may fill many tasks; a row's earlier holder is then the row of the number before."""
+    rows = cut(df.select(F.col(id_column), F.col(order).alias("_order"), F.md5(key).alias("dup_key")).where("dup_key is not null"))
+    twice = rows.groupBy("dup_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("dup_key")
+    rows = numbered(rows.join(twice, "dup_key", "left_semi"), ["dup_key", "_order"], "_row").select(id_column, "dup_key", "_row")
+    rows = cut(rows)
     before = rows.select(F.col(id_column).alias("earlier_id"), F.col("dup_key").alias("_key"), (F.col("_row") + 1).alias("_row"))
     return rows.join(before, "_row").where("dup_key = _key").select(id_column, "dup_key", "earlier_id")

@@ -60,30 +60,70 @@ def violations(scored: DataFrame) -> DataFrame:
     return unknown.unionByName(missing).unionByName(where(scored, "is_answerable", F.col("is_answerable").isNull(), "item_id"))
 
 
+# Fixed names: the artifacts of a published bundle, by the tables and summaries that hold them.
+PUBLISHED_TABLES = {
+    "exact_match_results": "exact_match_results",
+    "paired_capability_results": "exact_match_pairs",
+    "abstention_results": "abstention_results",
+    "paired_reliability_results": "reliability_pairs",
+    "short_answer_results": "short_answer_results",
+    "semantic_answer_results": "semantic_results",
+    "task_aware_results": "capability_results",
+    "paired_task_aware_results": "capability_pairs",
+    "instruction_following_results": "instruction_results",
+    "failure_analysis_results": "failure_results",
+    "paired_failure_analysis_results": "failure_pairs",
+}
+PUBLISHED_SUMMARIES = {
+    "capability_summary": ["exact_match_summary", "exact_match_gap"],
+    "paired_capability_summary": ["exact_match_pair_summary"],
+    "reliability_summary": ["reliability_summary", "reliability_gap"],
+    "paired_reliability_summary": ["reliability_pair_summary"],
+    "short_answer_summary": ["short_answer_summary"],
+    "semantic_answer_summary": ["semantic_summary"],
+    "task_aware_summary": ["capability_summary", "capability_gap"],
+    "paired_task_aware_summary": ["capability_pair_summary"],
+    "primary_capability_summary": ["capability_summary", "capability_gap"],
+    "primary_paired_capability_summary": ["capability_pair_summary"],
+    "instruction_following_summary": ["instruction_summary"],
+    "failure_analysis_summary": ["failure_summary"],
+    "paired_failure_analysis_summary": ["failure_pair_summary"],
+}
+
+
 @dataclass
 class Evaluation:
     tables: dict[str, DataFrame]
     summaries: dict[str, DataFrame]
+    more: dict[str, DataFrame]  # summaries that only the published bundle has
+
+    def published(self) -> tuple[dict[str, DataFrame], dict[str, list[DataFrame]]]:
+        """The bundle's 11 tables and 13 summaries under their published names."""
+        held = self.summaries | self.more
+        return {n: self.tables[t] for n, t in PUBLISHED_TABLES.items()}, {n: [held[x] for x in parts] for n, parts in PUBLISHED_SUMMARIES.items()}
 
 
 def evaluate(predictions: DataFrame, decisions: DataFrame | None = None, binary_decisions: DataFrame | None = None, source: str = "en", target: str = "az") -> Evaluation:
-    """Eleven row tables and thirteen summaries of a prediction table (see sources.readers.predictions)."""
+    """Eleven row tables and thirteen summaries of a prediction table (see sources.readers.predictions). Pairs without
+    one row a side are an error, and so is a pair whose scored rows lack a language, or gaps without rows of one."""
     if not predictions.take(1):
         raise ConstraintError("no predictions")
     df = cut(score(flat(predictions), decisions, binary_decisions))
     check(violations(df))
+    order = "position" if "position" in df.columns else "item_id"  # of the files, where rows come from files
     base = ["item_id", "pair_id", "language", "task", "prediction", "reference_answer"]
     exact = pr.pair_up(df, ["item_id", "exact_match"], ["task"], source=source, target=target)
     check(where(exact, "pairs", ~pr.complete(exact), "pair_id"))
     right = lambda side, c: F.col(f"{side}.{c}") == 1
     exact_pairs = exact.select("pair_id", "task", F.col("source.item_id").alias("source_item_id"), F.col("target.item_id").alias("target_item_id"), F.col("source.exact_match").alias("source_exact_match"), F.col("target.exact_match").alias("target_exact_match"), rel.transition(right("source", "exact_match"), right("target", "exact_match")).alias("transition"))
-    scored = df.where("correct is not null").withColumn("ord", F.xxhash64("item_id"))
-    aware = pr.pair_up(scored, ["correct"], ["task"], "last", "ord", source, target).where("n_source > 0 and n_target > 0")
+    scored = df.where("correct is not null")
+    aware = pr.pair_up(scored, ["correct"], ["task"], "last", order, source, target)
+    check(where(aware, "scored_pairs", ~pr.complete(aware, exact=False), "pair_id"))
     aware = aware.select("pair_id", "task", F.col("source.correct").alias("source_correct"), F.col("target.correct").alias("target_correct"), rel.transition(right("source", "correct"), right("target", "correct")).alias("transition"))
     reliable = pr.pair_up(df, ["item_id", "outcome"], ["task", "is_answerable"], source=source, target=target)
     ok = lambda s: rel.reliable(F.col(f"{s}.outcome"))
     reliable = reliable.select("pair_id", "task", "is_answerable", F.col("source.outcome").alias("source_outcome"), F.col("target.outcome").alias("target_outcome"), rel.transition(ok("source"), ok("target"), "reliable").alias("transition"))
-    fails = pr.pair_up(df.withColumn("ord", F.xxhash64("item_id")), ["failure_type", "category", "difficulty"], ["task"], "first", "ord", source, target).where("n_source > 0 and n_target > 0")
+    fails = pr.pair_up(df, ["failure_type", "category", "difficulty"], ["task"], "first", order, source, target).where("n_source > 0 and n_target > 0")
     good = lambda s: F.col(f"{s}.failure_type") == "correct"
     fails = fails.select("pair_id", "task", F.col("source").alias("source_side"), F.col("target").alias("target_side"), pr.failure_transition(good("source"), good("target")).alias("transition"))
     dims = sm.STANDARD
@@ -109,7 +149,7 @@ def evaluate(predictions: DataFrame, decisions: DataFrame | None = None, binary_
         "semantic_summary": sm.by_dimensions(df.where("semantic_match is not null"), few, sm.capability("semantic_match")),
         "instruction_summary": sm.by_dimensions(df.where("instruction_match is not null"), few, sm.capability("instruction_match")),
         "capability_summary": sm.by_dimensions(scored, dims, sm.capability()),
-        "capability_gap": sm.gap(scored, accuracy, source, target).withColumnsRenamed({"metric": "key"}).withColumn("dimension", F.lit("language_gap")),
+        "capability_gap": sm.gap(scored, accuracy, source, target, required=scored.take(1) != []).withColumnsRenamed({"metric": "key"}).withColumn("dimension", F.lit("language_gap")),
         "status_summary": sm.by_dimensions(df, few, sm.statuses()),
         "reliability_summary": sm.by_dimensions(df, dims, sm.reliability()),
         "reliability_gap": sm.gap(df, rel_gap, source, target).withColumnsRenamed({"metric": "key"}).withColumn("dimension", F.lit("language_gap")),
@@ -118,4 +158,6 @@ def evaluate(predictions: DataFrame, decisions: DataFrame | None = None, binary_
         "reliability_pair_summary": pr.transition_summary(reliable, suffix="reliable"),
         "failure_summary": sm.by_dimensions(df, few, sm.failures()),
     }
-    return Evaluation(tables, summaries)
+    as_gap = lambda g: g.withColumnsRenamed({"metric": "key"}).withColumn("dimension", F.lit("language_gap"))
+    more = {"exact_match_gap": as_gap(sm.gap(df, {"accuracy": F.avg("exact_match")}, source, target, required=True)), "failure_pair_summary": pr.failure_summary(fails)}
+    return Evaluation(tables, summaries, more)

@@ -1,15 +1,19 @@
 """Reading benchmark, prediction, decision and review files with explicit schemas.
 
-Lines that aren't JSON, or lack a required field, are errors with their file and text; blank lines are
+Lines that aren't JSON, or lack a required field, are errors with their file, line and text; blank lines are
 skipped, extra fields dropped. Spark's readers do the reading, so any store, glob, compression or
 folder works. A table that fails is never half read: the check runs before the rows are used.
+
+Every row has a position: its file, the block of the file that its task read, and its place there. Positions sort
+as the files do, which is all that "first" and "last" need, and cost nothing. A line's number takes one more pass,
+which counts the lines of each block; prefix sums over the blocks of a file then say where a block begins.
 """
 
 from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,22 +34,51 @@ class SourceError(ValueError):
     """A file is missing, or some of its lines can't be read."""
 
 
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value, file and position of every line, blank ones too."""
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), place.alias("position"))
+
+
+def line_starts(rows: DataFrame) -> DataFrame:
+    """path, block, first (the least place), before: how many lines of the file stand before the block. rows: all that lines() gave."""
+    blocks = rows.groupBy("position.path", "position.block").agg(F.min("position.at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a file's blocks, not its lines
+    return blocks.select("path", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+
+
+def numbered_lines(rows: DataFrame, whole: DataFrame | None = None, name: str = "line") -> DataFrame:
+    """rows with the number of their line in its file, from 1. whole: what lines() gave, if rows are only some of it."""
+    starts = line_starts(rows if whole is None else whole)
+    starts = starts.select(F.struct("path", "block").alias("_block"), F.col("before").alias("_before"), F.col("first").alias("_first"))
+    df = rows.withColumn("_block", F.struct("position.path", "position.block")).join(starts, "_block")
+    return df.withColumn(name, F.col("_before") + F.col("position.at") - F.col("_first") + 1).drop("_block", "_before", "_first")
+
+
+def latest(df: DataFrame, *keys: str, first: bool = False) -> DataFrame:
+    """One row a key: the last in the order of the files (or the first). One aggregation, with map-side combination."""
+    row = F.struct(*(c for c in df.columns))
+    return df.groupBy(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys))).agg((F.min_by if first else F.max_by)(row, "position").alias("r")).select("r.*")
+
+
 def json_lines(spark: SparkSession, path: str | list[str], required: tuple[str, ...], optional: tuple[str, ...] = (), metadata: bool = True, check: bool = True) -> DataFrame:
-    """Rows of a JSON-lines file or folder: required and optional text fields, metadata as a struct, and
-    metadata_raw as a map of JSON texts (a key with null is there; a missing key is not)."""
+    """Rows of a JSON-lines file or folder: required and optional text fields, metadata as a struct,
+    metadata_raw as a map of JSON texts (a key with null is there; a missing key is not), the file and the position."""
     fields = [T.StructField(n, TEXT) for n in (*required, *optional)]
-    raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_name").alias("file")).where(strip(F.col("value")) != "")
+    whole = lines(spark, path)
+    raw = whole.where(strip(F.col("value")) != "")
     known = T.StructType([*fields, *([T.StructField("metadata", METADATA)] if metadata else []), T.StructField("_bad", TEXT)])
     row = F.from_json("value", known, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    df = raw.select("value", "file", row.alias("r"))
+    df = raw.select("value", "file", "position", row.alias("r"))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
     lacking = F.array_compact(F.array(*(F.when(F.col(f"r.{n}").isNull(), F.lit(n)) for n in required)))
     if check:
-        wrong = df.where(bad | (F.size(lacking) > 0)).select("file", "value", F.when(bad, "not a JSON object").otherwise(F.concat(F.lit("missing: "), F.array_join(lacking, ", "))).alias("why")).limit(3).collect()
-        if wrong:
-            raise SourceError("; ".join(f"{r.file}: {r.why}: {r.value[:80]}" for r in wrong))
+        wrong = df.where(bad | (F.size(lacking) > 0)).select("file", "value", "position", F.when(bad, "not a JSON object").otherwise(F.concat(F.lit("missing: "), F.array_join(lacking, ", "))).alias("why"))
+        if some := wrong.limit(3).collect():
+            starts = {(r.path, r.block): r.before - r.first + 1 for r in line_starts(whole).where(F.col("path").isin(*{r.position.path for r in some}) & F.col("block").isin(*{r.position.block for r in some})).collect()}  # nine at most
+            raise SourceError("; ".join(f"{r.file}, line {r.position['at'] + starts[r.position.path, r.position.block]}: {r.why}: {r.value[:80]}" for r in some))
     more = [F.coalesce("r.metadata", F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in METADATA))).alias("metadata"), F.coalesce(F.from_json(F.get_json_object("value", "$.metadata"), "map<string,string>"), F.create_map().cast("map<string,string>")).alias("metadata_raw")] if metadata else []
-    return df.select(*(F.col(f"r.{f.name}").alias(f.name) for f in fields), *more, F.col("file"))
+    return df.select(*(F.col(f"r.{f.name}").alias(f.name) for f in fields), *more, F.col("file"), F.col("position"))
 
 
 def benchmark(spark: SparkSession, path: str) -> DataFrame:
@@ -61,6 +94,22 @@ def answerable(spark: SparkSession, path: str) -> DataFrame:
     return predictions(spark, path).where("metadata.is_answerable")
 
 
+def answerable_by_item(spark: SparkSession, path: str) -> DataFrame:
+    """answerable(), one row an item: where files repeat an item, their last row of it."""
+    return latest(answerable(spark, path), "item_id")
+
+
+def bank(spark: SparkSession, path: str, key: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """A bank of items: at least one, keys unique and not blank, required fields there."""
+    from twinmark.operators.validate import check, every, not_blank, unique
+
+    df = json_lines(spark, path, tuple(dict.fromkeys((key, *required))), metadata=False)
+    if not df.take(1):
+        raise SourceError("the bank is empty")
+    check(every(unique(df, key), not_blank(df, key, key)))
+    return df
+
+
 def folder(spark: SparkSession, path: str, required: tuple[str, ...], pattern: str = "*.jsonl") -> DataFrame:
     """All files of a folder in one table; the file column tells them apart."""
     return json_lines(spark, f"{path}/{pattern}", required)
