@@ -5,7 +5,8 @@ import decimal
 import duckdb
 import pytest
 
-import twinmark.plans.more_queries  # noqa: F401
+import twinmark.plans.more_queries
+import twinmark.plans.study_queries  # noqa: F401
 from twinmark.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -90,6 +90,11 @@ def approved_pairs(df: DataFrame, status: str = "review_status", approved: str =
     return df.join(good, "pair_id", "left_semi")
 
 
+def with_status(df: DataFrame, value: str, status: str = "review_status") -> DataFrame:
+    """The rows of one review status."""
+    return df.where(F.col(status) == value)
+
+
 def set_status(df: DataFrame, key: str, value, status: str, new: str) -> DataFrame:
     """The status of the rows whose key has the value (all rows if it is None) set to new; fails if there is none."""
     hit = F.lit(True) if value is None else F.col(key) == value

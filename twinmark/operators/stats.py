@@ -1,14 +1,18 @@
 """Paired statistics: exact tests, step-down correction, agreement, power, bootstrap intervals.
 
-Formulas of a few numbers are columns where SQL can say them, plain Python where they belong on the
-driver (power). Bootstrap draws come from a hash of (seed, replicate, draw), so that any engine can
-repeat them.
+Formulas of a few numbers are columns where SQL can say them. Power and the effects it finds are searched for all groups
+of a table at once, in Arrow batches. Bootstrap draws come from a hash of (seed, replicate, draw), so that any engine can
+repeat them; where pairs are many, draws are counted by the kinds of pairs there are.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +91,11 @@ def bootstrap(pairs: DataFrame, metrics: list[Column], replicates: int = 10_000,
     draws = pairs.sparkSession.range(replicates * n).select((F.expr(f"id div {n}") + 1).alias("replicate"), (F.col("id") % n + 1).alias("i"))
     draws = draws.select("replicate", draw(seed, F.col("replicate"), F.col("i"), F.lit(n)).alias("_at"))
     drawn = draws.join(F.broadcast(places) if n <= most else places, "_at").groupBy("replicate").agg(*metrics)
+    return _intervals(drawn, replicates, alpha)
+
+
+def _intervals(drawn: DataFrame, replicates: int, alpha: float) -> DataFrame:
+    """metric, low, high of a table with one row a replicate."""
     names = [c for c in drawn.columns if c != "replicate"]
     low, high = int(alpha / 2 * replicates), int((1 - alpha / 2) * replicates) - 1
     long = drawn.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names))).alias("m")).select("m.*")
@@ -95,6 +104,38 @@ def bootstrap(pairs: DataFrame, metrics: list[Column], replicates: int = 10_000,
     return ranked.groupBy("metric").agg(at(low).alias("low"), at(high).alias("high"))
 
 
+def bootstrap_by_kind(pairs: DataFrame, columns: list[str], metrics: list[Column], replicates: int = 10_000, seed: int = 17, alpha: float = 0.05, most: int = 4096) -> DataFrame:
+    """metric, low, high, as bootstrap() gives them up to its random stream, at a cost that the number of pairs doesn't raise.
+
+    Pairs with equal columns are one kind: a replicate is how often each kind is drawn, which is multinomial, so it takes a
+    draw a kind, not a draw a pair. metrics: aggregates that depend on means of the columns only, as paired_metrics()
+    are. At most `most` kinds (there are 16 of four marks); more are an error, and bootstrap() is the way then."""
+    kinds = pairs.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).limit(most + 1).collect()
+    if not kinds:
+        raise ValueError("no pairs")
+    if len(kinds) > most:
+        raise ValueError(f"more than {most} kinds of pairs")
+    kinds = sorted(kinds, key=lambda r: tuple(float(r[c]) for c in columns))
+    n, share, value = sum(r["_n"] for r in kinds), np.array([r["_n"] for r in kinds], float), np.array([[float(r[c]) for c in columns] for r in kinds])
+    share = share / share.sum()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            times = np.array([np.random.Generator(np.random.Philox(key=[seed, int(i)])).multinomial(n, share) for i in ids]).reshape(len(ids), len(share))
+            means = times @ value / n
+            yield pa.record_batch([pa.array(ids), *(pa.array(means[:, j]) for j in range(len(columns)))], ["replicate", *columns])
+
+    drawn = pairs.sparkSession.range(1, replicates + 1).mapInArrow(run, ", ".join(["replicate long", *(f"`{c}` double" for c in columns)]))
+    return _intervals(drawn.groupBy("replicate").agg(*metrics), replicates, alpha)
+
+
+def single_metrics() -> list[Column]:
+    """One model's accuracy by language and the gap between them."""
+    en, az = F.avg("base_en"), F.avg("base_az")
+    return [en.alias("en_accuracy"), az.alias("az_accuracy"), (en - az).alias("en_az_gap")]
+
+
 def _pmf(n: int, p: float) -> list[float]:
     if p in (0.0, 1.0):
         return [float(k == n * p) for k in range(n + 1)]
@@ -147,3 +188,85 @@ def minimum_detectable_effect(n: int, discordance: float, power: float = 0.8, al
         mid = (low + high) / 2
         low, high = (low, mid) if mcnemar_power(n, discordance, mid, alpha) >= power else (mid, high)
     return high
+
+
+def binomial_test(k: Column, n: Column) -> Column:
+    """binomial_p of columns: at a half, the outcomes that are no likelier are both tails."""
+    return mcnemar(k, n - k)
+
+
+class Power:
+    """The exact test's power among n pairs of which a share is discordant, as a function of the true difference.
+
+    Numbers of discordant pairs that are all but impossible (less than 1e-15 together) are left out, so about the square root of n
+    of them count; of each, the largest tail that rejects is found once, from the cumulated binomial."""
+
+    def __init__(self, n: int, discordance: float, alpha: float):
+        if n <= 0 or not 0 < discordance <= 1 or not 0 < alpha < 1:
+            raise ValueError("parameters out of range")
+        self.discordance = discordance
+        self.log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])  # logarithms of factorials
+        m = np.arange(n + 1)
+        chance = np.exp(self._logs(np.array([n]), m, discordance)[0])
+        order = np.argsort(chance)
+        some = np.sort(order[np.cumsum(chance[order]) >= 1e-15])
+        self.m, self.chance, edge = some, chance[some], []
+        for x in some.tolist():
+            tail = 2 * np.cumsum(np.exp(self._logs(np.array([x]), np.arange(x // 2 + 1), 0.5)[0]))
+            if x % 2 == 0:
+                tail[-1] = 1.0  # the middle is in both tails
+            edge.append(int(np.searchsorted(tail, alpha + 1e-15, side="right")) - 1)
+        self.edge = np.array(edge)
+
+    def _logs(self, m: np.ndarray, k: np.ndarray, p: float) -> np.ndarray:
+        """Logarithm of the chance of k among m, for each m and k."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = m[:, None] - k[None, :]
+            ways = self.log[m][:, None] - self.log[k][None, :] - self.log[np.maximum(left, 0)]
+            out = ways + np.where(k > 0, k * np.log(p), 0.0)[None, :] + np.where(left > 0, left * np.log1p(-p), 0.0)
+        return np.where(left >= 0, out, -np.inf)
+
+    def __call__(self, difference: float) -> float:
+        share, total = (self.discordance + difference) / (2 * self.discordance), 0.0
+        for at in range(0, len(self.m), 256):
+            m, edge, chance = self.m[at : at + 256], self.edge[at : at + 256], self.chance[at : at + 256]
+            if (top := edge.max(initial=-1)) < 0:
+                continue
+            k = np.arange(top + 1)
+            inside = k[None, :] <= edge[:, None]
+            for p in (share, 1 - share):  # few of the one kind, or few of the other
+                total += float((chance[:, None] * np.where(inside, np.exp(self._logs(m, k, min(max(p, 0.0), 1.0))), 0.0)).sum())
+        return total
+
+    def least_difference(self, power: float) -> float | None:
+        """The smallest difference found with the power, by bisection; None if none is."""
+        if self(self.discordance) < power:
+            return None
+        low, high = 0.0, self.discordance
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (low, mid) if self(mid) >= power else (mid, high)
+        return high
+
+
+def power_of(n: Column, discordant: Column, difference: Column, alpha: float = 0.05) -> Column:
+    """Power of the exact test for groups of n pairs, of which so many are discordant, and a true difference; null without discordant pairs."""
+
+    @F.pandas_udf("double")
+    def power(n: pd.Series, discordant: pd.Series, difference: pd.Series) -> pd.Series:
+        return pd.Series([Power(int(a), b / a, alpha)(d) if a and b and d <= b / a else None for a, b, d in zip(n, discordant, difference, strict=True)], dtype="float64")
+
+    return power(n.cast("long"), discordant.cast("long"), difference.cast("double"))
+
+
+def effect_of(n: Column, discordant: Column, power: float = 0.8, alpha: float = 0.05) -> Column:
+    """The smallest difference that the exact test finds with the power in groups of n pairs, of which so many are discordant; null
+    where none does."""
+    if not 0 < power < 1:
+        raise ValueError("power must be between 0 and 1")
+
+    @F.pandas_udf("double")
+    def effect(n: pd.Series, discordant: pd.Series) -> pd.Series:
+        return pd.Series([Power(int(a), b / a, alpha).least_difference(power) if a and b else None for a, b in zip(n, discordant, strict=True)], dtype="float64")
+
+    return effect(n.cast("long"), discordant.cast("long"))

@@ -90,6 +90,15 @@ def counts(df: DataFrame, dimensions: dict[str, list[str]], distinct: str | None
     return by_dimensions(df, dimensions, [F.count(F.lit(1)).alias("total"), *more])
 
 
+def status_counts(df: DataFrame, status: str, allowed: list[str], key: str) -> DataFrame:
+    """How many rows have each status; an error if one isn't allowed."""
+    from twinmark.operators.validate import allowed as rule
+    from twinmark.operators.validate import check
+
+    check(rule(df, key, status, allowed))
+    return df.groupBy(status).agg(F.count(F.lit(1)).alias("total"))
+
+
 def seed_spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean and sample standard deviation over seeds; a single seed has none."""
     return df.groupBy(*by).agg(F.count(value).alias("n_seeds"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))

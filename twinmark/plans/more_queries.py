@@ -16,8 +16,8 @@ from twinmark.operators import pairs as pr
 from twinmark.operators import validate as va
 from twinmark.operators.split import numbered
 from twinmark.operators.storage import cut, shared_dir
-from twinmark.plans.queries import _literal, _values, query
-from twinmark.plans.views import PRED, norm_sql, predictions
+from twinmark.plans.queries import _literal, _paired, _values, query
+from twinmark.plans.views import PAIRS, PRED, norm_sql, predictions
 from twinmark.session import table
 from twinmark.sources import readers, sinks
 
@@ -204,10 +204,14 @@ def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLIPS = [(k, n) for n in (1, 2, 9, 20, 33) for k in range(0, n + 1, 3)]
 
 
-@query(f"""select k, n, round(least(1.0, list_sum(list_filter(list_transform(range(0, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))),
-    lambda x: x <= exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)) * (1 + 1e-9)))), 9) as p_value from {_values(FLIPS)} as v(k, n)""")
+@query(f"""with {PRED}, {PAIRS}, f as (select k, n from {_values(FLIPS)} as v(k, n) union all select count(*) filter (where en > az), count(*) filter (where en <> az) from pairs group by task, pair_id % 3)
+    select k, n, round(least(1.0, list_sum(list_filter(list_transform(range(0, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))),
+    lambda x: x <= exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)) * (1 + 1e-9)))), 9) as p_value from f""")
 def binomial_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literal(spark, [(k, n, round(stats.binomial_p(k, n), 9)) for k, n in FLIPS], "k int, n int, p_value double")
+    """How far the discordant pairs of each task and third part from a half, and cases of our own."""
+    apart = _paired(spark, sf_dir).groupBy("task", (F.col("pair_id") % 3).alias("third")).agg(F.count_if(F.col("en") > F.col("az")).alias("k"), F.count_if(F.col("en") != F.col("az")).alias("n"))
+    rows = apart.select("k", "n").unionByName(_literal(spark, FLIPS, "k long, n long"))
+    return rows.select("k", "n", F.round(stats.binomial_test(F.col("k"), F.col("n")), 9).alias("p_value"))
 
 
 @query(f"with {PRED} select item_id, is_answerable and status = 'answered' or not is_answerable and status = 'abstained' as reliable from pred")

@@ -253,9 +253,19 @@ def reliability_by_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.by_dimensions(_outcomes(spark, sf_dir), sm.STANDARD, sm.reliability())
 
 
-@query(f"with {PRED}, {_OUT} " + " union all ".join(_GAP.format(m, e, "out") for m, e in {"decision_accuracy": "avg(cast(outcome in ('correct_answer', 'correct_abstention') as integer))", "empty_response_rate": "avg(cast(outcome = 'empty_response' as integer))"}.items()))
+_GAPS = {
+    "decision_accuracy": "avg(cast(outcome in ('correct_answer', 'correct_abstention') as integer))",
+    "over_answering_rate": "avg(case when not is_answerable then cast(outcome = 'over_answering' as integer) end)",
+    "under_answering_rate": "avg(case when is_answerable then cast(outcome = 'under_answering' as integer) end)",
+    "empty_response_rate": "avg(cast(outcome = 'empty_response' as integer))",
+}
+
+
+@query(f"with {PRED}, {_OUT} " + " union all ".join(_GAP.format(m, e, "out") for m, e in _GAPS.items()))
 def reliability_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sm.gap(_outcomes(spark, sf_dir), {"decision_accuracy": F.avg(rel.reliable(F.col("outcome")).cast("int")), "empty_response_rate": F.avg((F.col("outcome") == "empty_response").cast("int"))})
+    is_ = lambda o: (F.col("outcome") == o).cast("int")
+    metrics = {"decision_accuracy": F.avg(rel.reliable(F.col("outcome")).cast("int")), "over_answering_rate": F.avg(F.when(~F.col("is_answerable"), is_("over_answering"))), "under_answering_rate": F.avg(F.when(F.col("is_answerable"), is_("under_answering"))), "empty_response_rate": F.avg(is_("empty_response"))}
+    return sm.gap(_outcomes(spark, sf_dir), metrics)
 
 
 @query(f"with {PRED} {_sets(', '.join(['count(*) as total', *(f'count(*) filter (where status = {s!r}) as {s}' for s in rel.STATUSES), *(f'count(*) filter (where status = {s!r}) / count(*) as {s}_rate' for s in rel.STATUSES)]), 'pred', {'overall': [], 'language': ['language']})}")
@@ -486,12 +496,24 @@ def abstention_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.bounds(_cascade(spark, sf_dir), ["language"])
 
 
-@query()
+_CHOOSE_ALL = "list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))))"
+_STATES = """c as (select doc_id, case when quality = 1 - toxic then case when quality = 1 then 'yes' else 'no' end
+        when doc_id % 3 = 2 then case doc_id % 5 when 0 then 'yes' when 1 then 'no' end when doc_id % 3 = 0 then 'yes' else 'no' end as label from labels),
+    p as (select cast(floor(e.doc_id / 2) as bigint) % 3 as model, e.label as en, a.label as az from c e join c a on e.doc_id + 1 = a.doc_id where e.doc_id % 2 = 0),
+    n as (select model, count(*) filter (where en is not null and az is not null) as complete_pairs, count(*) filter (where en is null or az is null) as uncertain_pairs,
+        count(*) filter (where en = 'yes' and az = 'no') as b0, count(*) filter (where en = 'no' and az = 'yes') as c0,
+        count(*) filter (where (en is null and az = 'no') or (en = 'yes' and az is null)) as u, count(*) filter (where (en is null and az = 'yes') or (en = 'no' and az is null)) as v,
+        count(*) filter (where en is null and az is null) as w from p group by model),
+    i as (select *, unnest(range(0, u + w + 1)) as i from n), s as (select *, unnest(range(0, v + least(w, u + w - i) + 1)) as j from i),
+    q as (select model, complete_pairs, uncertain_pairs, b0 + i as b, c0 + j as c from s)"""
+
+
+@query(f"with {_STATES}, t as (select *, least(1.0, 2 * {_CHOOSE_ALL}) as p from q) select model, max(complete_pairs) as complete_pairs, max(uncertain_pairs) as uncertain_pairs, round(min(p), 9) as min_p, round(max(p), 9) as max_p from t group by model")
 def mcnemar_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _cascade(spark, sf_dir).select(F.floor(F.col("doc_id") / 2).alias("pair"), "language", "label")
     side = lambda lang: F.max(F.when(F.col("language") == lang, F.struct("label")))
     both = df.groupBy("pair").agg(side("en").alias("e"), side("az").alias("a")).where("e is not null and a is not null")
-    return ad.p_value_bounds(both.select((F.col("pair") % 3).alias("model"), F.col("e.label").alias("en"), F.col("a.label").alias("az")), "model")
+    return ad.p_value_bounds(both.select((F.col("pair") % 3).alias("model"), F.col("e.label").alias("en"), F.col("a.label").alias("az")), "model").withColumns({"min_p": F.round("min_p", 9), "max_p": F.round("max_p", 9)})
 
 
 @query("select substr(sha256('salt|' || cast(doc_id % 3 as varchar) || '|' || cast(doc_id as varchar)), 1, 16) as audit_id, doc_id from labels")
@@ -583,10 +605,25 @@ def seed_mean_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.seed_spread(runs, ["task", "language"], "accuracy").select("task", "language", "n_seeds", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"))
 
 
-@query()
+_MDE = 1000
+"""Steps that a whole difference of 1 is shown in."""
+
+
+@query(
+    f"""with {PRED}, {PAIRS}, g as (select task, count(*) as n, count(*) filter (where en <> az) as k from pairs group by task),
+    cells as (select m, unnest(range(0, m + 1)) as k from (select unnest(range(0, (select max(n) + 1 from g))) as m)),
+    hits as (select m, k from cells where least(1.0, 2 * list_sum(list_transform(range(0, least(k, m - k) + 1), lambda j: exp(lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) - m * ln(2))))) <= 0.05 + 1e-12),
+    x as (select task, n, k / n as d, unnest(range(0, k * {_MDE} // n + 1)) / {_MDE}.0 as x from g where k > 0),
+    p as (select task, x, sum(exp(lgamma(n + 1) - lgamma(m + 1) - lgamma(n - m + 1) + m * ln(d) + case when m = n then 0 when d >= 1 then -1e9 else (n - m) * ln(1 - d) end)
+        * exp(lgamma(m + 1) - lgamma(h.k + 1) - lgamma(m - h.k + 1) + h.k * ln((d + x) / (2 * d)) + case when m = h.k then 0 when x >= d then -1e9 else (m - h.k) * ln(1 - (d + x) / (2 * d)) end)) as power
+        from x join hits h on m <= n group by task, x)
+    select g.task, g.n, g.k, (select min(p.x) from p where p.task = g.task and p.power >= 0.8) as effect from g"""
+)
 def power_mde(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, d, stats.minimum_detectable_effect(n, k / n)) for n, k, d in ((61, 15, "az"), (61, 11, "en"))]
-    return _literal(spark, rows, "n int, name string, effect double")
+    """The smallest difference found with a power of 0.8 by each task's pairs, in steps of a thousandth; null where none is."""
+    both = _paired(spark, sf_dir).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("en") != F.col("az")).alias("k"))
+    step = F.ceil(stats.effect_of(F.col("n"), F.col("k")) * _MDE - 1e-9)
+    return both.select("task", "n", "k", F.when(step * F.col("n") <= F.col("k") * _MDE, step.cast("double") / _MDE).alias("effect"))
 
 
 # -- splits and generation -------------------------------------------------------------------------------
@@ -611,9 +648,12 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARES = [("a", 0.35, 1), ("b", 0.35, 2), ("c", 0.30, 3)]
 
 
-@query(f"select name, count from {_values([('a', 4), ('b', 3), ('c', 3)])} as v(name, count)")
+@query(f"""select name, count from {_values([('a', 4), ('b', 3), ('c', 3)])} as v(name, count) union all select 'conversations', cast(count(*) as integer) from conversations""")
 def largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.allocate_rows(_literal(spark, SHARES, "name string, share double, ord int"), 10)
+    """Ten records by shares of our own, and as many as there are turns of conversations to a single share."""
+    turns = table(spark, sf_dir, "conversations").count()
+    own = split.allocate_rows(_literal(spark, SHARES, "name string, share double, ord int"), 10)
+    return own.unionByName(split.allocate_rows(_literal(spark, [("conversations", 1.0, 1)], "name string, share double, ord int"), turns))
 
 
 @query(f"with {PRED} select item_id, cast(row_number() over w - 1 as integer) as place, cast((row_number() over w - 1) % 4 as integer) as subcategory, cast((row_number() over w - 1) // 4 as integer) as variant from pred window w as (partition by category order by ord)")

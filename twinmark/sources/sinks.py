@@ -85,7 +85,7 @@ def snapshot(config: dict, path: str, overwrite: bool = False) -> None:
     _put(yaml.safe_dump(config, allow_unicode=True, sort_keys=False), path, overwrite)
 
 
-MANIFEST = "_manifest.json"
+MANIFEST = "manifest.json"
 
 
 def _whole(summary: DataFrame | list[DataFrame]) -> dict:
