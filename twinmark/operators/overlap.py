@@ -228,7 +228,7 @@ def _nearest(ids: pa.Array, queries: dict[int, tuple[np.ndarray, np.ndarray]], k
 
     def run(batches):
         best = pd.DataFrame({"query": np.zeros(0, np.int64), "id": [], "similarity": np.zeros(0)})
-        floor = np.full(len(names), least)
+        floor, kind = np.full(len(names), least), None
 
         def kept(new: list[pd.DataFrame]) -> pd.DataFrame:
             every = pd.concat([best, *new]).sort_values(["query", "similarity", "id"], ascending=[True, False, True], kind="stable")
@@ -237,7 +237,7 @@ def _nearest(ids: pa.Array, queries: dict[int, tuple[np.ndarray, np.ndarray]], k
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
-                own, new = np.array(b.column("id").to_pylist(), object), []
+                own, new, kind = np.array(b.column("id").to_pylist(), object), [], b.column("id").type
                 for n, (where, v) in _vectors(b).items():
                     if n not in queries:
                         continue
@@ -255,7 +255,7 @@ def _nearest(ids: pa.Array, queries: dict[int, tuple[np.ndarray, np.ndarray]], k
                     full = full[full["size"] >= k]
                     floor[full.index.to_numpy()] = np.maximum(full["min"].to_numpy(), least)
         if len(best):
-            yield pa.record_batch([ids.take(pa.array(best["query"].to_numpy(np.int64))), pa.array(best["id"].tolist()), pa.array(best["similarity"].to_numpy(float))], ["query_id", "id", "similarity"])
+            yield pa.record_batch([ids.take(pa.array(best["query"].to_numpy(np.int64))), pa.array(best["id"].tolist(), kind), pa.array(best["similarity"].to_numpy(float))], ["query_id", "id", "similarity"])
 
     return run
 
