@@ -12,7 +12,9 @@ order of merges, since rounds over one endless word would be quadratic.
 Symbols not in the vocabulary become byte pieces. Decoding joins pieces, turns byte pieces back
 into UTF-8 and escaped spaces into spaces, and drops the space that encoding put in front.
 
-Nulls are empty texts; the empty text has no ids. The model file is read without the sentencepiece
+Nulls are empty texts; the empty text has no ids. Rows are encoded one by one, also where ids or whole rows repeat; pairs of
+equal rank merge leftmost first. A very long text is cut into words in a task, in slices of a few megabytes. An empty table gives no
+rows. Columns other than doc_id and text aren't read, whatever their names. The model file is read without the sentencepiece
 library's encoder: only its list of pieces and scores is taken from it.
 """
 
