@@ -220,3 +220,15 @@ def test_leaks_equal_all_pairs(spark):
                     want.add((i, k))
         assert {(r.left_id, r.right_id) for r in overlap.leaks(a, b, sequence, jaccard).collect()} == want
         assert ((0, 0) in want) == (sequence < 0.9)
+
+
+def test_turns_of_a_large_conversation(spark):
+    rows = [("large", i, "user" if i % 3 else "assistant", f"t{i}") for i in range(4000)]
+    rows += [(None, 0, "user", "a"), (None, 1, "assistant", None), ("x", 0, "assistant", "b"), ("y", 7, "user", None), ("y", 9, "assistant", "c"), ("z", 0, "user", "d"), ("z", 1, "system", "e"), ("z", 2, "assistant", "f")]
+    want = []
+    for p, q in zip(rows, rows[1:], strict=False):
+        if p[0] == q[0] and (p[2], q[2]) == ("user", "assistant"):
+            want.append((p[0], p[1], p[3], q[3]))
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").withColumn("_n", F.lit(0)).repartition(5)
+    assert sorted(map(tuple, build.turns(df).collect()), key=repr) == sorted(want, key=repr)
+    assert build.turns(df.where("false")).count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinmark.operators.split import numbered
@@ -95,10 +95,12 @@ def generation_arguments(config: dict, pad_token_id: int | None = None, eos_toke
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, question, answer: each user turn with the assistant turn right after it."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    df = conversations.withColumn("next_role", F.lead("role").over(w)).withColumn("answer", F.lead("text").over(w))
-    return df.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+    """conv_id, turn, question, answer: each user turn with the assistant turn right after it. Turns are numbered by
+    ranges and meet the number before theirs, so one conversation may fill many tasks."""
+    rows = numbered(conversations.select("conv_id", "turn", "role", "text"), ["conv_id", "turn"], "_at")
+    asked = rows.where("role = 'user'").select("_at", "conv_id", "turn", F.col("text").alias("question"))
+    told = rows.where("role = 'assistant'").select((F.col("_at") - 1).alias("_at"), F.col("conv_id").alias("_conv"), F.col("text").alias("answer"))
+    return asked.join(told, "_at").where(F.col("conv_id").eqNullSafe(F.col("_conv"))).select("conv_id", "turn", "question", "answer")
 
 
 def templates(counts: DataFrame, bank: DataFrame, most: int = 100_000) -> DataFrame:

@@ -187,9 +187,9 @@ def _near_characters(held, least: float, kinds: int = 64):
     return run
 
 
-def leaks(left: DataFrame, right: DataFrame, sequence: float = 0.72, jaccard: float = 0.60, screen: float = 0.25) -> DataFrame:
+def leaks(left: DataFrame, right: DataFrame, sequence: float = 0.72, jaccard: float = 0.60) -> DataFrame:
     """All pairs of unequal texts that are near by token sets or by characters, each looked for by bounds
-    of its own. `screen` is only there for older callers: no pair depends on it."""
+    of its own."""
     by_tokens = similar(left, right, jaccard).select("left_id", "right_id")
     by_characters = cut(_similar_characters(left, right, sequence))
     side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.col("text").alias(n), F.array_distinct(overlap_tokens(F.col("text"))).alias(f"{n}_set"), overlap_key(F.col("text")).alias(f"{n}_key"))

@@ -434,7 +434,7 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = _texts(spark, sf_dir)
-    return overlap.leaks(docs, bench, sequence=0.5, jaccard=0.25, screen=0.2)
+    return overlap.leaks(docs, bench, sequence=0.5, jaccard=0.25)
 
 
 # -- alignment, review, adjudication ---------------------------------------------------------------------
