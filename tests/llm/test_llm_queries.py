@@ -1,8 +1,11 @@
 """The registered queries and the pipeline over the smallest tables, whole."""
 
+from collections import Counter
+
 import brute
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from twinmark.llm import packing, quality
@@ -70,3 +73,31 @@ def test_empty_corpus(spark, docs):
     for _, f in corpus_pipeline.STAGES:
         df = f(spark, df, SF)
     assert df.count() == 0
+
+
+def test_stages_on_odd_rows(spark, docs, tmp_path):
+    """Nulls in every column, repeated rows, very long texts and clashing names, through all five stages."""
+    plain = sorted(docs.collect(), key=lambda r: r.doc_id)
+    some = {c: plain[3][c] for c in docs.columns}
+    odd = [{c: None for c in docs.columns}, some, some, {**some, "doc_id": 900_001, "lang": None}, {**some, "doc_id": 900_002, "text": ""}, {**some, "doc_id": 900_003, "text": None}]
+    odd += [{**some, "doc_id": 900_004, "text": " ".join(r.text for r in plain)}, {**some, "doc_id": 900_005, "text": "z" * 300_000}, {**some, "doc_id": 900_006, "text": " \n\t" * 40}]
+    given = docs.unionByName(spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in odd], docs.schema))
+    for c in ("k_id", "k_text", "found", "masked", "n_removed", "kept", "sequence_id", "key", "slot"):
+        given = given.withColumn(c, F.lit(c))
+    stage, at, table = dict(corpus_pipeline.STAGES), given, {}
+    for name in list(stage)[:-1]:
+        stage[name](spark, at, SF).write.parquet(str(tmp_path / name))
+        at = spark.read.parquet(str(tmp_path / name))
+        assert at.columns == given.columns and all(r.k_id == "k_id" and r.slot == "slot" for r in at.select("k_id", "slot").distinct().collect())
+        table[name] = [(r.doc_id, r.text) for r in at.select("doc_id", "text").collect()]
+    kept = {(r.doc_id, r.kept) for r in quality.assess(given, quality.fit(given)).collect()}
+    ids = [r.doc_id for r in given.select("doc_id").collect()]
+    assert Counter(i for i, _ in table["quality"]) == Counter(i for i in ids if (i, True) in kept)
+    assert {900_002, 900_003, 900_005, 900_006, None}.isdisjoint(i for i, _ in table["quality"]) and plain[3].doc_id in {i for i, _ in table["quality"]}
+    want = {i: (t, n) for i, t, n in brute.line_dedup(table["quality"])}
+    assert Counter(table["line_dedup"]) == Counter((i, want[i][0]) for i, _ in table["quality"] if not want[i][1] or want[i][0].strip())
+    groups = {g for g, _ in brute.jaccard(table["line_dedup"]).values()}
+    assert Counter(i for i, _ in table["near_duplicates"]) == Counter(min(table["line_dedup"][j][0] for j in g) for g in groups)
+    assert Counter(i for i, _ in table["secrets"]) == Counter(i for i, _ in table["near_duplicates"]) and all(brute.secrets(t)[0] == [0, 0, 0] for _, t in table["secrets"])
+    pieces = stage["packing"](spark, at, SF).collect()
+    assert {r.doc_id for r in pieces} == {i for i, _ in table["secrets"]} and len({(r.doc_id, r.piece) for r in pieces}) == len(pieces)
