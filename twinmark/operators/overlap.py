@@ -40,7 +40,7 @@ CELL = 4_000
 """Rows of a token's list that meet within one cell of its grid."""
 
 
-def similar(left: DataFrame, right: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, threshold: float, cell: int = CELL, most_tokens: int = 500_000) -> DataFrame:
     """All pairs of unequal texts whose token sets have a Jaccard similarity of at least threshold > 0.
 
     Texts are cut into tokens once and kept as sets of 64-bit hashes; equal sets go as one. Tokens are ordered from rare to
@@ -48,7 +48,7 @@ def similar(left: DataFrame, right: DataFrame, threshold: float, cell: int = CEL
     enough tokens left behind it in both to reach the overlap that is needed (positional filter), so mostly rare
     tokens meet in the join. A token that is common in both tables all the same is dealt over a grid: its left rows over
     as many strips as there are `cell` of them, its right rows likewise, each row copied to the cells of its strip. So no task
-    gets two whole lists. Tokens that one side lacks come first of all and are only counted. Pairs found are compared exactly.
+    gets two whole lists. Up to `most_tokens` tokens of both sides are broadcast to the sets. Tokens that one side lacks come first of all and are only counted. Pairs found are compared exactly.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -57,29 +57,32 @@ def similar(left: DataFrame, right: DataFrame, threshold: float, cell: int = CEL
         hashes = F.transform(overlap_tokens(F.col("text")), lambda t: F.xxhash64(t))
         rows = df.select(F.col("id").alias(f"{n}_id"), hashes.alias("tokens"))
         rows = rows.select(f"{n}_id", F.array_sort(F.array_distinct("tokens")).alias(f"{n}_set"), F.xxhash64("tokens").alias(f"{n}_key"))
-        rows = cut(rows.withColumn(f"{n}_kind", F.md5(F.array_join(F.transform(f"{n}_set", lambda t: t.cast("string")), ","))))
-        return rows.drop(f"{n}_set"), cut(rows.groupBy(f"{n}_kind").agg(F.any_value(f"{n}_set").alias(f"{n}_set")))
+        rows = cut(rows.withColumn(f"{n}_kind", F.unhex(F.md5(F.array_join(F.transform(f"{n}_set", lambda t: t.cast("string")), ",")))))
+        sets = rows.groupBy(f"{n}_kind").agg(F.any_value(f"{n}_set").alias(f"{n}_set"))
+        return rows.drop(f"{n}_set"), cut(sets.withColumn(f"{n}_no", F.monotonically_increasing_id()))
 
     (a_rows, a), (b_rows, b) = side(left, "left"), side(right, "right")
     count = lambda df, n: df.select(F.explode(f"{n}_set").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias(f"n_{n}"))
     often = cut(count(a, "left").join(count(b, "right"), "t").select("t", (F.col("n_left") + F.col("n_right")).alias("n"), *(F.ceil(F.col(f"n_{n}") / cell).cast("int").alias(f"strips_{n}") for n in ("left", "right"))))
+    if often.count() <= most_tokens:  # else both sides' tokens meet it by a shuffle
+        often = F.broadcast(often)
 
     def prefix(df: DataFrame, n: str, other: str) -> DataFrame:
-        rows = df.select(f"{n}_kind", F.size(f"{n}_set").alias("size"), F.explode(f"{n}_set").alias("t")).join(often, "t")
+        rows = df.select(f"{n}_no", F.size(f"{n}_set").alias("size"), F.explode(f"{n}_set").alias("t")).join(often, "t")
         first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
-        w = Window.partitionBy(f"{n}_kind")
+        w = Window.partitionBy(f"{n}_no")
         rank = F.row_number().over(w.orderBy("n", "t")) + F.col("size") - F.count(F.lit(1)).over(w)
         rows = rows.withColumn("rank", rank).where(F.col("rank") <= first)
-        own = F.pmod(F.xxhash64(f"{n}_kind"), F.col(f"strips_{n}")).cast("int").alias(f"strip_{n}")
+        own = F.pmod(F.xxhash64(f"{n}_no"), F.col(f"strips_{n}")).cast("int").alias(f"strip_{n}")
         cells = F.explode(F.sequence(F.lit(0), F.col(f"strips_{other}") - 1)).alias(f"strip_{other}")
-        return rows.select(f"{n}_kind", F.col("size").alias(f"{n}_size"), F.col("rank").alias(f"{n}_rank"), "t", own, cells)
+        return rows.select(f"{n}_no", F.col("size").alias(f"{n}_size"), F.col("rank").alias(f"{n}_rank"), "t", own, cells)
 
     met = prefix(a, "left", "right").join(prefix(b, "right", "left"), ["t", "strip_left", "strip_right"])
     low, high = F.least("left_size", "right_size"), F.greatest("left_size", "right_size")
     needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("left_size") + F.col("right_size")) - 1e-9)
     ahead = 1 + F.least(F.col("left_size") - F.col("left_rank"), F.col("right_size") - F.col("right_rank"))
-    met = met.where((low >= F.lit(threshold) * high - 1e-9) & (ahead >= needed)).select("left_kind", "right_kind").distinct()
-    both = met.join(a, "left_kind").join(b, "right_kind")
+    met = met.where((low >= F.lit(threshold) * high - 1e-9) & (ahead >= needed)).select("left_no", "right_no").distinct()
+    both = met.join(a, "left_no").join(b, "right_no")
     shared = F.size(F.array_intersect("left_set", "right_set"))
     score = shared / (F.size("left_set") + F.size("right_set") - shared)
     kinds = both.select("left_kind", "right_kind", score.alias("similarity")).where(F.col("similarity") >= threshold)
@@ -125,9 +128,11 @@ def _similar_characters(left: DataFrame, right: DataFrame, least: float, block:
     spark = left.sparkSession
     kind = left.schema["id"].dataType.simpleString()
     rows = right.select("id", F.lower("text").alias("text")).where(F.length("text") > 0)
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block))
+    length, share = F.length("text"), least / (2 - least)
+    size, short, long = rows.agg(F.sum(length), F.min(length), F.max(length)).first()
+    blocks = max(1, math.ceil((size or 0) / block))
     texts = left.select(F.col("id").alias("left_id"), F.lower("text").alias("text"))
+    texts = texts.where(length.between(share * (short or 0) - 1e-9, (long or 0) / share + 1e-9))
     out = None
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()  # at most about a block of characters
@@ -187,17 +192,25 @@ def _near_characters(held, least: float, kinds: int = 64):
     return run
 
 
-def leaks(left: DataFrame, right: DataFrame, sequence: float = 0.72, jaccard: float = 0.60) -> DataFrame:
+def leaks(left: DataFrame, right: DataFrame, sequence: float = 0.72, jaccard: float = 0.60, most_pairs: int = 1_000_000) -> DataFrame:
     """All pairs of unequal texts that are near by token sets or by characters, each looked for by bounds
     of its own."""
     by_tokens = similar(left, right, jaccard).select("left_id", "right_id")
-    by_characters = cut(_similar_characters(left, right, sequence))
-    side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.col("text").alias(n), F.array_distinct(overlap_tokens(F.col("text"))).alias(f"{n}_set"), overlap_key(F.col("text")).alias(f"{n}_key"))
+    by_characters = _similar_characters(left, right, sequence)
     known = by_characters.groupBy("left_id", "right_id").agg(F.max("sequence").alias("sequence"))
-    met = by_tokens.distinct().join(known, ["left_id", "right_id"], "full")
-    both = met.join(side(left, "left"), "left_id").join(side(right, "right"), "right_id").where("left_key <> right_key")
-    shared = F.size(F.array_intersect("left_set", "right_set"))
-    score = F.try_divide(shared, F.size("left_set") + F.size("right_set") - shared)
+    met = cut(by_tokens.distinct().join(known, ["left_id", "right_id"], "full"))
+
+    def texts(df: DataFrame, n: str) -> DataFrame:
+        """Only texts that are in a pair; up to `most_pairs` pairs, their ids go to the texts rather than texts to them."""
+        ids = met.select(F.col(f"{n}_id").alias("id")).distinct()
+        return df.join(F.broadcast(ids) if few else ids, "id", "left_semi").select(F.col("id").alias(f"{n}_id"), F.col("text").alias(n))
+
+    few = met.count() <= most_pairs
+    both = met.join(texts(left, "left"), "left_id").join(texts(right, "right"), "right_id")
+    both = both.where(overlap_key(F.col("left")) != overlap_key(F.col("right")))
+    a, b = (F.array_distinct(overlap_tokens(F.col(n))) for n in ("left", "right"))
+    shared = F.size(F.array_intersect(a, b))
+    score = F.try_divide(shared, F.size(a) + F.size(b) - shared)
     unknown = F.col("sequence").isNull()  # the ratio is worked out only for pairs that the characters did not bring
     fresh = both.withColumn("_ratio", sequence_ratio(F.when(unknown, F.lower("left")).otherwise(""), F.when(unknown, F.lower("right")).otherwise("")))
     return fresh.select("left_id", "right_id", score.alias("similarity"), F.when(unknown, F.col("_ratio")).otherwise(F.col("sequence")).alias("sequence"))
