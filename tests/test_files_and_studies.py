@@ -248,3 +248,22 @@ def test_no_similarity_exceeds_the_common_subsequence():
             table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
         assert overlap._subsequence(a, b, {}) == table[-1][-1]
         assert difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() <= 2 * table[-1][-1] / (len(a) + len(b)) + 1e-12
+
+
+def test_character_bounds_lose_no_pair():
+    """Texts share numbers of few or many bits, with copies, texts of one character and characters beyond 16 bits."""
+    import difflib
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc \u00e9\U0001f600"[: rng.randint(1, 6)]) for _ in range(rng.randint(1, 40))) for _ in range(70)]
+    texts += texts[:5] + ["a" * 300, "ab" * 150]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["left_id", "text"])
+    for least, bits in ((0.3, 1), (0.5, 100), (0.72, 1 << 14), (1.0, 100)):
+        run = overlap._near_characters(SimpleNamespace(value=(list(range(len(texts))), texts)), least, bits=bits)
+        got = {(x, y): z for r in run([batch]) for x, y, z in zip(*(c.to_pylist() for c in r.columns), strict=True)}
+        every = {(i, j): difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for i, a in enumerate(texts) for j, b in enumerate(texts)}
+        assert got == {pair: v for pair, v in every.items() if v >= least}
+    assert not list(overlap._near_characters(SimpleNamespace(value=([], [])), 0.5)([batch]))

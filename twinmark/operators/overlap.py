@@ -142,50 +142,96 @@ def _similar_characters(left: DataFrame, right: DataFrame, least: float, block:
     return out
 
 
-def _subsequence(a: str, b: str, spots: dict[str, int]) -> int:
-    """Length of the longest common subsequence, which no similarity by matching blocks exceeds: a row of the table in the
-    bits of one number. spots: where each character stands in a, filled at first use."""
-    if not spots:
-        for i, c in enumerate(a):
-            spots[c] = spots.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
+def _spots(texts: list[str]) -> tuple[dict[str, int], int, list[int]]:
+    """Several texts in the bits of one number, a free bit after each: where each character stands, all texts' bits,
+    and where each text starts."""
+    spots: dict[str, int] = {}
+    full, start = 0, [0]
+    for t in texts:
+        own: dict[str, int] = {}
+        for i, c in enumerate(t):
+            own[c] = own.get(c, 0) | 1 << i
+        for c, bits in own.items():
+            spots[c] = spots.get(c, 0) | bits << start[-1]
+        full |= ((1 << len(t)) - 1) << start[-1]
+        start.append(start[-1] + len(t) + 1)
+    return spots, full, start
+
+
+def _left_over(text: str, spots: dict[str, int], full: int) -> int:
+    """The table of longest common subsequences of `text` with all texts of `spots` at once, a row in the bits of one number.
+    Bits still set in a text's place are its characters outside the subsequence; a sum's carry ends in the free bit."""
     row = full
-    for c in b:
-        hit = row & spots.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    for c in text:
+        if hit := row & spots.get(c, 0):
+            row = (row + hit | row - hit) & full
+    return row
 
 
-def _near_characters(held, least: float, kinds: int = 64):
+def _subsequence(a: str, b: str, spots: dict[str, int]) -> int:
+    """Length of the longest common subsequence, which no similarity by matching blocks exceeds. spots: where each character
+    stands in a, filled at first use."""
+    if not spots:
+        spots.update(_spots([a])[0])
+    return len(a) - _left_over(b, spots, (1 << len(a)) - 1).bit_count()
+
+
+def _ratio(a: str, b: str, least: float) -> float | None:
+    """Similarity by matching blocks, None once what is matched and the subsequences of what is left can't reach `least`."""
+    size = len(a) + len(b)
+    whole = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    matched, todo = 0, [(0, len(a), 0, len(b), min(len(a), len(b)))]
+    ahead = todo[0][-1]  # no more than this is still to come
+    while todo:
+        alo, ahi, blo, bhi, most = todo.pop()
+        ahead -= most
+        i, j, k = whole.find_longest_match(alo, ahi, blo, bhi)
+        if not k:
+            continue
+        matched += k
+        for w, x, y, z in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+            if most := _subsequence(a[w:x], b[y:z], {}):
+                todo.append((w, x, y, z, most))
+                ahead += most
+        if 2 * (matched + ahead) < least * size - 1e-9:
+            return None
+    ratio = 2.0 * matched / size if size else 1.0
+    return ratio if ratio >= least else None
+
+
+def _near_characters(held, least: float, kinds: int = 64, bits: int = 1 << 14):
     def histogram(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), kinds), np.int64)
+        out = np.zeros((len(texts), kinds), np.int32)
         for i, t in enumerate(texts):
             out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), "<u4") % kinds, minlength=kinds)
         return out
 
     def run(batches):
         ids, texts = held.value
-        length = np.array([len(t) for t in texts], np.int64)
-        order = np.argsort(length, kind="stable")
-        length, counts = length[order], histogram([texts[i] for i in order])
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        ids, texts = [ids[i] for i in order], [texts[i] for i in order]
+        length, counts = np.array([len(t) for t in texts], np.int64), histogram(texts)
+        group = np.cumsum(length) // bits  # neighbours in length share a number of about so many bits
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist() if len(texts) else []
         for b in batches:
+            left = [(i, t) for i, t in zip(b.column("left_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t]
+            own, size = histogram([t for _, t in left]), np.array([len(t) for _, t in left], np.int64)
+            lows, highs = (np.searchsorted(length, x, side="left") for x in (least / (2 - least) * size - 1e-9, (2 - least) / least * size + 1e-9))
             found = []
-            for own, text in zip(b.column("left_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if not text:
-                    continue
-                n = len(text)
-                spots: dict[str, int] = {}
-                low, high = np.searchsorted(length, [least / (2 - least) * n - 1e-9, (2 - least) / least * n + 1e-9], side="left")
-                if high <= low:
-                    continue
-                shared = np.minimum(counts[low:high], histogram([text])[0]).sum(1)
-                for j in np.flatnonzero(2 * shared >= least * (n + length[low:high]) - 1e-9).tolist():
-                    other = texts[order[low + j]]
-                    if 2 * _subsequence(text, other, spots) < least * (n + len(other)) - 1e-9:
-                        continue
-                    ratio = difflib.SequenceMatcher(None, text, other, autojunk=False).ratio()
-                    if ratio >= least:
-                        found.append((own, ids[order[low + j]], ratio))
+            for start, end in zip(first, [*first[1:], len(texts)], strict=False):
+                here = np.flatnonzero((lows < end) & (highs > start)).tolist()
+                spots, full, place = _spots(texts[start:end] if here else [])
+                for x in here:
+                    low, high, (i, text) = max(start, lows[x]), min(end, highs[x]), left[x]
+                    near = low + np.flatnonzero(2 * np.minimum(counts[low:high], own[x]).sum(1) >= least * (size[x] + length[low:high]) - 1e-9)
+                    row = _left_over(text, spots, full) if len(near) else 0
+                    for j in near.tolist():
+                        other = texts[j]
+                        outside = (row >> place[j - start] & (1 << len(other)) - 1).bit_count()
+                        if 2 * (len(other) - outside) < least * (len(text) + len(other)) - 1e-9:
+                            continue
+                        if (ratio := _ratio(text, other, least)) is not None:
+                            found.append((i, ids[j], ratio))
             if found:
                 yield pa.record_batch([pa.array(x) for x in zip(*found, strict=True)], ["left_id", "right_id", "sequence"])
 
