@@ -30,10 +30,10 @@ def quota_violations(quotas: DataFrame, totals: DataFrame, total: int) -> DataFr
 
 def candidates(quotas: DataFrame, order: list[str], prefix: str) -> DataFrame:
     """One row for each record that quotas (language, task, count) ask for: language, task, task_index from 1 within its quota,
-    and item_id, numbered through all quotas in the given order."""
+    and item_id, numbered through all quotas in the given order with four digits or as many as it takes."""
     rows = expand(quotas.withColumn("count", F.col("count").cast("int"))).withColumnRenamed("index", "task_index")
     rows = numbered(rows, [*order, "task_index"], "_at")
-    return rows.select(F.concat(F.lit(prefix), F.lpad(F.col("_at").cast("string"), 4, "0")).alias("item_id"), "language", "task", "task_index")
+    return rows.select(F.concat(F.lit(prefix), F.format_string("%04d", F.col("_at"))).alias("item_id"), "language", "task", "task_index")
 
 
 def overflow(groups: DataFrame, order: str, lane: str | None = None) -> DataFrame:
