@@ -54,3 +54,7 @@ def test_capitals_letter_for_letter(spark):
 
 def test_prediction_files_capitals(agrees):
     assert any(r[6] == "IEẞ." for r in agrees("prediction_files", CAPITALS))
+
+
+def test_wide_to_long_capitals(agrees):
+    assert any(r[0].endswith("_az") and r[2] == "IEẞ." for r in agrees("wide_to_long", CAPITALS))
