@@ -58,3 +58,8 @@ def test_prediction_files_capitals(agrees):
 
 def test_wide_to_long_capitals(agrees):
     assert any(r[0].endswith("_az") and r[2] == "IEẞ." for r in agrees("wide_to_long", CAPITALS))
+
+
+def test_option_scores_capitals(agrees):
+    scores = dict(agrees("option_scores", CAPITALS))
+    assert scores["0"] == 1 and CAPITALS[0][0].startswith("Das ieß")
