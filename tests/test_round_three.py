@@ -63,3 +63,7 @@ def test_wide_to_long_capitals(agrees):
 def test_option_scores_capitals(agrees):
     scores = dict(agrees("option_scores", CAPITALS))
     assert scores["0"] == 1 and CAPITALS[0][0].startswith("Das ieß")
+
+
+def test_short_answer_scores_capitals(agrees):
+    assert dict(agrees("short_answer_scores", CAPITALS))["0"] == 1
