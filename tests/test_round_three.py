@@ -67,3 +67,7 @@ def test_option_scores_capitals(agrees):
 
 def test_short_answer_scores_capitals(agrees):
     assert dict(agrees("short_answer_scores", CAPITALS))["0"] == 1
+
+
+def test_answerable_files_capitals(agrees):
+    assert dict(agrees("answerable_files", CAPITALS))["0"] == "IEẞ."
