@@ -71,3 +71,7 @@ def test_short_answer_scores_capitals(agrees):
 
 def test_answerable_files_capitals(agrees):
     assert dict(agrees("answerable_files", CAPITALS))["0"] == "IEẞ."
+
+
+def test_instruction_scores_capitals(agrees):
+    assert dict(agrees("instruction_scores", CAPITALS))["30"] == 1
