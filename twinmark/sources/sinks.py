@@ -15,9 +15,10 @@ def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
 
-def rows(df: DataFrame, path: str, overwrite: bool = False, by: list[str] = ()) -> None:
-    """JSON lines; with by, one folder for each value (language, split, batch)."""
-    df.write.mode(_mode(overwrite)).partitionBy(*by).json(path) if by else df.write.mode(_mode(overwrite)).json(path)
+def rows(df: DataFrame, path: str, overwrite: bool = False, by: list[str] = (), nulls: bool = False) -> None:
+    """JSON lines; with by, one folder for each value (language, split, batch). With nulls, fields that are null are written, else left out."""
+    to = df.write.mode(_mode(overwrite))
+    (to.partitionBy(*by) if by else to).json(path, ignoreNullFields=not nulls)
 
 
 def table(df: DataFrame, path: str, overwrite: bool = False, by: list[str] = ()) -> None:
